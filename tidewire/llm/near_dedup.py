@@ -2,10 +2,11 @@
 
 Documents with the same shingle set form a class with its smallest id as representative. Representatives get SuperMinHash
 signatures: each element visits the slots in its own random order, the i-th visit with a value in [i, i+1), so that a
-document stops as soon as no slot can fall any further. Bands of the signature give buckets. In each round every bucket
-compares a few pivots with its other members, leaves out pairs that are already connected, and drops its pivots, which
-have met all others; rounds go on until no bucket holds two components. So a bucket of copies costs one comparison per
-member, and yet no pair of a bucket is left unexamined unless its ends are known to be connected.
+document stops as soon as no slot can fall any further. Bands of the signature give buckets. In two rounds, every bucket
+compares a few pivots with its other members, leaves out pairs that are already connected or too unlike in size, and
+drops its pivots, which have met all others. Buckets that still hold several components are cut into blocks; any two
+blocks of a bucket meet in one task, which returns the links that join components. So a bucket of copies costs one
+comparison per member, and yet no pair of a bucket is left unexamined unless its ends are known to be connected.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import GOLDEN, LOWER, as_bytes, as_documents, batches_of, mix, written
+from tidewire.llm.common import GOLDEN, LOWER, as_bytes, as_documents, batches_of, mix, release, written
 from tidewire.llm.components import connected_components
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -122,14 +123,21 @@ def _resembling(pairs: DataFrame, sketches: DataFrame, slots: int, least: float)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+def _full_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """doc_id and its sorted shingle hashes, for the representatives alone."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = [shingle_hashes(t, size).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], ["doc_id", "full"])
 
+    # Representatives grow with the corpus: never broadcast.
+    return docs.hint("merge").join(reps, "doc_id").select("doc_id", "text").mapInArrow(sets, "doc_id long, full binary")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -140,13 +148,74 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = written(docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(sets, "doc_id long, full binary"), "shingle-sets")
     left = full.select(F.col("doc_id").alias("a"), F.col("full").alias("fa"))
     right = full.select(F.col("doc_id").alias("b"), F.col("full").alias("fb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(confirm, "a long, b long")
 
 
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, from their incidence matrix in strips of columns."""
+    shingle, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = count[at] > 1  # a shingle of one set alone is common to none
+    rank = np.cumsum(count > 1) - 1
+    owner, at = owner[twice], rank[at[twice]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((count > 1).sum()), columns):
+        lo, hi = np.searchsorted(at, [first, first + columns])
+        strip = np.zeros((len(sets), columns), np.float32)
+        strip[owner[lo:hi], at[lo:hi] - first] = 1
+        total += strip @ strip.T
+    return np.rint(total).astype(np.int64)
+
+
+def _block_links(live: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) across components among the members of each bucket (bucket, rep, component), all pairs examined.
+
+    Buckets are cut into blocks of about `block` members, and any two blocks meet in one task; a component that fills
+    blocks alone has blocks of its own, which need not meet each other. Tasks return links that join components, no pairs.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        reps, of = group["rep"].to_numpy(), group["component"].to_numpy()
+        found: list[tuple[int, int]] = []
+        if len(set(of)) > 1:
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in group["full"]]
+            common = common_counts(sets)
+            sizes = np.array([len(s) for s in sets])
+            near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+            name = {c: c for c in of.tolist()}
+
+            def root(c: int) -> int:
+                while name[c] != c:
+                    name[c] = c = name[name[c]]
+                return c
+
+            for i, j in zip(*np.nonzero(np.triu(near & (of[:, None] != of[None, :])))):
+                x, y = root(int(of[i])), root(int(of[j]))
+                if x != y:
+                    name[max(x, y)] = min(x, y)
+                    found.append((int(reps[i]), int(reps[j])))
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    per = live.groupBy("bucket", "component").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= block, F.col("component")))
+    blocks = per.groupBy("bucket", "own").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    listed = blocks.groupBy("bucket").agg(F.collect_list(F.struct("own", "parts")).alias("all"))
+    listed = listed.select("bucket", F.expr("flatten(transform(all, x -> transform(sequence(0, x.parts - 1), i -> named_struct('own', x.own, 'part', i))))").alias("all"))
+    named = per.join(blocks.withColumnRenamed("own", "b_own").withColumnRenamed("bucket", "b_bucket"), (F.col("bucket") == F.col("b_bucket")) & F.col("own").eqNullSafe(F.col("b_own")))
+    placed = live.join(named.select("bucket", "component", "own", "parts"), ["bucket", "component"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = (
+        placed.join(listed, "bucket")
+        .select("bucket", "rep", "component", F.struct("own", "part").alias("mine"), F.explode("all").alias("other"))
+        .where("not (mine.own is not null and other.own is not null and mine.own = other.own)")
+        .select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "component")
+    )
+    sets = full.withColumnRenamed("doc_id", "rep")
+    return met.join(sets, "rep").groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -156,6 +225,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 24,
     rows: int = 4,
+    block: int = 512,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
@@ -173,49 +243,62 @@ def near_duplicates(
     docs = as_documents(docs, id_col, text_col)
     sketches = written(_sketches(docs, shingle, bands, rows), "sketches")
     named = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = written(named.groupBy("set_print").agg(F.min("doc_id").alias("rep")), "classes")
-    member = written(named.select("doc_id", "set_print").join(classes, "set_print").select("doc_id", "rep").distinct(), "members")
-
-    # A repeated doc_id with different texts keeps each of its sets under one id; its classes are joined below.
-    reps = named.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "set_print"])
-    reps = written(reps.select("doc_id", "n_shingles", "signature", "bands"), "representatives")
-    entries = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
-    entries = written(entries.join(shared, "bucket").distinct(), "buckets")
-    component = entries.select("rep", F.col("rep").alias("component")).distinct()
-
-    sizes = reps.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    cells = 1
-    while not entries.isEmpty():
-        live = entries.join(component, "rep")
-        order = F.xxhash64("bucket", "rep")
-        cell = F.pmod(F.shiftright(order, 8), F.lit(cells))
-        pivots = live.groupBy("bucket", cell.alias("cell")).agg(F.min(F.struct(order.alias("o"), F.col("rep"), F.col("component"))).alias("p"))
-        pivots = written(pivots.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
-        met = (
-            live.join(pivots, "bucket")
-            .where("rep <> pivot and component <> pivot_component")
-            .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-            .distinct()
-        )
-        small = sizes.select(F.col("doc_id").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"))
-        large = sizes.select(F.col("doc_id").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-        fitting = met.join(small, "a").join(large, "b").where(f"100 * ma >= {percent} * lb and 100 * mb >= {percent} * la").select("a", "b")
-        pairs = written(_resembling(fitting, reps, bands * rows, percent / 100 - 0.25).distinct(), "pairs")
+    one = F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("one")
+    reps = named.groupBy("set_print").agg(F.min("doc_id").alias("rep"), one).select("set_print", "rep", "one.*")
+    reps = written(reps, "representatives")
+    same_set = named.select("doc_id", "set_print").join(reps.select("set_print", "rep"), "set_print").where("doc_id <> rep")
+    links = same_set.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    entries = reps.select(F.explode("bands").alias("bucket"), "rep")
+    shared = entries.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count("*").alias("members"))
+    entries = written(entries.join(shared.where("x < y").select("bucket", "members"), "bucket"), "buckets")
+    release(docs.sparkSession)
+    # Members of large buckets tend to be close to many: they are compared first.
+    nodes = (
+        reps.groupBy("rep")
+        .agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+        .join(entries.groupBy("rep").agg(F.sum("members").alias("central")), "rep")
+        .select("rep", F.col("rep").alias("component"), "central", "least", "most")
+    )
+    nodes = written(nodes, "nodes")
+    full = written(_full_sets(docs, nodes.select(F.col("rep").alias("doc_id")), shingle), "shingle-sets")
+    release(docs.sparkSession)
+    signatures = reps.select(F.col("rep").alias("doc_id"), "signature")
+
+    entries = entries.select("bucket", "rep").distinct()
+    fits = f"rep <> pivot and component <> p_component and 100 * most >= {percent} * p_least and 100 * p_most >= {percent} * least"
+
+    def united(found: DataFrame, nodes: DataFrame) -> DataFrame:
+        """nodes with the components that these links join."""
+        of = nodes.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
+        to = nodes.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
+        joined = found.join(of, "a").join(to, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        moved = connected_components(joined).select(F.col("node").alias("component"), "label")
+        nodes = nodes.join(moved, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+        return written(nodes, "nodes")
+
+    for cells in (1, 8):
+        if entries.isEmpty():
+            break
+        live = entries.join(nodes, "rep")
+        order = F.struct((-F.col("central")).alias("o"), F.xxhash64("rep").alias("h"), "rep", "component", "least", "most")
+        cell = F.pmod(F.shiftright(F.xxhash64("rep"), 8), F.lit(cells))
+        pivots = live.groupBy("bucket", cell.alias("cell")).agg(F.min(order).alias("p"))
+        pivots = written(pivots.select("bucket", F.col("p.rep").alias("pivot"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("component", "least", "most"))), "pivots")
+        met = live.join(pivots, "bucket").where(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pairs = written(_resembling(met, signatures, bands * rows, percent / 100 - 0.25).distinct(), "pairs")
         if not pairs.isEmpty():
-            found = written(_confirmed(pairs, docs.where(F.col("doc_id").isNotNull()), shingle, percent), "links")
-            links = links.unionByName(found)
-            of = component.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
-            to = component.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
-            joined = found.join(of, "a").join(to, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            moved = connected_components(joined).select(F.col("node").alias("component"), "label")
-            component = component.join(moved, "component", "left").select("rep", F.coalesce("label", "component").alias("component"))
-            component = written(component, "components")
+            found = written(_confirmed(pairs, full, percent), "links")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                nodes = united(found, nodes)
         rest = entries.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        mixed = rest.join(component, "rep").groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        mixed = rest.join(nodes, "rep").groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         entries = written(rest.join(mixed.select("bucket"), "bucket"), "buckets")
-        cells *= 4
+        release(docs.sparkSession)
+    if not entries.isEmpty():
+        live = entries.join(nodes.select("rep", "component"), "rep")
+        links = links.unionByName(written(_block_links(live, full, percent, block), "block-links"))
 
     labels = connected_components(links)
     same = F.col("doc_id") == F.col("node")
