@@ -15,10 +15,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import as_documents, text_key, written
+from tidewire.llm.common import as_documents, release, written
 
 _SPACES = re.compile("▁+[^▁]*")
 _HEAD_BYTES = 64
@@ -51,7 +52,7 @@ def token_counts(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    head: int = 100_000,
+    head: int = 250_000,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_bytes and n_tokens, as sentencepiece encodes the whole text without begin or end ids.
 
@@ -71,7 +72,7 @@ def token_counts(
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total.update(pre_tokens(text or ""))
-                if len(total) > 200_000:
+                if len(total) > 400_000:
                     yield out()
                     total.clear()
         yield out()
@@ -96,12 +97,15 @@ def token_counts(
     frequent = [] if least is None else short.where(step >= least).select("token", "pieces").collect()
     known = spark.sparkContext.broadcast({r.token: r.pieces for r in frequent})
 
+    release(spark)
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = known.value
         rest_type = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
+        row = TaskContext.get().partitionId() << 40  # numbers rows, in a table that is read twice
         for batch in batches:
             sizes, sums, rests = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(1).to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode()))
                 tokens = pre_tokens(text)
@@ -109,26 +113,24 @@ def token_counts(
                 sums.append(sum(x for x in own if x is not None))
                 rest = Counter(t for t, x in zip(tokens, own, strict=True) if x is None)
                 rests.append([{"token": t, "n": n} for t, n in rest.items()])
+            rows = pa.array(range(row, row + len(sizes)), pa.int64())
+            row += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rests, rest_type)],
-                ["doc_id", "text_key", "n_bytes", "frequent_tokens", "rest"],
+                [rows, batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rests, rest_type)],
+                ["row", "doc_id", "n_bytes", "frequent_tokens", "rest"],
             )
 
-    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
     per_doc = written(
-        keyed.mapInArrow(summed, "doc_id long, text_key long, n_bytes long, frequent_tokens long, rest array<struct<token:string,n:long>>"),
+        docs.mapInArrow(summed, "row long, doc_id long, n_bytes long, frequent_tokens long, rest array<struct<token:string,n:long>>"),
         "pre-token-frequencies",
     )
     rare = table if least is None else table.where((step < least) | (F.octet_length("token") > _HEAD_BYTES))
     rest = (
-        per_doc.select("doc_id", "text_key", F.explode("rest").alias("r"))
-        .select("doc_id", "text_key", "r.*")
-        .distinct()  # rows that repeat a document have the same frequencies
+        per_doc.select("row", F.explode("rest").alias("r"))
+        .select("row", "r.*")
         .join(rare.select("token", "pieces"), "token")
-        .groupBy(F.col("doc_id").alias("rest_id"), F.col("text_key").alias("rest_key"))
+        .groupBy("row")
         .agg(F.sum(F.col("n") * F.col("pieces")).alias("rest_tokens"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("rest_id")) & (F.col("text_key") == F.col("rest_key"))
-    return per_doc.join(rest, same, "left").select(
-        "doc_id", "n_bytes", (F.col("frequent_tokens") + F.coalesce("rest_tokens", F.lit(0))).alias("n_tokens")
-    )
+    n_tokens = F.col("frequent_tokens") + F.coalesce("rest_tokens", F.lit(0))
+    return per_doc.select("row", "doc_id", "n_bytes", "frequent_tokens").join(rest, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"))
