@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import as_documents, written
+from tidewire.llm.common import as_documents, batches_of, written
 
 #: Characters beyond these take the library's own path: here lower-casing, NFC and white space are plain.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*")
-_CACHED, _WORD = 200_000, 40
+#: The words kept between batches, at most.
+_CACHED = 500_000
+_STOPS = ".,!?;:"
+#: No plain text has it.
+_MARK = "\x01"
 
 
 def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterator[bytes]]:
@@ -42,25 +46,41 @@ def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterato
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     known: dict[str, bytes] = {}
-    one = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    one = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    mark = one(_MARK)
+
+    def learn(words: list[str]) -> dict[str, bytes]:
+        """Ids of words, encoded side by side with a mark between them that is a token of its own."""
+        found: dict[str, bytes] = {}
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids = one(f" {_MARK} ".join(some))
+            ends = np.flatnonzero(ids == mark[0])
+            data, at = ids.tobytes(), 0
+            for w, end in zip(some, [*(4 * ends).tolist(), len(data)], strict=True):
+                found[w] = data[at:end]
+                at = end + 4
+        return found
 
     def encode(texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not _PLAIN.fullmatch(text) or any(s in text for s in special):
-                yield one(text) + end
-                continue
-            words = unicodedata.normalize("NFC", text).lower().split()
-            new = [w for w in set(words) if w not in known]
-            extra: dict[str, bytes] = {}
-            if new:
-                got = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                if len(known) > _CACHED:
-                    known.clear()
-                    got += tokenizer.encode_batch_fast(more := list(set(words) - set(new)), add_special_tokens=False)
-                    new += more
-                for w, e in zip(new, got, strict=True):
-                    (known if len(w) <= _WORD else extra)[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([known.get(w) if w in known else extra[w] for w in words]) + end
+        for group in batches_of(texts, [len(t) for t in texts], 8_000_000):
+            plain = [len(mark) == 1 and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in special) for t in group]
+            split = [unicodedata.normalize("NFC", t).lower().split() if p else [] for t, p in zip(group, plain, strict=True)]
+            new = list(set().union(*split) - known.keys())
+            # A word with stops behind it is the word and one token run of stops: fewer words to learn.
+            stems = [w.rstrip(_STOPS) for w in new]
+            stems = [m if m and m[-1].isalnum() else w for m, w in zip(stems, new, strict=True)]
+            tails = [w[len(m) :] for m, w in zip(stems, new, strict=True)]
+            now = learn(list({*stems, *tails} - known.keys() - {""}))
+            now[""] = b""
+            known.update(now)
+            for w, m, t in zip(new, stems, tails, strict=True):
+                known[w] = known[m] + known[t]
+            for text, p, words in zip(group, plain, split, strict=True):
+                yield (b"".join([known[w] for w in words]) if p else one(text).tobytes()) + end
+            if len(known) > _CACHED:  # the earliest are the most frequent, by and large
+                for w in list(known)[_CACHED:]:
+                    del known[w]
 
     return encode
 
