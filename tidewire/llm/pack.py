@@ -13,6 +13,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ _STOPS = ".,!?;:"
 _MARK = "\x01"
 
 
+@lru_cache(maxsize=1)  # tasks of a worker follow each other and share what it has learned
 def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterator[bytes]]:
     """Token ids of texts, little-endian unsigned 32-bit, as the tokenizer file gives them; end_id follows each text.
 
