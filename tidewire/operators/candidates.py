@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import lexicons
+from tidewire.functions.quantities import comparable
 from tidewire.functions.text import hits, key_numbers, normal_title, text_tokens, title_tokens
 
 
@@ -22,6 +23,7 @@ def with_features(df: DataFrame) -> DataFrame:
         .withColumn("title_objects", hits(F.col("title"), lexicons.OBJECTS))
         .withColumn("title_locations", hits(F.col("title"), lexicons.LOCATIONS))
         .withColumn("numbers", key_numbers(text))
+        .withColumn("quantities", F.transform("numbers", comparable))
         .withColumn("title_key", normal_title(F.col("title")))
         .withColumn("title_tokens", title_tokens(F.col("title")))
         .withColumn("text_tokens", text_tokens(F.col("description"), lexicons.STOP_WORDS))

@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import lexicons
+from tidewire.functions.quantities import compatible
 from tidewire.functions.similarity import disjoint, jaccard, overlap
 from tidewire.functions.text import pattern
+from tidewire.operators.leaders import greedy_leaders
+from tidewire.operators.setjoin import similar_sets
 from tidewire.operators.tables import durable
 
 _PAIR = (
-    "id", "domain", "url", "published_at", "rank", "title_key", "title_tokens", "text_tokens", "entities", "actions", "objects", "numbers",
+    "id", "domain", "url", "published_at", "rank", "title_key", "title_tokens", "text_tokens", "entities", "actions", "objects", "quantities",
     "title_entities", "title_actions", "title_objects", "title_locations",
 )
 
@@ -32,7 +35,7 @@ def match_reason(a: Callable[[str], Column], b: Callable[[str], Column]) -> Colu
     terms = F.size(F.filter(F.array_except(F.array_intersect(a("text_tokens"), b("text_tokens")), a("entities")), lambda t: F.length(t) >= 3))
     entity, action, object_ = (overlap(a(c), b(c)) for c in ("entities", "actions", "objects"))
     complete = (entity > 0) & (action > 0) & (object_ > 0) & hours.isNotNull()
-    numbers_differ = disjoint(a("numbers"), b("numbers"))
+    numbers_differ = ~compatible(a("quantities"), b("quantities"))
     return (
         F.when(a("domain") != b("domain"), "event-mismatch")
         .when(a("url") == b("url"), "accepted")
@@ -81,11 +84,26 @@ def duplicate_pairs(df: DataFrame, least: float = 0.94) -> DataFrame:
 
 
 def match_pairs(df: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one domain, a before b by rank, that are reports of one event; a match shares a URL, an entity or
-    nearly all of a title."""
-    keys = F.array_union(F.array(F.concat(F.lit("u:"), "url")), F.concat(F.transform("entities", lambda e: F.concat(F.lit("e:"), e)), F.array(F.concat(F.lit("n:"), "title_key"))))
-    left, right, a, b = _sides(df, F.transform(keys, lambda k: F.concat_ws("|", "domain", k)))
-    pairs = left.join(right, "key").where(a("rank") < b("rank"))
+    """Pairs (a, b) of one domain, a before b by rank, that are reports of one event.
+
+    A match has one URL; or an entity, an action and an object in common within 72 hours; or titles that agree to 0.9.
+    Those are the keys: reports that share only a common entity never meet.
+    """
+    core = F.flatten(F.transform("entities", lambda e: F.flatten(F.transform("actions", lambda x: F.transform("objects", lambda o: F.concat_ws("|", e, x, o))))))
+    span = F.floor(F.unix_timestamp("published_at") / (72 * 3600))
+    keyed = df.withColumn("_core", F.when(F.col("published_at").isNotNull(), core)).withColumn("_span", span).withColumn("_set", _set_key())
+    url = F.array(F.concat(F.lit("u|"), "url"))
+    at = lambda shift: F.transform("_core", lambda c: F.concat(F.lit("c|"), c, F.lit("|"), (F.col("_span") + shift).cast("string")))
+    none = F.array().cast("array<string>")
+    side = lambda p, keys: keyed.select(F.explode(F.filter(F.transform(keys, lambda k: F.concat(F.col("domain"), F.lit("|"), k)), lambda k: k.isNotNull())).alias(f"{p}_key"), *(F.col(c).alias(f"{p}_{c}") for c in _PAIR))
+    own = F.array(F.concat(F.lit("t|"), "_set"))
+    left = side("l", F.concat(url, F.coalesce(at(0), none), own)).distinct()
+    right = side("r", F.concat(url, *(F.coalesce(at(i), none) for i in (-1, 0, 1)), own)).distinct()
+    links = _set_links(df, 0.9).select(*(F.concat(F.substring_index(F.substring_index(c, "|", 2), "|", -1), F.lit("|t|"), c).alias(f"{p}_key") for c, p in (("key", "l"), ("other", "r"))))
+    linked = left.join(links, "l_key").drop("l_key").join(right, "r_key").drop("r_key")
+    a, b = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
+    met = left.join(right, F.col("l_key") == F.col("r_key")).drop("l_key", "r_key").unionByName(linked)
+    pairs = met.where(a("rank") < b("rank"))
     return pairs.where(match_reason(a, b) == "accepted").select(a("domain").alias("domain"), a("id").alias("a"), b("id").alias("b")).distinct()
 
 
@@ -93,6 +111,7 @@ def component_of(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFr
     """(id, component): the smallest id that pairs reach; stops when a round changes nothing."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("id", F.col("id").alias("component"))
+    done = False
     for _ in range(rounds):
         near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("id") == F.col("n"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
@@ -100,8 +119,10 @@ def component_of(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFr
         step = step.join(up, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old")
         step = durable(step)
         labels = step.select("id", "component")
-        if step.where("component <> old").isEmpty():
+        if done := step.where("component <> old").isEmpty():
             break
+    if not done:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return labels
 
 
@@ -132,9 +153,25 @@ def _folded(df: DataFrame, pairs: DataFrame, complete_link: bool) -> DataFrame:
     return single.unionByName(rows.where("n > 1").groupBy("component").applyInPandas(fold, "id string, leader string"))
 
 
-def deduplicated(df: DataFrame) -> DataFrame:
-    """(id, leader): each candidate joins the first kept one, in rank order, that it duplicates."""
-    return _folded(df, duplicate_pairs(df), complete_link=False)
+def _set_key() -> Column:
+    """The class of a title's token set; null without tokens."""
+    return F.when(F.size("title_tokens") > 0, F.concat(F.lit("s|"), "domain", F.lit("|"), F.array_join(F.array_sort("title_tokens"), " ")))
+
+
+def _set_links(df: DataFrame, least: float) -> DataFrame:
+    """(key, other): classes of token sets of one domain that agree to `least`, in both directions, each with itself too."""
+    sets = df.select("domain", _set_key().alias("id"), F.array_sort("title_tokens").alias("tokens")).where("id is not null").distinct()
+    return similar_sets(sets, sets, least, "domain").select(F.col("a").alias("key"), F.col("b").alias("other"))
+
+
+def deduplicated(df: DataFrame, least: float = 0.94) -> DataFrame:
+    """(id, leader): each candidate joins the first kept one, in rank order, that it duplicates.
+
+    Candidates meet in groups of one URL, one normal title or one token set, and token sets that nearly agree are linked;
+    pairs of candidates are never made.
+    """
+    members = df.select("id", "rank", F.explode(F.array(F.concat(F.lit("u|"), "domain", F.lit("|"), "url"), F.concat(F.lit("n|"), "domain", F.lit("|"), "title_key"), _set_key())).alias("key"))
+    return greedy_leaders(members.where("key is not null"), _set_links(df, least))
 
 
 def clustered(df: DataFrame) -> DataFrame:

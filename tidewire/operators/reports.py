@@ -19,9 +19,13 @@ def shared_share(df: DataFrame, group: str, key: str) -> DataFrame:
 
 def pairwise(df: DataFrame, found: str, gold: str) -> DataFrame:
     """Precision and recall of the pairs that `found` puts together, against those of `gold`; from group sizes, not pairs."""
-    pairs = lambda *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("p"))
-    both, f, g = pairs(found, gold), pairs(found).withColumnRenamed("p", "f"), pairs(gold).withColumnRenamed("p", "g")
-    one = both.crossJoin(f).crossJoin(g)  # one row each
+    sizes = df.groupBy(found, gold).agg(F.count("*").alias("n"))
+    kinds = {"p": sizes, "f": sizes.groupBy(found).agg(F.sum("n").alias("n")), "g": sizes.groupBy(gold).agg(F.sum("n").alias("n"))}
+    counted = None
+    for kind, df_ in kinds.items():
+        part = df_.select(F.lit(kind).alias("kind"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+        counted = part if counted is None else counted.unionByName(part)
+    one = counted.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("pairs"))), F.lit(0.0)).alias(k) for k in kinds))
     return one.select(ratio(F.col("p"), F.col("f")).alias("precision"), ratio(F.col("p"), F.col("g")).alias("recall"))
 
 

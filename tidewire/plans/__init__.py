@@ -154,7 +154,7 @@ def dates(spark: SparkSession, folder: str) -> DataFrame:
 
 def han(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    return docs.select("doc_id", F.round(T.han_share(F.concat(F.left("text", F.lit(40)), F.lit("中国"))), 6).alias("share"))
+    return docs.select("doc_id", F.round(T.han_share(F.concat(F.coalesce("text", F.lit("")), F.lit("中国"))), 6).alias("share"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -208,6 +208,6 @@ SELECT source_id, domain AS owner, fit, round(margin, 6) AS margin, coalesce(mar
 SELECT id, source_id, score FROM o WHERE n = 1 ORDER BY score DESC, id LIMIT 3""",
     "dates": "SELECT page_id, '2026-08-0' || CAST(page_id % 9 + 1 AS VARCHAR) || ' 01:02:03' AS published_at FROM pages",
     "han": r"""SELECT doc_id, round(length(regexp_replace(x, '[^\p{Han}]', '', 'g')) / length(regexp_replace(x, '[^\p{L}]', '', 'g')), 6) AS share
-FROM (SELECT doc_id, left(text, 40) || '中国' AS x FROM documents)""",
+FROM (SELECT doc_id, coalesce(text, '') || '中国' AS x FROM documents)""",
 }
 FLAGSHIP = "events"
