@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import lexicons
+from tidewire.functions import checks, lexicons
 from tidewire.functions import text as T
 from tidewire.operators import candidates as C
 from tidewire.operators import events as E
 from tidewire.operators import reports as R
+from tidewire.operators import selection as S
 from tidewire.sources import news
 
 NOW = "2026-08-16 07:30:00"
@@ -157,10 +158,42 @@ def han(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.round(T.han_share(F.concat(F.coalesce("text", F.lit("")), F.lit("中国"))), 6).alias("share"))
 
 
+def leaders(spark: SparkSession, folder: str) -> DataFrame:
+    return E.deduplicated(C.with_features(_scored(spark, folder)))
+
+
+def matches(spark: SparkSession, folder: str) -> DataFrame:
+    return E.match_pairs(C.with_features(_scored(spark, folder)))
+
+
+def redaction(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    return docs.select("doc_id", checks.redact_secrets(F.col("text")).alias("text"))
+
+
+def artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select("page_id", checks.has_html_artifact(F.coalesce("html", F.lit(""))).alias("artifact"))
+
+
+def bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select("page_id", checks.article_body(F.col("html"), least=40).alias("body"))
+
+
+def slates(spark: SparkSession, folder: str) -> DataFrame:
+    """Five of each domain: the best 60 candidates as events of one report, preselected under caps."""
+    w = Window.partitionBy("domain").orderBy(*C.total_order())
+    pool = _scored(spark, folder).withColumn("place", F.row_number().over(w)).where("place <= 60")
+    pool = pool.withColumn("lead", F.col("title")).withColumn("level", F.when(F.col("published_at").isNull(), "unverified").otherwise("single-source"))
+    pool = pool.select("domain", "id", F.col("place").cast("long"), "source_id", "lead", "level", "reliability")
+    chosen = S.preselect(pool, capped=True).join(pool.drop("place"), ["domain", "id"])
+    return S.slates(chosen)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         events, strip_html, clean_urls, features, numbers, ranking, decisions, quota, diversity, evidence, duplicates, shares, pairwise, ownership, digest, dates, han,
+        leaders, matches, redaction, artifacts, bodies, slates,
     )
 }
 
@@ -209,5 +242,9 @@ SELECT id, source_id, score FROM o WHERE n = 1 ORDER BY score DESC, id LIMIT 3""
     "dates": "SELECT page_id, '2026-08-0' || CAST(page_id % 9 + 1 AS VARCHAR) || ' 01:02:03' AS published_at FROM pages",
     "han": r"""SELECT doc_id, round(length(regexp_replace(x, '[^\p{Han}]', '', 'g')) / length(regexp_replace(x, '[^\p{L}]', '', 'g')), 6) AS share
 FROM (SELECT doc_id, coalesce(text, '') || '中国' AS x FROM documents)""",
+    "redaction": r"""SELECT doc_id, regexp_replace(regexp_replace(text, 'Bearer\s+[^\s"'']+', 'Bearer [REDACTED]', 'gi'), '\b(?:tvly|sk)-[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g') AS text
+FROM documents""",
+    "artifacts": r"""SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b') AS artifact
+FROM pages""",
 }
 FLAGSHIP = "events"
