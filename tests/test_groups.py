@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire import plans
 from tidewire.functions import checks, quantities
-from tidewire.operators import candidates, events, leaders, selection, setjoin
+from tidewire.operators import candidates, events, leaders, selection, setjoin, targets
 from tidewire.sources import feeds, publish
 
 DATA = "/root/testdata/sf0.001"
@@ -94,3 +94,16 @@ def test_feeds_and_publishing(spark, tmp_path):
     assert not publish.publish(stories, held, str(tmp_path / "out"), "2026-08-16") and not (tmp_path / "out").exists()
     assert publish.publish(stories, free, str(tmp_path / "out"), "2026-08-16")
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_dates_are_recovered_within_the_budget(spark):
+    page = lambda day: f'<meta property="article:published_time" content="2026-08-{day}T00:00:00Z">'
+    rows = [("a", "u1", 5.0, None), ("b", "u1", 9.0, None), ("c", "u2", 7.0, None), ("d", "u3", 1.0, None), ("e", "u4", 8.0, None), ("f", "u5", 2.0, "2026-08-15 00:00:00")]
+    df = spark.createDataFrame([(i, "world", u, "t", s, "other", p) for i, u, s, p in rows], "id string, domain string, url string, title string, score double, reliability string, at string")
+    df = df.withColumn("published_at", F.col("at").cast("timestamp")).drop("at")
+    pages = spark.createDataFrame([("u1", page(15)), ("u2", page("01")), ("u4", page(28)), ("u3", page(15))], "url string, html string")
+    found = targets.date_records(df, pages, "2026-08-16 00:00:00", limit=3)
+    assert {r.id: r.status for r in found.collect()} == {"a": "recovered", "b": "recovered", "c": "expired", "e": "future-dated"}
+    after = {r.id: r for r in targets.with_recovered_dates(df, found, "2026-08-16 00:00:00").collect()}
+    assert set(after) == {"a", "b", "d", "f"} and after["d"].published_at is None
+    assert after["b"].score == 9.0 + 20 + 30 and after["f"].score == 2.0
