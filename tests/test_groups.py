@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire import plans
 from tidewire.functions import checks, quantities
-from tidewire.operators import candidates, events, leaders, selection, setjoin, targets
+from tidewire.operators import candidates, crossdomain, events, leaders, selection, setjoin, targets
 from tidewire.sources import feeds, publish
 
 DATA = "/root/testdata/sf0.001"
@@ -107,3 +107,26 @@ def test_dates_are_recovered_within_the_budget(spark):
     after = {r.id: r for r in targets.with_recovered_dates(df, found, "2026-08-16 00:00:00").collect()}
     assert set(after) == {"a", "b", "d", "f"} and after["d"].published_at is None
     assert after["b"].score == 9.0 + 20 + 30 and after["f"].score == 2.0
+
+
+def test_events_of_several_domains_are_merged(spark):
+    def event(domain, id_, place, day, url, title, entities=(), actions=(), objects=(), fit=1.0):
+        return (domain, id_, place, f"2026-08-{day} 00:00:00", [url], title.replace(" ", ""), title.split(), list(entities), list(actions), list(objects), [], list(entities), fit, 1.0)
+
+    rows = [
+        event("ai", "a1", 1, 10, "u1", "one two three", ["x"], ["launch"], ["model"]),
+        event("ai", "a2", 2, 10, "u2", "other words here", ["y"], ["ban"], []),
+        event("world", "w1", 1, 11, "u3", "one more title", ["x"], ["launch"], ["model"], fit=2.0),
+        event("world", "w2", 2, 11, "u2", "same page again"),
+        event("world", "w3", 3, 20, "u2", "same page but late"),
+        event("world", "w4", 4, 10, "u9", "y bought it", ["y"], ["buy"], []),
+        event("markets", "m1", 1, 12, "u8", "about y alone", ["y"], [], []),
+        event("markets", "m2", 99, 10, "u1", "beyond the limit"),
+    ]
+    schema = "domain string, id string, place int, at string, urls array<string>, title_key string, title_tokens array<string>, title_entities array<string>, title_actions array<string>, title_objects array<string>, title_locations array<string>, entities array<string>, fit double, priority double"
+    df = spark.createDataFrame(rows, schema).withColumn("last_at", F.col("at").cast("timestamp"))
+    df = df.withColumn("title_quantities", F.transform(F.array().cast("array<string>"), quantities.comparable))
+    pairs = {(r.a, r.b): r.confidence for r in crossdomain.cross_domain_pairs(df).collect()}
+    assert pairs == {("a1", "w1"): "high", ("a2", "w2"): "high", ("a2", "m1"): "medium", ("m1", "w4"): "medium"}
+    found = {r.id: (r.winner, r.kept) for r in crossdomain.merged(df, ["ai", "world", "markets"]).collect()}
+    assert found == {"a1": ("w1", False), "w1": ("w1", True), "a2": ("a2", True), "w2": ("a2", False), "w3": ("w3", True), "w4": ("w4", True), "m1": ("m1", True)}
