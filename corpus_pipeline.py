@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; run() writes each result as Parquet in the
 shared folder and reads it again for the next. All but the last return the columns of documents.
+
+Rows that repeat a doc_id stay or go together, and so do all rows without one: they stay if any of them does. Null texts
+are judged as empty and stay null up to packing. Without labels or benchmark items nothing is dropped by them. Empty
+documents give no rows. Other columns of documents are left out.
 """
 
 from __future__ import annotations
