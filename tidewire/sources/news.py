@@ -42,7 +42,7 @@ def pages_as_candidates(pages: DataFrame, headlines: list[str], hosts: list[str]
         F.col("page_id").cast("string").alias("id"),
         F.element_at(F.array(*map(F.lit, DOMAINS)), (F.pmod(F.col("page_id"), F.lit(4)) + 1).cast("int")).alias("domain"),
         title.alias("title"),
-        F.left(strip_html(F.col("html")), F.lit(400)).alias("description"),
+        strip_html(F.col("html")).alias("description"),
         clean_url(url).alias("url"),
         F.when(F.pmod("page_id", F.lit(13)) != 0, F.lit(start).cast("timestamp") - F.make_dt_interval(hours=hours)).alias("published_at"),
         hostname(url).alias("source_id"),
