@@ -75,6 +75,15 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_verdicts_do_not_follow_the_parent_domain(spark):
+    clean = ["https://ththan.{}/en/7944", "http://www.ththst.{}/en/1837/", "https://news.{}/2022/07/harbour-report", "https://essay.{}/en/91"]
+    junk = ["https://casino-win.{}/free-spins", "https://ads.{}/click?id=9", "https://cheap-pills.{}/buy-now", "https://shop.{}/cart"]
+    urls = [(want, u.format(parent)) for want, own in (("allow", clean), ("block", junk)) for u in own for parent in ("example.com", "example.org", "example.net")]
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(urls)], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judge_urls(pages, []).collect()}
+    assert [(u, round(found[i].score, 2)) for i, (want, u) in enumerate(urls) if found[i].verdict != want] == []
+
+
 def test_captures(spark):
     rows = [(1, "http://a.b/", "x"), (1, "http://a.b/", "x"), (None, None, "x"), (2, "", None), (3, "http://a.b/", "")]
     found = warc.capture_history(spark.createDataFrame([(*r, "k", "d") for r in rows], "page_id long, url string, html string, url_key string, payload_digest string")).collect()

@@ -8,28 +8,36 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small labelled table, chosen by hand: pages with running text (0) and pages that carry none worth keeping (1).
-LABELLED = (
-    [(u, 0) for u in (
-        "https://en.wiki.example.org/wiki/Harbour", "https://news.example.org/2021/05/river-flood-report", "https://blog.example.org/posts/learning-to-sail",
-        "https://docs.example.org/en/guide/install.html", "https://library.example.org/books/essays/chapter-3", "https://www.school.example.org/courses/history/notes",
-        "https://journal.example.org/articles/soil-and-rain", "https://museum.example.org/de/ausstellung/geschichte.html", "https://magazine.example.org/fr/culture/portrait",
-        "https://forum.example.org/t/how-to-prune-apple-trees/4411", "https://science.example.org/papers/tides.html", "https://www.town.example.org/en/council/minutes",
-        "https://recipes.example.org/soup/lentil", "https://m.times.example.org/es/opinion/2020/carta", "https://stories.example.org/en/12044.html",
-        "https://garden.example.org/en/5120/", "https://www.radio.example.org/en/programme/31", "https://archive.example.org/texts/letters/1890",
-        "https://health.example.org/en/advice/sleep", "https://www.law.example.org/commentary/contracts", "https://essay.example.org/en/77",
-        "https://travel.example.org/guides/coast-path", "https://university.example.org/lectures/week-2.html", "https://reader.example.org/en/20981.html",
-    )]
-    + [(u, 1) for u in (
-        "https://ads.example.com/click?id=1", "https://track.example.com/pixel.gif", "https://shop.example.com/cart/checkout", "https://www.casino-bonus.example.com/free-spins",
-        "https://login.example.com/signin", "https://cdn.example.com/static/app.min.js", "https://cheap-pills.example.com/buy-now", "https://banner.example.com/ads/728x90",
-        "https://img.example.com/thumbs/0001.jpg", "https://win-prize.example.com/claim", "https://dl.example.com/setup.exe", "https://popup.example.com/landing/offer",
-        "https://adult-xxx.example.com/videos", "https://redirect.example.com/out?to=1", "https://coupon.example.com/deals/50-off", "https://api.example.com/v1/status.json",
-        "https://proxy.example.com/browse", "https://spam-seo.example.com/backlinks", "https://betting.example.com/odds/live", "https://loan.example.com/apply-fast",
-        "https://feed.example.com/rss.xml", "https://share.example.com/submit", "https://tag.example.com/t/buy/cheap", "https://search.example.com/results/page",
-    )]
+#: Hosts (labels before a parent domain) and paths of pages with running text, chosen by hand.
+_TEXT_PAGES = (
+    ("en.wiki", "/wiki/Harbour"), ("news", "/2021/05/river-flood-report"), ("blog", "/posts/learning-to-sail"), ("docs", "/en/guide/install.html"),
+    ("library", "/books/essays/chapter-3"), ("www.school", "/courses/history/notes"), ("journal", "/articles/soil-and-rain"),
+    ("museum", "/de/ausstellung/geschichte.html"), ("magazine", "/fr/culture/portrait"), ("forum", "/t/how-to-prune-apple-trees/4411"),
+    ("science", "/papers/tides.html"), ("www.town", "/en/council/minutes"), ("recipes", "/soup/lentil"), ("m.times", "/es/opinion/2020/carta"),
+    ("stories", "/en/12044.html"), ("garden", "/en/5120/"), ("www.radio", "/en/programme/31"), ("archive", "/texts/letters/1890"),
+    ("health", "/en/advice/sleep"), ("www.law", "/commentary/contracts"), ("essay", "/en/77"), ("travel", "/guides/coast-path"),
+    ("university", "/lectures/week-2.html"), ("reader", "/en/20981.html"),
+    ("notes", "/de/4123"), ("www.chronicle", "/fr/907/"), ("m.letters", "/es/3315.html"), ("lexicon", "/en/6840"), ("m.herald", "/de/1502.html"),
+    ("www.nation", "/es/284/"), ("blog.farmhouse", "/fr/5077"), ("gardian", "/en/930"),
 )
 
+#: The same for pages that carry none worth keeping.
+_JUNK_PAGES = (
+    ("ads", "/click?id=1"), ("track", "/pixel.gif"), ("shop", "/cart/checkout"), ("www.casino-bonus", "/free-spins"), ("login", "/signin"),
+    ("cdn", "/static/app.min.js"), ("cheap-pills", "/buy-now"), ("banner", "/ads/728x90"), ("img", "/thumbs/0001.jpg"), ("win-prize", "/claim"),
+    ("dl", "/setup.exe"), ("popup", "/landing/offer"), ("adult-xxx", "/videos"), ("redirect", "/out?to=1"), ("coupon", "/deals/50-off"),
+    ("api", "/v1/status.json"), ("proxy", "/browse"), ("spam-seo", "/backlinks"), ("betting", "/odds/live"), ("loan", "/apply-fast"),
+    ("feed", "/rss.xml"), ("share", "/submit"), ("tag", "/t/buy/cheap"), ("search", "/results/page"),
+    ("promo", "/win/phone"), ("www.clicks", "/go?ad=77"), ("basket", "/cart/add"), ("m.slots", "/casino/play"), ("www.pay", "/checkout/now"),
+    ("affiliate", "/ref/link"), ("static", "/css/site.css"), ("blog.backlink", "/seo/cheap-links"),
+)
+
+_PARENTS = ("example.com", "example.org", "example.net")
+
+#: A small labelled table: pages with running text (0) and pages without (1). Each is on every parent domain, so that a
+#: parent tells nothing of the label.
+LABELLED = [(f"https://{host}.{parent}{path}", label) for label, own in enumerate((_TEXT_PAGES, _JUNK_PAGES)) for host, path in own for parent in _PARENTS]
+
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, with A-Z lower-cased; empty without one."""
