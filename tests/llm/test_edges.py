@@ -98,3 +98,20 @@ def test_top_k_with_ties_and_repeated_rows(spark):
     best = [(r.rank, r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == 0 and r.vec_id is not None]
     assert [v for _, v, _ in best] == [1, 2, 3]
     assert [s for *_, s in best] == [3 * 1024 * 1024, 3 * 1024 * 1024, 1024 * 1024]
+
+
+def test_top_k_lists_k_distinct_ids_of_repeated_rows(spark):
+    import random
+
+    random.seed(4)
+    rows = [(i % 60, [float(random.randint(-9, 9)) for _ in range(24)]) for i in range(120)]
+    for own, blocks in ((rows[:60] * 2, {}), (rows, {}), (rows * 3, {"candidate_block": 40, "query_block": 2})):
+        scores = {}
+        for q, x in own:
+            for c, y in own:
+                if q % 20 == 0 and c != q:
+                    scores[q, c] = max(scores.get((q, c), -(10**9)), int(sum(a * b for a, b in zip(x, y))) * 1024**2)
+        want = {(q, n, c, -s) for q in (0, 20, 40) for n, (s, c) in enumerate(sorted((-s, c) for (p, c), s in scores.items() if p == q)[:10], 1)}
+        df = spark.createDataFrame(own, "vec_id long, embedding array<float>")
+        found = vector_search.top_k(df, every=20, step=8, **blocks).collect()
+        assert len(found) == 30 and {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == want
