@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; run() writes each result as Parquet in the
 shared folder and reads it again for the next. All but the last return the columns of documents.
 
-Rows that repeat a doc_id stay or go together, and so do all rows without one: they stay if any of them does. Null texts
-are judged as empty and stay null up to packing. Without labels or benchmark items nothing is dropped by them. Empty
+Quality and contamination are judged by row: rows that share a doc_id, or have none, stay or go by their own texts. As
+near-duplicates, rows that repeat a doc_id are one document, and each row without one is a document of its own, after all
+that have one. Null texts are judged as empty and stay null up to packing. Without labels or benchmark items nothing is dropped by them. Empty
 documents give no rows. Other columns of documents are left out.
 """
 
@@ -14,30 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, near_dedup, pack, pii, quality
-from tidewire.llm.common import written
+from tidewire.llm.common import text_key, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs whose ids are in kept."""
-    return docs.join(kept.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Rows of docs whose ids and texts are in kept (doc_id, text_key)."""
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_semi").select(*COLUMNS)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scores = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True)
     return _only(docs, scores.where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id; five-word shingles at 0.8."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept"))
+    """One document of each group of near-duplicates: that with the smallest id; five-word shingles at 0.8.
+
+    Rows without an id are numbered from the largest id on; ids that leave no room for that make the run fail.
+    """
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("_row"))
+    nameless = docs.where("doc_id is null")
+    if not nameless.isEmpty():
+        top = docs.agg(F.max("doc_id")).first()[0] or 0
+        number = F.lit(top).cast("long") + F.lit(1).cast("long") + F.monotonically_increasing_id()
+        nameless = written(nameless.select(*COLUMNS, number.alias("_row")), "nameless")  # numbers must not change from scan to scan
+        rows = rows.where("doc_id is not null").unionByName(nameless)
+    kept = near_dedup.near_duplicates(rows, id_col="_row").where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no benchmark passage covers a twentieth."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed=True)
     return _only(docs, found.where("not contaminated"))
 
 

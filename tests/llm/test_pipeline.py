@@ -115,3 +115,18 @@ def test_without_labels_or_items_nothing_is_dropped(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for stage in (corpus_pipeline.judge_quality, corpus_pipeline.drop_contaminated):
         assert stage(spark, docs, folder).count() == 3
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_themselves(spark, tmp_path):
+    bad, dirty, clean = "### %% @@ " * 30, f"{say(30)} {PASSAGE} {say(30)}", [say(80) + "." for _ in range(3)]
+    rows = [*((i, t) for i, t, *_ in ROWS[:120]), (None, clean[0]), (None, clean[0]), (None, bad), (None, dirty), (None, GOOD[0]), (400, clean[1]), (400, bad), (401, clean[2]), (401, dirty)]
+    folder = write(spark, tmp_path, [(i, t, "en", "a") for i, t in rows])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    new = lambda df: sorted(((r.doc_id, r.text) for r in df.collect() if r.doc_id is None or r.doc_id >= 400), key=str)
+    order = lambda pairs: sorted(pairs, key=str)
+    own = rows[120:]
+    assert new(corpus_pipeline.judge_quality(spark, docs, folder)) == order(r for r in own if r[1] != bad)
+    assert new(corpus_pipeline.drop_contaminated(spark, docs, folder)) == order(r for r in own if r[1] != dirty)
+    left = new(corpus_pipeline.drop_near_duplicates(spark, docs, folder))
+    # The others copy documents with an id: 0, one of BAD, and 401.
+    assert [t for i, t in left if i is None] == [clean[0]]

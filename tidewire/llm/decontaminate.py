@@ -106,9 +106,12 @@ def contamination(
     shingle: int = 3,
     one_in: int = 20,
     block: int = 200_000,
+    keyed: bool = False,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (sorted as strings), spans (word start, end) and contaminated.
 
+    keyed: text_key too, which tells rows of one id apart.
+
     Words are runs of digits, letters a-z after lower-casing A-Z, and all characters beyond ASCII. A word is hit if any
     occurrence of a window covers it; a document is contaminated if it has a hit and one_in * n_hit >= n_words.
 
@@ -184,6 +187,7 @@ def contamination(
         .withColumn("n_hit", n_hit)
         .select(
             "doc_id",
+            *(["text_key"] if keyed else []),
             "n_words",
             "n_hit",
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),

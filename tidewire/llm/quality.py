@@ -143,9 +143,12 @@ def quality_scores(
     ridge: float = 0.05,
     threshold: float = 0.3,
     folds: int = 5,
+    keyed: bool = False,
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, high for label 1) and predicted (1 if score >= threshold).
 
+    keyed: text_key too, which tells rows of one id apart.
+
     Labels of held-out rows, those with crc32(doc_id as text) mod folds of 0, are never learned from; ids, languages and
     sources are never inputs. All other labelled rows are used. Null or empty texts are scored as texts without words. Of
     labels that repeat a doc_id, each counts; null labels and labels other than 0 and 1 are left out. A null doc_id is
@@ -161,12 +164,14 @@ def quality_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = np.array(batch.column(3).to_pylist(), float).reshape(batch.num_rows, -1)
             values = np.full(len(x), model) if isinstance(model, float) else model.scores(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["doc_id", "held_out", "score"])
+            own = [batch.column(i) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(values, pa.float64())], ["doc_id", "text_key", "held_out", "score"])
 
-    return (
-        stats.select("doc_id", held_out.alias("held_out"), "stats")
-        .mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = (
+        stats.select("doc_id", "text_key", held_out.alias("held_out"), "stats")
+        .mapInArrow(score, "doc_id long, text_key long, held_out boolean, score double")
         .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
     )
+    return scored if keyed else scored.drop("text_key")
