@@ -1,4 +1,4 @@
-"""Events: matching, duplicates, first-fit clusters, evidence, syndication.
+"""Events: matching, duplicates, first-fit clusters, evidence.
 
 Pairs come from equi-joins on keys that any match must share. Greedy folds over ordered rows run for each connected
 component of the pairs: rows of different components cannot meet, so the fold over a component is the fold over all.
