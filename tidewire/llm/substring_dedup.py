@@ -12,8 +12,8 @@ Spark sorts the positions by pairs of ranks at growing offsets, and only positio
 3. The windows of what is left are ranked against each other: within the sorted run of their 16 bytes, or, where a run is
    too large for that, by one more sort of all its windows.
 
-Ranks are the bytes themselves, so equality is exact at each step; hashes only choose positions and partitions. Rows known
-to be tied or settled before a sort (by others of their batch) are not sorted but dealt out at random, and a gram with more
+Ranks are the bytes themselves, so equality is exact at each step; hashes only choose positions and partitions. Copies of
+whole texts, told by SHA-256, leave after the first sort. Rows known to be tied or settled before a sort (by others of their batch) are not sorted but dealt out at random, and a gram with more
 than 1/2000 of all positions is dealt out by contexts, so that no key fills a task.
 """
 
@@ -78,9 +78,13 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _later(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of rows of bytes, those that a smaller document has too."""
-    code = _binary(rows).dictionary_encode().indices.to_numpy()
+def _codes(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of bytes, equal for equal rows."""
+    return _binary(rows).dictionary_encode().indices.to_numpy()
+
+
+def _later(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same code."""
     order = np.lexsort((doc, code))
     head = np.r_[True, code[order][1:] != code[order][:-1]]
     least = np.empty(len(doc), doc.dtype)
@@ -88,6 +92,15 @@ def _later(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc > least
 
 
+def _objects(lists: pa.Array) -> np.ndarray:
+    """Lists, nearly all null, as an array of objects."""
+    out = np.full(len(lists), None, object)
+    if lists.null_count < len(lists):
+        for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = lists[i].as_py()
+    return out
+
+
 def _windows(contexts: np.ndarray, extent: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of contexts (rows of bytes): row of each, its place in the context, its bytes."""
     of = np.repeat(np.arange(len(extent)), extent + 1)
@@ -137,7 +150,13 @@ def repeated_substrings(
     # One number tells rows apart unless ids repeat; then the text's hash does, besides.
     keys = ["doc_id"] if unique else ["doc_id", "text_key"]
     key_type = ", ".join(f"{k} long" for k in keys)
+    # Copies of a whole text lose all, or are too short to lose anything: they take no part beyond the first sort.
+    prints = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), text_key().alias("text_key"), F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("print"))
+    prints = written(prints.where("n > 0"), "prints")
+    first = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = written(prints.join(first, "print").where("doc_id > least").select(*keys, "n"), "copies")
     wide = 2 * length - GRAM  # the longest context
+    shifts = pa.list_(pa.int64())
 
     def own(batch: pa.RecordBatch) -> list[np.ndarray]:
         return [batch.column(0).fill_null(_NONE).to_numpy(), batch.column(1).to_numpy()][: len(keys)]
@@ -250,8 +269,21 @@ def repeated_substrings(
                     rows[:, GRAM + 2 :] = np.lib.stride_tricks.sliding_window_view(data, wide)[first]
                     rows[:, GRAM + 2 :][np.arange(wide) >= (length + extent)[:, None]] = 0
                     row = np.array(group)[of]
+                    code = _codes(rows)
+                    # Repeats of a context within a text share the fate of the first; it keeps how far they lie behind it.
+                    order = np.lexsort((np.arange(len(at)), row, code))
+                    fresh = np.r_[True, (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1])]
+                    more: list = [None] * int(fresh.sum())
+                    if len(more) < len(at):
+                        head = np.flatnonzero(fresh)
+                        place = at[order] >> 12
+                        for i, (b, e) in enumerate(zip(head.tolist(), [*head[1:].tolist(), len(at)], strict=True)):
+                            if e - b > 1:
+                                more[i] = place[b + 1 : e] - place[b]
+                    pick = order[fresh]
+                    rows, at, row, code = rows[pick], at[pick], row[pick], code[pick]
                     doc = who[0][row]
-                    settled = _later(rows, doc)
+                    settled = _later(code, doc)
                     gram = np.ascontiguousarray(rows[:, :GRAM]).view(">u8").astype(np.uint64)
                     print_ = mix(gram[:, 0] * GOLDEN + mix(gram[:, 1]))
                     salt = np.zeros(len(at), np.int64)
@@ -263,7 +295,7 @@ def repeated_substrings(
                     ranks = _binary(rows).to_pylist() if settled.any() else None
                     rank = pa.array([b"" if s else r for r, s in zip(ranks, settled.tolist(), strict=True)], pa.binary()) if ranks else _binary(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [rank, pa.array(salt), *(pa.array(w[row]) for w in who), pa.array(at)], ["rank", "salt", *keys, "at"]
+                        [rank, pa.array(salt), *(pa.array(w[row]) for w in who), pa.array(at), pa.array(more, shifts)], ["rank", "salt", *keys, "at", "more"]
                     )
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +304,8 @@ def repeated_substrings(
 
         def out(who: list[np.ndarray], start: np.ndarray, end: np.ndarray, context: np.ndarray | None = None) -> pa.RecordBatch:
             last = pa.nulls(len(start), pa.binary()) if context is None else _binary(context)
-            return pa.RecordBatch.from_arrays([*(pa.array(w) for w in who), pa.array(start), pa.array(end), last], [*keys, "start", "end", "context"])
+            own = [*(pa.array(w) for w in who[:-1]), pa.array(start), pa.array(end), pa.array(who[-1].tolist(), shifts), last]
+            return pa.RecordBatch.from_arrays(own, [*keys, "start", "end", "more", "context"])
 
         def compare(rows: np.ndarray, who: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Windows of whole runs of grams that a smaller document has too."""
@@ -282,7 +315,7 @@ def repeated_substrings(
             for group in batches_of(some.tolist(), ((at[some] & 63) + 1).tolist(), 4_000_000):
                 pick = np.array(group)
                 of, place, windows = _windows(np.ascontiguousarray(rows[pick, GRAM + 2 :]), at[pick] & 63, length)
-                late = _later(windows, who[0][pick][of])
+                late = _later(_codes(windows), who[0][pick][of])
                 of, start, end = _runs(of[late], place[late])
                 start, end = start + (at[pick[of]] >> 12), end + (at[pick[of]] >> 12) + length
                 yield out([w[pick[of]] for w in who], start, end)
@@ -295,6 +328,7 @@ def repeated_substrings(
                 continue
             salt, at = batch.column(1).to_numpy(), batch.column(2 + n_keys).to_numpy()
             who = [batch.column(2 + i).to_numpy() for i in range(n_keys)]
+            who.append(_objects(batch.column(3 + n_keys)))
             ranks = batch.column(0)
             full = np.diff(np.frombuffer(ranks.buffers()[1], np.int32)[ranks.offset : ranks.offset + len(ranks) + 1]) > 0
             settled = ~full
@@ -321,7 +355,7 @@ def repeated_substrings(
             yield out([w[gone] for w in who], at[gone] >> 12, (at[gone] >> 12) + (at[gone] & 63) + length)
             if count >= most_in_run:
                 rows = np.concatenate([h[0] for h in held])
-                whos, ats = [np.concatenate([h[1][i] for h in held]) for i in range(n_keys)], np.concatenate([h[2] for h in held])
+                whos, ats = [np.concatenate([h[1][i] for h in held]) for i in range(n_keys + 1)], np.concatenate([h[2] for h in held])
                 gram = np.ascontiguousarray(rows[:, :GRAM]).view(f"V{GRAM}")[:, 0]
                 going = int(np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])[-1])
                 begin = 0
@@ -342,7 +376,7 @@ def repeated_substrings(
                 count = len(rows) - going
         if held:
             rows = np.concatenate([h[0] for h in held])
-            whos, ats = [np.concatenate([h[1][i] for h in held]) for i in range(n_keys)], np.concatenate([h[2] for h in held])
+            whos, ats = [np.concatenate([h[1][i] for h in held]) for i in range(n_keys + 1)], np.concatenate([h[2] for h in held])
             begin = 0
             if spilled is not None and len(rows):
                 gram = np.ascontiguousarray(rows[:, :GRAM]).view(f"V{GRAM}")[:, 0]
@@ -353,11 +387,12 @@ def repeated_substrings(
                 yield from compare(rows[begin:], [w[begin:] for w in whos], ats[begin:])
 
     gathered = found.where("at is not null").groupBy(*keys).agg(F.collect_list("at").alias("positions"))
+    gathered = gathered.join(copies, keys, "left_anti")
     ranked = with_rows(gathered, "positions", "inner").select("doc_id", "text_key", "text", "positions")
-    ranked = ranked.mapInArrow(contexts, f"rank binary, salt long, {key_type}, at long")
+    ranked = ranked.mapInArrow(contexts, f"rank binary, salt long, {key_type}, at long, more array<long>")
     by_gram: Column = F.substring("rank", 1, GRAM)
     ranked = ranked.repartition(by_gram, "salt").sortWithinPartitions("rank", "doc_id")
-    spans = written(ranked.mapInArrow(judged, f"{key_type}, start long, end long, context binary"), "judged")
+    spans = written(ranked.mapInArrow(judged, f"{key_type}, start long, end long, more array<long>, context binary"), "judged")
     release(spark)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,13 +402,14 @@ def repeated_substrings(
             if not n:
                 continue
             first, last = batch.column(at).to_numpy(), batch.column(at + 1).to_numpy()
-            rows = np.frombuffer(b"".join(batch.column(at + 2).to_pylist()), np.uint8).reshape(n, wide)
+            rows = np.frombuffer(b"".join(batch.column(at + 3).to_pylist()), np.uint8).reshape(n, wide)
             of, place, windows = _windows(rows, last - first, length)
             who = [batch.column(i).to_numpy()[of] for i in range(at)]
-            late = _later(windows, who[0])
+            more = pa.array(_objects(batch.column(at + 2))[of].tolist(), shifts)
+            late = _later(_codes(windows), who[0])
             values = [b"" if x else v for v, x in zip(_binary(windows).to_pylist(), late.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values, pa.binary()), *(pa.array(w) for w in who), pa.array(first[of] + place)], ["window", *keys, "start"]
+                [pa.array(values, pa.binary()), *(pa.array(w) for w in who), pa.array(first[of] + place), more], ["window", *keys, "start", "more"]
             )
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,14 +421,15 @@ def repeated_substrings(
                     window, least = value, doc
                 late.append(not value or doc > least)
             found = batch.filter(pa.array(late, pa.bool_()))
-            start = found.column(1 + len(keys)).to_numpy()
-            yield pa.RecordBatch.from_arrays([*found.columns[1:], pa.array(start + length)], [*keys, "start", "end"])
+            start = found.column(1 + len(keys))
+            end = pa.array(start.to_numpy() + length)
+            yield pa.RecordBatch.from_arrays([*found.columns[1:-1], end, found.columns[-1]], [*keys, "start", "end", "more"])
 
     open_ = spans.where("context is not null")
-    spans_type = f"{key_type}, start long, end long"
-    removed = spans.where("context is null").select(*keys, "start", "end")
+    spans_type = f"{key_type}, start long, end long, more array<long>"
+    removed = spans.where("context is null").select(*keys, "start", "end", "more")
     if not open_.isEmpty():
-        windows = open_.mapInArrow(exploded, f"window binary, {key_type}, start long")
+        windows = open_.mapInArrow(exploded, f"window binary, {key_type}, start long, more array<long>")
         apart = F.when(F.length("window") == 0, F.xxhash64("doc_id", "start"))
         windows = windows.repartition("window", apart).sortWithinPartitions("window", "doc_id")
         removed = removed.unionByName(written(windows.mapInArrow(repeated, spans_type), "windows"))
@@ -419,6 +456,10 @@ def repeated_substrings(
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
+    shifted = removed.where("more is not null").withColumn("shift", F.explode("more"))
+    removed = removed.drop("more").unionByName(shifted.select(*keys, (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end")))
+    whole = copies.where(f"n >= {length}").select(*keys, F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    removed = removed.unionByName(whole)
     per_document = removed.groupBy(*keys).agg(F.struct(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).alias("marks"))
     return (
         with_rows(per_document, "marks", "left")
