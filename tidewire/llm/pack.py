@@ -1,19 +1,23 @@
 """Packing documents into fixed-length sequences by harmonic classes.
 
-A document's tokens are cut into whole sequences, then pieces of half, a quarter, ... of one down to `least` tokens, then
-a shorter tail. A piece of length L belongs to the class with reciprocal capacity k = capacity // L, and every bin of
-that class takes exactly k pieces, so that a piece's rank in its class alone tells its bin and its place in the bin.
-Workers number the pieces of each class by themselves; the counts per worker and class, summed in order, join them up.
-At most one bin of each class stays unfilled; those few are laid end to end in shared bins, largest lengths first.
+A piece of L tokens belongs to the class with reciprocal capacity k = capacity // L, the lengths in
+(capacity / (k + 1), capacity / k], and a bin of that class takes exactly k pieces. Each worker fills bins of its own, class
+by class, as its documents come. A document is cut so that classes fill their bins well: into whole sequences, then pieces of
+capacity // k for the smallest k that fits, down to `least` tokens, then one shorter tail, of whose class each bin is short
+by less than capacity / (k + 1). At its end a worker lays what its unfilled bins hold into shared bins, longest pieces first.
+
+Workers need nothing of each other but how many bins the earlier ones have, which numbers the sequences without gaps.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,6 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewire.llm.common import as_documents, batches_of, written
 
@@ -32,14 +35,26 @@ _CACHED = 500_000
 _STOPS = ".,!?;:"
 #: No plain text has it.
 _MARK = "\x01"
+#: What a tokenizer file must do before its merges for words to be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_words(path: str) -> bool:
+    """Whether the tokenizer file lower-cases, splits at white space, and splits runs of letters from all else."""
+    parts = json.loads(Path(path).read_text(encoding="utf-8"))
+    steps = [parts[c] or {} for c in ("normalizer", "pre_tokenizer")]
+    first = (steps[1].get("pretokenizers") or [{}])[0]
+    return steps[0].get("normalizers") == _NORMALIZERS and first.get("pattern") == {"Regex": _SPLIT} and first.get("invert") is True and parts["model"]["type"] == "BPE"
 
 
 @lru_cache(maxsize=1)  # tasks of a worker follow each other and share what it has learned
 def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterator[bytes]]:
     """Token ids of texts, little-endian unsigned 32-bit, as the tokenizer file gives them; end_id follows each text.
 
-    The file must split at white space, as word_bpe_49k.json does: then the ids of a text are those of its words, and
-    words that were seen before need no second encoding. Texts with special strings or unusual characters go whole.
+    If the file splits words as word_bpe_49k.json does, the ids of a text are those of its words, and words that were
+    seen before need no second encoding. Texts with special strings or unusual characters go whole, and so do all texts
+    with any other file.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
     from tokenizers import Tokenizer
@@ -48,14 +63,18 @@ def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterato
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     known: dict[str, bytes] = {}
-    one = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    one = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
     mark = one(_MARK)
+    by_words = len(mark) == 1 and splits_words(path)
+    model = tokenizer.model
 
     def learn(words: list[str]) -> dict[str, bytes]:
-        """Ids of words, encoded side by side with a mark between them that is a token of its own."""
-        found: dict[str, bytes] = {}
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
+        """Ids of words: of plain letters, by the merges alone; others side by side, a mark between them that is a token."""
+        letters = [w for w in words if w.isascii() and w.isalpha()]
+        found = {w: np.array([t.id for t in model.tokenize(w)], "<u4").tobytes() for w in letters}
+        others = [w for w in words if w not in found]
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
             ids = one(f" {_MARK} ".join(some))
             ends = np.flatnonzero(ids == mark[0])
             data, at = ids.tobytes(), 0
@@ -66,7 +85,7 @@ def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterato
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         for group in batches_of(texts, [len(t) for t in texts], 8_000_000):
-            plain = [len(mark) == 1 and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in special) for t in group]
+            plain = [by_words and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in special) for t in group]
             split = [unicodedata.normalize("NFC", t).lower().split() if p else [] for t, p in zip(group, plain, strict=True)]
             new = list(set().union(*split) - known.keys())
             # A word with stops behind it is the word and one token run of stops: fewer words to learn.
@@ -88,36 +107,49 @@ def word_encoder(path: str, end_id: int | None) -> Callable[[list[str]], Iterato
 
 
 def pieces_of(n: int, capacity: int, least: int) -> list[int]:
-    """Lengths into which n tokens are cut: whole sequences, then halves of one down to `least`, then the rest."""
+    """Lengths into which n tokens are cut: whole sequences, then the largest capacity // k that fits, then a tail of `least` at most."""
     lengths = [capacity] * (n // capacity)
     n %= capacity
-    size = capacity // 2
-    while size >= least and size > 0:
-        if n >= size:
-            lengths.append(size)
-            n -= size
-        size //= 2
-    while n >= least > 0 and size > 0:  # only where halving left more than one step
-        lengths.append(least)
-        n -= least
+    while n > max(least, 1):
+        lengths.append(capacity // -(-capacity // n))
+        n -= lengths[-1]
     return lengths + [n] * (n > 0)
 
 
-def _tail_bins(counts: list[tuple[int, int]], capacity: int) -> dict[int, tuple[int, int, int]]:
-    """For each length with pieces left over: the shared bin and offset it starts at, and how many fit into that bin."""
-    places, bin_, at = {}, 0, 0
-    for length, n in sorted(counts, reverse=True):
-        first = (capacity - at) // length
-        places[length] = (bin_, at, first)
-        if n < first:
-            at += n * length
-        elif n == first:
-            at += n * length
-            if at == capacity:
-                bin_, at = bin_ + 1, 0
-        else:
-            bin_, at = bin_ + 1, (n - first) * length
-    return places
+class Bins:
+    """One worker's bins: of each class, one that is open; full ones leave with a number."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.full, self.open = capacity, 0, {}
+
+    def put(self, length: int, row: tuple) -> list[tuple]:
+        """The rows (row, bin, offset) of the bin that this piece fills; none while it is open."""
+        k = self.capacity // length
+        held = self.open.setdefault(k, [])
+        held.append((length, row))
+        if len(held) < k:
+            return []
+        del self.open[k]
+        return self._close(held)
+
+    def _close(self, held: list[tuple]) -> list[tuple]:
+        at, out = 0, []
+        for length, row in held:
+            out.append((row, self.full, at))
+            at += length
+        self.full += 1
+        return out
+
+    def rest(self) -> list[tuple]:
+        """What open bins hold, at most k pieces of class k: each piece into the first shared bin with room, longest first."""
+        left = sorted((x for held in self.open.values() for x in held), key=lambda x: -x[0])
+        room, shared = np.full(len(self.open) + 1, self.capacity), [[] for _ in range(len(self.open) + 1)]
+        for length, row in left:
+            i = int(np.argmax(room >= length))
+            room[i] -= length
+            shared[i].append((length, row))
+        self.open = {}
+        return [x for held in shared if held for x in self._close(held)]
 
 
 def pack(
@@ -127,7 +159,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 4096,
-    least: int = 64,
+    least: int = 256,
     end_id: int | None = 2,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -136,69 +168,38 @@ def pack(
     from offset 0. A null or empty text has its end id alone. Repeated rows are packed each for itself; null doc_ids are
     kept. An empty table gives no rows. Texts are read whole; other columns are ignored.
 
-    A sequence is short of `capacity` only by capacity % L in bins of tails of L < `least` tokens, by less than `least`
-    where shared bins meet, and in the last shared bin.
+    A full bin of class k is short by less than capacity / (k + 1); only tails, whose k is capacity / least or more, are
+    short by more than k - 1 tokens. Of each worker's shared bins all but the last few are as good as full.
     """
-    spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path, end_id)
-        worker = TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
+        worker, bins = TaskContext.get().partitionId(), Bins(capacity)
+
+        def out(placed: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*((*row, bin_, at) for row, bin_, at in placed), strict=True) if placed else [()] * 7
+            arrays = [pa.array(c, pa.int64()) for c in columns]
+            return pa.RecordBatch.from_arrays(
+                [*arrays, pa.array([worker] * len(placed), pa.int64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "offset", "worker"]
+            )
+
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")}
+            placed: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 start, n = 0, len(ids) // 4
                 for length in pieces_of(n, capacity, least):
-                    rank = seen.get(length, 0)
-                    seen[length] = rank + 1
                     crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                    for k, v in zip(rows, (doc, start, length, crc, n, rank), strict=True):
-                        rows[k].append(v)
+                    placed += bins.put(length, (doc, start, length, crc, n))
                     start += length
-            n = len(rows["rank"])
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()] + [pa.array([worker] * n, pa.int64())], [*rows, "worker"])
+            yield out(placed)
+        yield out(bins.rest())
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long, worker long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, offset long, worker long"
     pieces = written(as_documents(docs, id_col, text_col).mapInArrow(cut, schema), "pieces")
-
-    counts = pieces.groupBy("worker", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(
-        counts.select("worker", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n"), "starts"
-    )
-
-    # A length is below capacity or equal to it: the driver reads one row for each of at most `least` + log2 lengths.
-    totals = {r.length: r.n for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = _tail_bins([(length, n % (capacity // length)) for length, n in totals.items() if n % (capacity // length)], capacity)
-    plan, base = [], 0
-    for length in sorted(totals, reverse=True):
-        full = totals[length] // (capacity // length)
-        plan.append((length, base, full * (capacity // length), *places.get(length, (0, 0, 1))))
-        base += full
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("length", "first_bin", "regular", "tail_bin", "tail_at", "tail_first")])
-    classes = spark.createDataFrame(plan, schema)
-
-    rank = F.col("rank") + F.col("base")
-    per_bin = F.floor(F.lit(capacity) / F.col("length"))
-    late = F.col("rank") - F.col("regular")
-    shared = late < F.col("tail_first")
-    return (
-        pieces.join(starts.drop("n"), ["worker", "length"])
-        .join(F.broadcast(classes), "length")
-        .withColumn("rank", rank)
-        .withColumn("late", late)
-        .withColumn(
-            "sequence_id",
-            F.when(F.col("late") < 0, F.col("first_bin") + F.floor(F.col("rank") / per_bin))
-            .when(shared, F.lit(base) + F.col("tail_bin"))
-            .otherwise(F.lit(base) + F.col("tail_bin") + 1),
-        )
-        .withColumn(
-            "offset",
-            F.when(F.col("late") < 0, F.pmod("rank", per_bin) * F.col("length"))
-            .when(shared, F.col("tail_at") + F.col("late") * F.col("length"))
-            .otherwise((F.col("late") - F.col("tail_first")) * F.col("length")),
-        )
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long"), F.col("offset").cast("long"))
+    # A row for each task of the step above, two numbers each: no more than the driver keeps of a task anyway.
+    before = Window.orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
+    bins = pieces.groupBy("worker").agg((F.max("bin") + 1).alias("n"))
+    bins = bins.select("worker", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return pieces.join(F.broadcast(bins), "worker").select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("bin")).alias("sequence_id"), "offset"
     )
