@@ -1,18 +1,20 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A benchmark item's windows (runs of `window` words; the whole item if it is shorter) are sets of word shingles.
-Documents keep the runs of consecutive positions whose shingles the benchmark knows; a window's rarest shingle is the
-one prefix token that containment requires, and joins those runs. Positions and lengths bound the matches, and each is
-confirmed word by word over a slice as long as the window.
-
-Benchmark shingles are broadcast in blocks of a fixed number, one scan of the documents for each block, so that what a
-scan broadcasts has a bound at any size of benchmark.
+A benchmark item's windows (runs of `window` words; the whole item if it is shorter) are sets of word shingles, ordered by
+how rare they are among the windows. Containment requires all of a window's shingles, so its rarest one alone is its prefix:
+neighbouring windows tend to share it, and prefixes are about a fifth of all shingles. A scan of the documents looks for
+prefixes only and sends each one found with the words around it, as far as a window can reach. Those join the windows of
+that prefix; its position and the window's length bound where a match can lie, and each is confirmed word by word over a
+slice as long as the window.
+
+Prefixes are broadcast in blocks of a fixed number, one scan of the documents for each block, so that what a scan broadcasts
+has a bound at any size of benchmark. Joins on prefixes and windows are salted by document: a passage that a third of all
+documents hold is dealt to many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,16 +26,17 @@ from tidewire.llm.common import as_bytes, as_documents, text_key, written
 WORD_BYTES = bytes(
     c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
-RUNS = "array<struct<k:int,start:int,words:string>>"
-RUN_TYPE = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("words", pa.string())]))
+_SALTS = 16
+FOUND = "array<struct<token:string,at:int,before:int,words:string>>"
+_FOUND_TYPE = pa.list_(pa.struct([("token", pa.string()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def _windows(items: DataFrame, window: int) -> DataFrame:
-    """Distinct windows with their length in words and the sorted ids of their items."""
+def _members(items: DataFrame, window: int) -> DataFrame:
+    """(window, item): the windows of each item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,54 +47,76 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
                 for i in range(len(words) - size + 1 if words else 0):
                     ids.append(item)
                     found.append(b" ".join(words[i : i + size]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["item", "window"])
-
-    return (
-        items.mapInArrow(cut, "item string, window string")
-        .groupBy("window")
-        .agg(F.collect_set("item").alias("items"))
-        .withColumn("size", F.size(F.split("window", " ")))
-    )
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.string())], ["window", "item"])
 
+    return items.mapInArrow(cut, "window string, item string").distinct()
 
-def _shingled(df: DataFrame, words: str, k: str) -> DataFrame:
-    """A row for each k-word shingle of the space-separated words, with its offset."""
-    return (
-        df.withColumn("_w", F.split(words, " "))
-        .withColumn("_all", F.expr(f"transform(sequence(0, size(_w) - {k}), i -> array_join(slice(_w, i + 1, {k}), ' '))"))
-        .select(*df.columns, F.posexplode("_all").alias("offset", "token"))
-    )
 
+def _prefixes(windows: DataFrame, shingle: int) -> DataFrame:
+    """wid, window, size, and the window's rarest shingle: token and its offset `at`."""
+    k = F.least("size", F.lit(shingle))
+    words = F.split("window", " ")
+    tokens = F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
+    grams = windows.select("wid", "window", "size", F.posexplode(tokens).alias("at", "token"))
+    counts = grams.groupBy("token").agg(F.count("*").alias("n"))
+    order = F.struct("n", F.xxhash64("token").alias("h"), "token", "at")
+    rarest = grams.join(counts, "token").groupBy("wid").agg(F.min(order).alias("r"), F.first("window").alias("window"), F.first("size").alias("size"))
+    return rarest.select("wid", "window", "size", "r.token", "r.at")
 
-def _scan(docs: DataFrame, vocabulary: dict[int, frozenset], shortest: dict[int, int]) -> DataFrame:
-    """Each document's word count and its runs of positions whose shingles are in the vocabulary."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def runs(words: list[bytes]) -> list[dict]:
-        found = []
-        for k, grams in known.value.items():
-            if len(words) < shortest[k]:
-                continue
-            hits = [i for i, gram in enumerate(zip(*(words[j:] for j in range(k)))) if gram in grams]
-            for _, run in groupby(enumerate(hits), lambda x: x[1] - x[0]):
-                run = [i for _, i in run]
-                if len(run) + k - 1 >= shortest[k]:
-                    found.append({"k": k, "start": run[0], "words": b" ".join(words[run[0] : run[-1] + k]).decode(errors="replace")})
-        return found
+def _scan(docs: DataFrame, tokens: frozenset[tuple[bytes, ...]], window: int) -> DataFrame:
+    """Each document's word count, and where these prefixes stand in it, with the words that their windows can cover."""
+    known = docs.sparkSession.sparkContext.broadcast(tokens)
+    sizes = sorted({len(t) for t in tokens})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = known.value
         for batch in batches:
             counts, found = [], []
             for text in as_bytes(batch.column(2)):
                 words = words_of(text)
+                own = []
+                for k in sizes:
+                    for i, gram in enumerate(zip(*(words[j:] for j in range(k)))):
+                        if gram in wanted:
+                            first = max(0, i - window + k)
+                            around = b" ".join(words[first : i + window]).decode(errors="replace")
+                            own.append({"token": b" ".join(gram).decode(errors="replace"), "at": i, "before": i - first, "words": around})
                 counts.append(len(words))
-                found.append(runs(words))
+                found.append(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found, RUN_TYPE)],
-                ["doc_id", "text_key", "n_words", "runs"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found, _FOUND_TYPE)], ["doc_id", "text_key", "n_words", "found"]
             )
 
-    return docs.mapInArrow(scan, f"doc_id long, text_key long, n_words long, runs {RUNS}")
+    return docs.mapInArrow(scan, f"doc_id long, text_key long, n_words long, found {FOUND}")
+
+
+def _dealt(small: DataFrame) -> DataFrame:
+    """A copy of each row for each salt."""
+    return small.withColumn("salt", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+
+
+def _with_totals(hits: DataFrame) -> DataFrame:
+    """hits (doc_id, text_key, spans: any order, overlapping) with merged spans and the number of words in them."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals, merged = [], []
+            for spans in batch.column(2).to_pylist():
+                own: list[dict] = []
+                for s, e in sorted((x["s"], x["e"]) for x in spans):
+                    if own and s <= own[-1]["e"]:
+                        own[-1]["e"] = max(own[-1]["e"], e)
+                    else:
+                        own.append({"s": s, "e": e})
+                merged.append(own)
+                totals.append(sum(x["e"] - x["s"] for x in own))
+            spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(merged, spans_type)], ["hit_id", "hit_key", "n_hit", "spans"]
+            )
+
+    return hits.mapInArrow(merge, "hit_id long, hit_key long, n_hit long, spans array<struct<s:int,e:int>>")
 
 
 def contamination(
@@ -103,7 +128,7 @@ def contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
-    shingle: int = 3,
+    shingle: int = 5,
     one_in: int = 20,
     block: int = 200_000,
     keyed: bool = False,
@@ -119,72 +144,51 @@ def contamination(
     but is not listed. Rows that repeat a doc_id are judged by their own texts, equal rows alike; a null doc_id is kept.
     An empty docs gives no rows, an empty items no hits. Texts are read whole. Other columns are ignored.
 
-    block: distinct benchmark shingles that one scan of docs broadcasts, at most; more take more scans.
+    block: prefixes that one scan of docs broadcasts, at most; more take more scans.
     """
     docs = as_documents(docs, id_col, text_col).select("doc_id", text_key().alias("text_key"), "text")
     items = items.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    windows = written(_windows(items, window).withColumn("k", F.least("size", F.lit(shingle))), "windows")
-    grams = written(_shingled(windows, "window", "k"), "grams")
-    blocks = max(1, -(-grams.select("k", "token").distinct().count() // block))
-
+    members = written(_members(items, window), "window-items")
+    windows = members.select("window").distinct().select(F.monotonically_increasing_id().alias("wid"), "window", F.size(F.split("window", " ")).alias("size"))
+    windows = written(windows, "windows")  # numbers must not change from scan to scan
+    prefixes = written(_prefixes(windows, shingle), "prefixes")
+    tokens = written(prefixes.select("token").distinct(), "tokens")
+
+    # Tokens are dealt by hash; parts double until the largest fits.
+    parts = max(1, -(-tokens.count() // block))
+    part = lambda: F.pmod(F.xxhash64("token"), F.lit(parts))
+    while parts > 1 and tokens.groupBy(part().alias("p")).count().agg(F.max("count")).first()[0] > block:
+        parts *= 2
     scans = []
-    for i in range(blocks):
-        own = grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i)
-        shortest = {r.k: r.least for r in own.groupBy("k").agg(F.min("size").alias("least")).collect()}
-        vocabulary: dict[int, set] = {k: set() for k in shortest}
-        for r in own.select("k", "token").distinct().toLocalIterator():
-            vocabulary[r.k].add(tuple(r.token.encode().split(b" ")))
-        scans.append(written(_scan(docs, {k: frozenset(v) for k, v in vocabulary.items()}, shortest), "scan"))
-
-    runs = scans[0].where(F.size("runs") > 0)
+    for i in range(parts):
+        own = frozenset(tuple(r.token.encode().split(b" ")) for r in tokens.where(part() == i).toLocalIterator())
+        scans.append(written(_scan(docs, own, window), "scan"))
+
+    found = scans[0]
     for scan in scans[1:]:
-        runs = runs.unionByName(scan.where(F.size("runs") > 0))
-    runs = runs.select("doc_id", "text_key", F.explode("runs").alias("run")).select("doc_id", "text_key", "run.*").distinct()
-    postings = written(_shingled(runs.withColumnRenamed("words", "run_words"), "run_words", "k"), "postings")
-
-    # A window needs all of its shingles; of these, the rarest one is its prefix.
-    counts = postings.groupBy("k", "token").agg(F.count("*").alias("n"))
-    prefix = (
-        grams.join(counts, ["k", "token"], "left")
-        .groupBy("window", "k")
-        .agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("rarest"),
-            F.first("items").alias("items"),
-            F.first("size").alias("size"),
-        )
-        .where("rarest.n > 0")
-        .select("window", "k", "items", "size", F.col("rarest.token").alias("token"), F.col("rarest.offset").alias("at"))
-    )
-    first = F.col("offset") - F.col("at")
-    own_words = F.split("run_words", " ")
+        found = found.unionByName(scan)
+    found = found.where(F.size("found") > 0).select("doc_id", "text_key", F.explode("found").alias("f")).select("doc_id", "text_key", "f.*").distinct()
+    salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(_SALTS)).cast("int")
+    first = F.col("before") - F.col("offset")  # of the window, among the words around
+    around = F.split("words", " ")
     hits = (
-        postings.join(prefix, ["k", "token"])
-        .where((first >= 0) & (first + F.col("size") <= F.size(own_words)))
-        .where(F.array_join(F.slice(own_words, first + 1, F.col("size")), " ") == F.col("window"))
-        .select("doc_id", "text_key", (F.col("start") + first).alias("s"), (F.col("start") + first + F.col("size")).alias("e"), "items")
-    )
-    merged = """aggregate(array_sort(spans), cast(array() as array<struct<s:int,e:int>>), (a, x) ->
-        if(size(a) > 0 and x.s <= element_at(a, -1).e,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))),
-           concat(a, array(x))))"""
-    per_doc = (
-        hits.groupBy("doc_id", "text_key")
-        .agg(
-            F.collect_set(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))).alias("spans"),
-            F.collect_set("items").alias("sets"),
-        )
-        .select(
-            F.col("doc_id").alias("hit_id"),
-            F.col("text_key").alias("hit_key"),
-            F.expr(merged).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"),
-        )
+        found.withColumn("salt", salt)
+        .join(_dealt(prefixes.withColumnRenamed("at", "offset")), ["token", "salt"])
+        .where((first >= 0) & (first + F.col("size") <= F.size(around)))
+        .where(F.array_join(F.slice(around, F.greatest(first + 1, F.lit(1)), F.col("size")), " ") == F.col("window"))
+        .select("doc_id", "text_key", (F.col("at") - F.col("offset")).cast("int").alias("s"), (F.col("at") - F.col("offset") + F.col("size")).cast("int").alias("e"), "wid")
     )
+    hits = written(hits, "hits")
+    spans = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    named = hits.select("doc_id", "text_key", "wid").distinct().withColumn("salt", salt)
+    of = windows.join(members.where("item is not null"), "window").select("wid", "item")
+    named = named.join(_dealt(of), ["wid", "salt"]).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = named.select(F.col("doc_id").alias("item_doc"), F.col("text_key").alias("item_key"), "items")
     base = scans[0].select("doc_id", "text_key", "n_words")
-    n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (n, x) -> n + x.e - x.s)"), F.lit(0).cast("long"))
     return (
-        base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
-        .withColumn("n_hit", n_hit)
+        base.join(_with_totals(spans), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+        .join(named, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("text_key") == F.col("item_key")), "left")
+        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
         .select(
             "doc_id",
             *(["text_key"] if keyed else []),
