@@ -1,9 +1,10 @@
 """WARC archives of pages, and their capture histories by an external merge of index runs.
 
 Pages are written as WARC/1.1 files of a bounded number of records, with payloads that repeat as revisit records. Each
-archive read back gives an index run sorted by URL key and timestamp. Spark deals the runs out by ranges of that order,
-and each range merges its part of every run with a loser tree, so that the ranges in turn are the ordered history of all
-captures.
+archive read back, record by record, gives an index run sorted by URL key and timestamp; runs are written out. Spark deals
+them out by ranges of that order, each of about `range_rows` rows however many there are, and hands each range the runs'
+stretches one after the other, in their own order. The range merges them with a loser tree, so that the ranges in turn are
+the ordered history of all captures. A range ends anywhere among equal keys, so that no URL fills a task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -91,22 +92,55 @@ def write_archives(
     _records(rows).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
-    """Position, headers and payload of each record of a WARC file; ValueError where it is broken."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.1\r\n", at):
+def unpacked(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A gzip file's content in pieces of bounded size; members may follow each other."""
+    stream = None
+    for i in range(0, len(data), 1 << 16):
+        chunk = data[i : i + (1 << 16)]
+        while chunk:
+            stream = stream or zlib.decompressobj(wbits=31)
+            if piece := stream.decompress(chunk, most):
+                yield piece
+            chunk, stream = (stream.unused_data, None) if stream.eof else (stream.unconsumed_tail, stream)
+    while stream and not stream.eof:
+        piece = stream.decompress(b"", most)
+        if not piece and not stream.eof:
+            raise ValueError("archive is cut off")
+        yield piece
+
+
+def parse_archive(pieces: Iterable[bytes]) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
+    """Position, headers and payload of each record of a WARC file, one record held at a time; ValueError where it is broken."""
+    rest, at, source = bytearray(), 0, iter(pieces)
+
+    def more() -> None:
+        piece = next(source, None)
+        if piece is None:
+            raise ValueError(f"record at {at} is cut off")
+        rest.extend(piece)
+
+    while True:
+        while not rest:
+            piece = next(source, None)
+            if piece is None:
+                return
+            rest.extend(piece)
+        while (end := rest.find(b"\r\n\r\n")) < 0:
+            more()
+        if not rest.startswith(b"WARC/1.1\r\n"):
             raise ValueError(f"no record at {at}")
-        end = data.index(b"\r\n\r\n", at)
-        headers = {k.lower(): v for k, v in _HEADER.findall(data[at + 10 : end + 2])}
+        headers = {bytes(k).lower(): bytes(v) for k, v in _HEADER.findall(rest[10 : end + 2])}
         size = int(headers[b"content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+        while len(rest) < end + 8 + size:
+            more()
+        block = bytes(rest[end + 4 : end + 4 + size])
+        if rest[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
             raise ValueError(f"record at {at} is cut off")
         head, _, payload = block.partition(b"\r\n\r\n")
         headers[b"http-length"] = next((v for k, v in _HEADER.findall(head) if k.lower() == b"content-length"), b"0")
         yield at, headers, payload
-        at = end + 8 + size
+        at += end + 8 + size
+        del rest[: end + 8 + size]
 
 
 def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
@@ -152,7 +186,7 @@ def index_runs(df: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for at, headers, payload in parse_archive(zlib.decompress(content.as_py(), wbits=47)):
+                for at, headers, payload in parse_archive(unpacked(content.as_py())):
                     kind = headers[b"warc-type"].decode()
                     digest = headers[b"warc-payload-digest"].decode().removeprefix("sha1:")
                     size = int(headers[b"http-length"])
@@ -160,36 +194,43 @@ def index_runs(df: DataFrame) -> DataFrame:
                         raise ValueError(f"payload at {at} of {path} does not match its digest")
                     key, date = headers[b"warc-target-key"].decode(), headers[b"warc-date"].decode()
                     rows.append((key, date, strip(headers[b"warc-record-id"]), size, digest, kind, strip(headers.get(b"warc-refers-to")), path, at))
-                rows.sort(key=lambda r: (r[0].encode(), *r[1:3], r[8]))
+                rows.sort(key=lambda r: (r[0].encode(), r[1], r[8]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i in (3, 8) else pa.string()) for i in range(9)], _COLUMNS)
 
     return df.mapInArrow(read, INDEX)
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """All index rows in order of URL key, timestamp and position, in ranges that follow each other by partition."""
+def merged(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """All index rows in order of URL key, timestamp and position, in ranges that follow each other by partition.
+
+    runs holds each archive's rows; a range has about range_rows of them, which is what a task holds.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_run: dict[str, list[tuple]] = {}
+        stretches: list[list[tuple]] = []
+        archive = None
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(9)]
             for row in zip(*columns, strict=True):
-                by_run.setdefault(row[7], []).append(((row[0].encode(), row[1], row[7], row[8]), row))
-        for run in by_run.values():
-            run.sort(key=lambda r: r[0])  # in order already, but for the seams between the blocks that were fetched
+                if row[7] != archive:
+                    archive = row[7]
+                    stretches.append([])
+                stretches[-1].append(((row[0].encode(), row[1], row[7], row[8]), row))
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i in (3, 8) else pa.string()) for i in range(9)], _COLUMNS)
 
-        for _, row in loser_tree(list(by_run.values())):
+        for _, row in loser_tree(stretches):
             rows.append(row)
             if len(rows) >= 10_000:
                 yield out()
                 rows = []
         yield out()
 
-    return runs.repartitionByRange("url_key", "captured", "archive", "position").mapInArrow(merge, INDEX)
+    ranges = max(1, -(-runs.count() // range_rows))
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "archive", "position")
+    return dealt.sortWithinPartitions("archive", "url_key", "captured", "position").mapInArrow(merge, INDEX)
 
 
 def capture_history(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
