@@ -154,7 +154,11 @@ def repeated_substrings(
     prints = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), text_key().alias("text_key"), F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("print"))
     prints = written(prints.where("n > 0"), "prints")
     first = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = written(prints.join(first, "print").where("doc_id > least").select(*keys, "n"), "copies")
+    # A text may have any number of copies: they are dealt to several tasks, each with a row of its own for that text.
+    salts = 16
+    first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int"))
+    copies = written(salted.join(first, ["print", "salt"]).where("doc_id > least").select(*keys, "n"), "copies")
     wide = 2 * length - GRAM  # the longest context
     shifts = pa.list_(pa.int64())
 
