@@ -9,15 +9,15 @@ from tidewire.functions.text import _BOUNDARY, han_share, hostname, nfkc, of_hos
 
 # The patterns of what no published text may hold.
 HTML_ARTIFACT = r"</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b"
-ENGLISH_RUN = r"(?:\b[a-z]{2,}\b[\s,;:'\"()\-]*){7}"
+ENGLISH_RUN = r"(?:\b[a-z]{2,}\b[\s,;:'\"()\-]*){7,}"
 DATE_STAMP = r"\b(?:fri|mon|tue|wed|thu|sat|sun),?\s+\d{1,2}/\d{1,2}/\d{4}\s+-"
 PAYWALL = "subscribe to continue|sign in to continue|enable javascript to continue|metered paywall"
 LEGAL = [r"\b(?:copyright|all rights reserved|privacy policy|terms of use)\b[^。！？!?]*", r"(?:版权所有|保留所有权利|隐私政策|使用条款)[^。！？!?]*"]
 NAVIGATION = r"^(?:home|menu|search|sign in|subscribe|read more|share|related|advertisement)\b"
-GENERIC_TITLE = (
-    r"^(?:news\s+)?archives?$|新闻归档|^(?:news|latest news(?:\s+\d+)?(?:\s+un news)?|press releases?|index|category|tag|blog)$|新闻中心|资讯中心|文章列表"
-)
-LISTING_PATH = r"(?:^|/)(?:archive|archives|index|category|categories|tag|tags)(?:/|$)|/(?:news|press-releases?|blog)$"
+ARCHIVE_TITLE = r"^(?:news\s+)?archives?$|新闻归档"
+GENERIC_TITLE = r"^(?:news|latest news(?:\s+\d+)?(?:\s+un news)?|press releases?|index|category|tag|blog)(?:\s*[|·-].*)?$|新闻中心|资讯中心|文章列表"
+LISTING_FOLDER = r"(?:^|/)(?:archive|archives|index|category|categories|tag|tags)(?:/|$)"
+LISTING_PAGE = r"/(?:news|press-releases?|blog)$"
 PLACEHOLDER_SUMMARY = [
     r"来源材料(?:发布|披露|提供)了?与当前(?:主题|事件)相关的(?:新)?信息",
     r"这里仅保留(?:原文可以直接支持的)?(?:定性事实|定性结论)",
@@ -25,6 +25,14 @@ PLACEHOLDER_SUMMARY = [
     r"未获来源明确确认的细节不作推断",
     r"现有来源材料明确记录了?这一具体动作",
     r"(?:来源|原文)(?:已|明确)?(?:确认|记录|支持)(?:了)?(?:上述|这一|该)(?:动作|事件|说法)",
+    r"围绕.{1,36}(?:发布|扩建|威胁|强化|实施新规)[；，].{0,12}参与或受影响的主体还包括",
+]
+PLACEHOLDER_TITLE = [
+    r"^press release(?: details?)?$",
+    r"(?:来源|公司|机构|[\w.-]+\.com|[\w.-]+\.org|[\w.-]+\.gov|[\w.-]+\.edu|blog|news|cnbc|bbc|dw|techcrunch).{0,24}(?:发布|披露|提供).{0,18}(?:相关)?(?:更新|信息)$",
+    r"^.{2,40}(?:发布|披露|提供)(?:了)?(?:与)?(?:当前)?[^：:，。]{1,24}(?:相关)?(?:更新|信息)$",
+    r"(?:发布|披露|提供)(?:了)?(?:与)?(?:当前)?(?:主题|事件|领域).{0,12}(?:相关)?(?:更新|信息)$",
+    r"(?:强化模型|警告新产品|发现学习方法|威胁身份泄露|实施新规新产品)$",
 ]
 WIRES = [
     ("wire:reuters", r"\breuters\b|路透(?:社)?", "reuters"),
@@ -49,8 +57,15 @@ def has_english_fragment(text: Column) -> Column:
 
 
 def is_placeholder_summary(text: Column) -> Column:
-    """Whether a summary only says that its source says something."""
-    return text.rlike(pattern("|".join(PLACEHOLDER_SUMMARY)))
+    """Whether a summary is empty, or only says that its source says something."""
+    plain = strip_html(text)
+    return (plain == "") | plain.rlike(pattern("|".join(PLACEHOLDER_SUMMARY)))
+
+
+def is_placeholder_title(text: Column) -> Column:
+    """Whether a title is empty, or only says that somebody published something."""
+    plain = strip_html(text)
+    return (plain == "") | plain.rlike(pattern("|".join(PLACEHOLDER_TITLE)))
 
 
 def enough_chinese(text: Column, least: float = 0.35) -> Column:
@@ -107,7 +122,7 @@ def number_words(text: Column) -> Column:
 def json_in(text: Column) -> Column:
     """The JSON of an answer, fenced or bare; null if it is none."""
     fenced = F.regexp_extract(text, r"(?i)```(?:json)?\s*([\s\S]*?)```", 1)
-    found = F.trim(F.when(fenced != "", fenced).otherwise(text))
+    found = F.regexp_replace(F.when(fenced != "", fenced).otherwise(text), r"^\s+|\s+$", "")
     return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
@@ -122,7 +137,8 @@ def is_non_article(title: Column, url: Column, specific: Column) -> Column:
     """Whether a page lists articles: by a generic title, or by its path if title and text have no specific event."""
     words = F.trim(F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(title, F.lit(""))), r"[\p{P}\p{S}]+", " "), r"(?U)\s+", " "))
     path = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]+://[^/?#]*([^?#]*)", 1)), "/+$", "")
-    return words.rlike(f"(?i){GENERIC_TITLE}") | (path.rlike(LISTING_PATH) & ~specific)
+    generic = words.rlike(f"(?i){ARCHIVE_TITLE}") | words.rlike(f"(?i){GENERIC_TITLE}")
+    return generic | ((path.rlike(LISTING_FOLDER) | path.rlike(LISTING_PAGE)) & ~specific)
 
 
 def wire_key(title: Column, description: Column, source_id: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.functions import catalog, lexicons
+
 #: A word boundary between ASCII word characters and all else, wherever the text is not ASCII too.
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -18,10 +20,89 @@ def pattern(source: str) -> str:
     return "(?iu)" + source.replace(r"\b", _BOUNDARY)
 
 
-def hits(text: Column, lexicon: list[tuple[str, str]]) -> Column:
-    """Labels of the lexicon that occur in the text, in the lexicon's order; one pass of the row, no join."""
-    found = F.array(*(F.when(text.rlike(pattern(p)), F.lit(label)) for label, p in lexicon))
-    return F.filter(found, lambda x: x.isNotNull())
+def needed(source: str) -> tuple[str, ...] | None:
+    """Strings one of which every match of a lexicon's pattern contains, in lower case; None where that cannot be told."""
+    branches, depth, start = [], 0, 0
+    for i, c in enumerate(source):
+        if c == "|" and depth == 0:
+            branches.append(source[start:i])
+            start = i + 1
+        elif c in "()" and source[i - 1 : i] != "\\":
+            depth += 1 if c == "(" else -1
+    found = []
+    for branch in [*branches, source[start:]]:
+        runs, run, i = [], "", 0
+        while i < len(branch):
+            c = branch[i]
+            if c in "([":  # what stands in brackets may be absent or vary
+                close, depth = {"(": ")", "[": "]"}[c], 0
+                while i < len(branch):
+                    depth += (branch[i] == c) - (branch[i] == close)
+                    if depth == 0:
+                        break
+                    i += 1
+                runs, run = [*runs, run], ""
+            elif c == "\\":
+                runs, run = [*runs, run], ""
+                i += 1
+            elif c in "?*{":
+                runs, run = [*runs, run[:-1]], ""
+                i = branch.find("}", i) if c == "{" else i
+            elif c in ".+^$|":
+                runs, run = [*runs, run], ""
+            else:
+                run += c
+            i += 1
+        best = max([*runs, run], key=len)
+        if len(best) < 2:
+            return None
+        found.append(best.lower())
+    return tuple(dict.fromkeys(found))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that patterns in any case take for s, i and k."""
+    return F.lower(F.translate(text, "ſİıK", "siik"))
+
+
+def folded_pattern(source: str) -> str:
+    """A lexicon's pattern for folded() text: letters in lower case, and boundaries that look to the one side that matters.
+
+    A boundary before a word needs no word character before it, one behind a word none behind it; others look both ways.
+    """
+    out, i = "", 0
+    word = lambda c: c.isascii() and c.isalnum()
+    while i < len(source):
+        if source[i] != "\\":
+            out += source[i].lower()
+            i += 1
+            continue
+        if source[i + 1] == "b":
+            before, after = source[i - 1 : i] if i else "", source[i + 2 : i + 3]
+            behind = before != "" and (word(before) or before in ")]?")
+            ahead = after != "" and (word(after) or after in "([")
+            out += r"(?![a-z0-9_])" if behind and not (after and word(after)) else r"(?<![a-z0-9_])" if ahead and not behind else _BOUNDARY
+        else:
+            out += source[i : i + 2]
+        i += 2
+    return out
+
+
+def hits(text: Column, lexicon: list[tuple[str, str]], low: Column | None = None) -> Column:
+    """Labels of the lexicon that occur in the text, in the lexicon's order; one pass of the row, no join.
+
+    low is folded(text), where the caller has it: a pattern is tried only where a string that it needs occurs.
+    """
+
+    def found(row: Column, p: str) -> Column:
+        some, full = needed(p), row.rlike(folded_pattern(p))
+        if some is None:
+            return full
+        return F.exists(F.split(F.lit("|".join(some)), r"\|"), lambda s: F.contains(row, s)) & full
+
+    # The array of one text binds its folded form, so that it is worked out once for all patterns.
+    labels = F.transform(F.array(folded(text) if low is None else low), lambda row: F.array(*(F.when(found(row, p), F.lit(label)) for label, p in lexicon)))
+    return F.filter(F.element_at(labels, 1), lambda x: x.isNotNull())
 
 
 #: Named character references and what they stand for; others become a space.
@@ -152,3 +233,65 @@ def key_numbers(text: Column) -> Column:
         )
 
     return F.array_distinct(F.transform(found, spelled))
+
+
+def named_entities(text: Column, low: Column | None = None) -> Column:
+    """Aliased entities, then other capitalised names of one to three words, in the order they occur."""
+    text = F.coalesce(text, F.lit(""))
+    aliases = "|".join(pattern(p).removeprefix("(?iu)") for _, p in lexicons.ENTITIES)
+    names = F.regexp_extract_all(text, F.lit(catalog.NAME.replace(r"\b", _BOUNDARY)), F.lit(1))
+    plain = lambda v: F.trim(F.replace(F.lower(v), F.lit("."), F.lit("")))
+    verbs, terms = (pattern(p) for p in (catalog.NAME_VERBS, catalog.GENERIC_NAME_TERMS))
+    kept = F.filter(F.array_distinct(names), lambda v: ~v.rlike("(?iu)" + aliases) & ~v.rlike(verbs) & ~v.rlike(terms) & ~plain(v).isin(*catalog.GENERIC_NAMES))
+    return F.array_union(hits(text, lexicons.ENTITIES, low), F.transform(kept, plain))
+
+
+def actions_of(text: Column, objects: Column, low: Column | None = None) -> Column:
+    """Actions that the text names; where it names none, those that its objects imply."""
+    text = F.coalesce(text, F.lit(""))
+    named = hits(text, lexicons.ACTIONS, low)
+    implied = F.array_distinct(F.filter(F.array(*(F.when(F.array_contains(objects, o), F.lit(a)) for o, a in catalog.INFERRED.items())), lambda x: x.isNotNull()))
+    return F.when(F.size(named) > 0, named).otherwise(implied)
+
+
+def dates_in(text: Column) -> Column:
+    """Dates as they are written, in lower case: ISO, then English, then Chinese ones."""
+    found = [F.regexp_extract_all(text, F.lit(p.replace(r"\b", _BOUNDARY)), F.lit(1)) for p in catalog.DATES]
+    return F.array_distinct(F.transform(F.concat(*found), lambda v: F.trim(F.lower(v))))
+
+
+def number_tokens(text: Column) -> Column:
+    """Numbers without thousands separators, a percent sign kept."""
+    found = F.regexp_extract_all(text, F.lit(r"(\d[\d,.]*(?:\.\d+)?%?)"), F.lit(1))
+    return F.transform(found, lambda v: F.lower(F.replace(v, F.lit(","), F.lit(""))))
+
+
+def number_label(value: Column) -> Column:
+    """A key number as queries spell it: usd:1.5b is $1.5 billion."""
+    form = r"^usd:(\d+(?:\.\d+)?)([btm]?)$"
+    unit = F.regexp_extract(value, form, 2)
+    word = F.when(unit == "t", " trillion").when(unit == "b", " billion").when(unit == "m", " million").otherwise("")
+    return F.when(value.rlike(form), F.concat(F.lit("$"), F.regexp_extract(value, form, 1), word)).otherwise(value)
+
+
+def tags_of(text: Column, domain: catalog.Domain) -> Column:
+    """The first three tags of the domain that the text calls for, or its default."""
+    found = hits(text, list(domain.tags))
+    return F.when(F.size(found) > 0, F.slice(found, 1, 3)).otherwise(F.array(F.lit(domain.default_tag)))
+
+
+def first_entity(text: Column) -> Column:
+    """The aliased entity that is named first; the lexicon's order breaks ties; null without one."""
+    def place(p: str) -> Column:
+        before = F.regexp_extract(text, "(?isu)^(.*?)(?:" + pattern(p).removeprefix("(?iu)") + ")", 1)
+        return F.length(before)
+
+    places = [
+        F.when(text.rlike(pattern(p)), F.struct(place(p).alias("at"), F.lit(i).alias("order"), F.lit(label).alias("label"))) for i, (label, p) in enumerate(lexicons.ENTITIES)
+    ]
+    return F.array_min(F.filter(F.array(*places), lambda x: x.isNotNull()))["label"]
+
+
+def fingerprint(text: Column) -> Column:
+    """Sixteen hex digits that equal texts share, whatever their case, punctuation and spaces."""
+    return F.substring(F.sha1(normal_title(text).cast("binary")), 1, 16)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions import lexicons
-from tidewire.functions.text import hits, of_host, pattern
+from tidewire.functions.catalog import LOW_VALUE, MARKET_CORE, MARKET_OBJECTS, Domain
+from tidewire.functions.text import of_host, pattern
 from tidewire.operators.selection import FIT, by_level
 
-# Patterns of personal relevance for the learning domain, of low news value and of market news.
+# Patterns of personal relevance for the learning domain.
 LEARNING_PRIORITY = (
     r"\bIB\b|international baccalaureate|\bOECD\b|\bPISA\b|\bUNESCO\b|AI literacy|artificial intelligence literacy|assessment|learning science"
     r"|curriculum reform|education reform|national education policy|国际文凭|经合组织|联合国教科文组织|人工智能素养|AI 素养|评估|学习科学|课程改革|教育改革|国家教育政策"
@@ -20,21 +18,6 @@ LEARNING_LOCAL = (
     r"local school|school board|school district|campus event|campus police|principal appointed|superintendent|地方学校|学区|校园活动|校长任命|校园治安"
 )
 LEARNING_NATIONAL = r"national|nationwide|federal|ministry|department of education|supreme court|constitutional|全国|国家级|联邦|教育部|最高法院|违宪"
-LOW_VALUE = r"\b(?:how to|tips? for|life hacks?|celebrity tribute|fashion|recipe|horoscope|viral video|odd news|job details?|job posting)\b|生活技巧|职场技巧|招聘信息|猎奇|明星八卦|奇闻"
-
-
-@dataclass(frozen=True)
-class Domain:
-    """What a domain looks for: terms, tag patterns, objects of its own, and hosts that speak for it."""
-
-    name: str
-    topics: tuple[str, ...] = ()
-    impacts: tuple[str, ...] = ()
-    tags: tuple[str, ...] = ()
-    objects: tuple[str, ...] = ()
-    hosts: tuple[str, ...] = ()
-
-
 def learning_relevance(text: Column) -> Column:
     """Eight for each mention of a priority, 24 at most; 24 less for what is of local interest only."""
     n = F.size(F.regexp_extract_all(text, F.lit(pattern(LEARNING_PRIORITY)), F.lit(0)))
@@ -47,7 +30,7 @@ def with_signals(df: DataFrame, domain: Domain, query_tokens: list[str] | None =
     text = F.concat_ws(" ", "title", "description")
     lower = F.lower(text)
     count = lambda terms: sum((F.contains(lower, F.lit(t)).cast("int") for t in terms), F.lit(0))
-    tags = sum((text.rlike(pattern(p)).cast("int") for p in domain.tags), F.lit(0))
+    tags = sum((text.rlike(pattern(p)).cast("int") for _, p in domain.tags), F.lit(0))
     asked = F.array(*map(F.lit, query_tokens)) if query_tokens else F.array().cast("array<string>")
     in_query = F.size(F.array_intersect(F.col("text_tokens"), asked))
     own = F.arrays_overlap("objects", F.array(*map(F.lit, domain.objects))) if domain.objects else F.lit(False)
@@ -65,7 +48,7 @@ def with_signals(df: DataFrame, domain: Domain, query_tokens: list[str] | None =
 def event_fit(reports: DataFrame, levels: DataFrame) -> DataFrame:
     """(event_id, fit, relevant): the best report's match, the evidence and the depth of the features of all reports.
 
-    reports are with_signals() and event_id; levels are (event_id, level).
+    reports are with_signals() and event_id, and listing where some may be no articles; levels are (event_id, level).
     """
     found = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
     per = reports.groupBy("event_id").agg(
@@ -75,20 +58,21 @@ def event_fit(reports: DataFrame, levels: DataFrame) -> DataFrame:
         F.count("published_at").alias("dated"),
         F.bool_or(F.concat_ws(" ", "title", "description").rlike(pattern(LOW_VALUE))).alias("low_value"),
         F.bool_or((F.size("entities") > 0) & (F.size("actions") > 0)).alias("concrete"),
+        F.bool_or(F.concat_ws(" ", "title", "description").rlike(pattern(MARKET_CORE)) | F.arrays_overlap("objects", F.array(*map(F.lit, MARKET_OBJECTS)))).alias("market_core"),
+        F.bool_and(F.col("listing") if "listing" in reports.columns else F.lit(False)).alias("listing"),
     )
     depth = F.least("e", F.lit(3)) + F.least("a", F.lit(2)) + F.least("o", F.lit(2)) + F.least("n", F.lit(2)) * 0.5 + (F.col("dated") > 0).cast("int")
     return per.join(levels, "event_id").withColumn("fit", F.col("best") + by_level(F.col("level"), FIT) + depth)
 
 
-def assessed(fits: DataFrame) -> DataFrame:
-    """event_fit() with the first reason against each event, accepted without one."""
+def assessed(fits: DataFrame, markets: bool = False) -> DataFrame:
+    """event_fit() with the first reason against each event, accepted without one; markets: events must be of the market."""
     reason = (
-        F.when(F.col("low_value"), "low-news-value")
+        F.when(F.col("listing"), "non-article-page")
+        .when(F.col("low_value"), "low-news-value")
+        .when(F.lit(markets) & ~F.col("market_core"), "domain-mismatch")
         .when(~F.col("concrete"), "no-event-action")
         .when(~F.col("relevant") | (F.col("fit") < 8), "domain-mismatch")
         .otherwise("accepted")
     )
     return fits.select("event_id", "fit", reason.alias("reason"))
-
-
-INDICATORS = tuple(lexicons.INDICATORS)

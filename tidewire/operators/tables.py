@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder named in spark.checkpoint.dir, or in a local one where that is unset."""
+    """df as a checkpoint in the folder named in spark.checkpoint.dir; in a local one only where that is unset and Spark runs on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewire-"))
     return df.checkpoint()
