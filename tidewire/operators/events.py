@@ -18,21 +18,26 @@ from tidewire.functions.similarity import disjoint, jaccard, overlap
 from tidewire.functions.text import pattern
 from tidewire.operators.leaders import greedy_leaders
 from tidewire.operators.setjoin import similar_sets
+from tidewire.operators.syndication import effective_keys
 from tidewire.operators.tables import durable
 
 _PAIR = (
-    "id", "domain", "url", "published_at", "rank", "title_key", "title_tokens", "text_tokens", "entities", "actions", "objects", "quantities",
+    "id", "domain", "url", "published_at", "rank", "title_key", "title_tokens", "text_tokens", "all_tokens", "entities", "actions", "objects", "quantities",
     "title_entities", "title_actions", "title_objects", "title_locations",
 )
 
 
-def match_reason(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Why two candidates are, or are not, reports of one event: accepted, or the first reason against."""
+def match_reason(a: Callable[[str], Column], b: Callable[[str], Column], strict: bool = False) -> Column:
+    """Why two candidates are, or are not, reports of one event: accepted, or the first reason against.
+
+    strict: only an entity, an action and an object in common, both dated, make a match.
+    """
     hours = F.abs(F.unix_timestamp(a("published_at")) - F.unix_timestamp(b("published_at"))) / 3600
     title = jaccard(a("title_tokens"), b("title_tokens"))
     description = jaccard(a("text_tokens"), b("text_tokens"))
     indicator = lambda x: F.array_intersect(x, F.array(*map(F.lit, lexicons.INDICATORS)))
-    terms = F.size(F.filter(F.array_except(F.array_intersect(a("text_tokens"), b("text_tokens")), a("entities")), lambda t: F.length(t) >= 3))
+    common = F.array_intersect(a("all_tokens"), b("all_tokens"))
+    terms = F.size(F.filter(F.array_except(F.array_except(common, a("entities")), b("entities")), lambda t: F.length(t) >= 3))
     entity, action, object_ = (overlap(a(c), b(c)) for c in ("entities", "actions", "objects"))
     complete = (entity > 0) & (action > 0) & (object_ > 0) & hours.isNotNull()
     numbers_differ = ~compatible(a("quantities"), b("quantities"))
@@ -51,11 +56,13 @@ def match_reason(a: Callable[[str], Column], b: Callable[[str], Column]) -> Colu
         .when(disjoint(a("objects"), b("objects")), "object-mismatch")
         .when(disjoint(a("actions"), b("actions")), "action-mismatch")
         .when(numbers_differ, "number-mismatch")
-        .when((entity == 0) & (title < 0.86), "entity-mismatch")
+        .when((entity == 0) & (F.lit(strict) | (title < 0.86)), "entity-mismatch")
+        .when(F.lit(strict) & (action == 0), "action-mismatch")
+        .when(F.lit(strict) & (object_ == 0), "object-mismatch")
         .when(complete, "accepted")
         .when((F.size(a("objects")) == 0) & (F.size(b("objects")) == 0) & (terms < 2) & (title < 0.88), "object-mismatch")
         .when((terms == 0) & (title < 0.58) & (description < 0.55), "event-mismatch")
-        .when((title >= 0.9) & (entity > 0) & ((object_ > 0) | (action > 0)), "accepted")
+        .when(F.lit(not strict) & (title >= 0.9) & (entity > 0) & ((object_ > 0) | (action > 0)), "accepted")
         .otherwise("event-mismatch")
     )
 
@@ -208,19 +215,29 @@ def event_id(domain: Column, leader: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws(":", domain, F.lit("event"), leader).cast("binary")), 1, 12)
 
 
+def date_ranges(reports: DataFrame, event: str = "event_id") -> DataFrame:
+    """(event, first_at, last_at, spread_hours, date_conflict): conflict where several sources' dates lie over a day apart."""
+    times = F.unix_timestamp("published_at")
+    found = reports.groupBy(event).agg(
+        F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"), ((F.max(times) - F.min(times)) / 3600).alias("hours"),
+        F.count_distinct(F.when(F.col("published_at").isNotNull(), F.col("source_id"))).alias("sources"),
+    )
+    spread = F.floor(F.col("hours") * 10 + 0.5) / 10
+    return found.select(event, "first_at", "last_at", spread.alias("spread_hours"), ((F.col("hours") > 24) & (F.col("sources") > 1)).alias("date_conflict"))
+
+
 def build_events(df: DataFrame) -> DataFrame:
     """One row for each event of ranked, featured candidates: duplicates folded, reports clustered, evidence graded."""
     df = durable(df)  # features are costly, and every step below compares them
     leaders = deduplicated(df)
     kept = df.join(leaders.where("id = leader").select("id"), "id")
     groups = clustered(kept)
-    reports = kept.join(groups, "id").withColumn("event_id", event_id(F.col("domain"), F.col("leader"))).withColumn("independence_key", F.col("source_id"))
+    reports = kept.join(groups, "id").withColumn("event_id", event_id(F.col("domain"), F.col("leader")))
+    reports = reports.join(effective_keys(reports).select("id", F.col("effective_key").alias("independence_key")), "id")
     grades = evidence(reports).select("event_id", "level", "source_count", "independent_count")
     events = reports.groupBy("event_id", "domain").agg(
         F.min_by("title", "rank").alias("title"),
-        F.min("published_at").alias("first_at"),
-        F.max("published_at").alias("last_at"),
         F.count("*").alias("reports"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("title_entities")))).alias("entities"),
     )
-    return events.join(grades, "event_id")
+    return events.join(date_ranges(reports), "event_id").join(grades, "event_id")

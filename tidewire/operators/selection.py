@@ -6,6 +6,7 @@ read no more than that.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import pandas as pd
@@ -44,24 +45,23 @@ def candidate_pool(df: DataFrame, previous: DataFrame, limit: int = 60, penalty:
     return scored.withColumn("place", place).where(F.col("place") <= limit).drop("known")
 
 
-def _fold(rows: list, proposed: bool, limit: int) -> list:
-    chosen, sources, names, other, unverified = [], {}, {}, 0, 0
-    for r in rows:
-        weak, foreign = r.level == "unverified", r.reliability == "other"
-        if sources.get(r.source_id, 0) >= 2 or names.get(r.lead, 0) >= 2:
-            continue
-        if proposed and ((foreign and other >= 1) or (weak and unverified >= 1)):
-            continue
-        if not proposed and weak and len(chosen) < 3:
-            continue
-        chosen.append(r)
-        sources[r.source_id] = sources.get(r.source_id, 0) + 1
-        names[r.lead] = names.get(r.lead, 0) + 1
-        other, unverified = other + foreign, unverified + weak
-        if len(chosen) == limit:
-            return chosen
-    taken = {r.id for r in chosen}
-    return chosen + [r for r in rows if r.id not in taken][: limit - len(chosen)]
+#: How many events of one kind a preselection takes.
+CAPS = {"source": 2, "lead": 2, "other": 1, "unverified": 1}
+
+
+def _in_turn(rows: list, kinds: tuple[str, ...], limit: int, late: str | None = None) -> list:
+    """Rows whose kinds all have room, in turn, up to `limit`; then the rest in order. Rows of the kind `late` wait for three others."""
+    used: Counter = Counter()
+    admitted: list = []
+    for row in rows:
+        own = {"source": row.source_id, "lead": row.lead, "other": row.reliability == "other" or None, "unverified": row.level == "unverified" or None}
+        slots = [(kind, own[kind]) for kind in kinds if own[kind] is not None]
+        waits = late is not None and own[late] is not None and len(admitted) < 3
+        if len(admitted) < limit and not waits and all(used[slot] < CAPS[slot[0]] for slot in slots):
+            used.update(slots)
+            admitted.append(row)
+    names = {row.id for row in admitted}
+    return (admitted + [row for row in rows if row.id not in names])[:limit]
 
 
 def preselect(pool: DataFrame, limit: int = 10, capped: bool = False) -> DataFrame:
@@ -74,23 +74,33 @@ def preselect(pool: DataFrame, limit: int = 10, capped: bool = False) -> DataFra
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         rows = list(group.sort_values("place").itertuples(index=False))
-        first = _fold(rows, False, limit)
-        order = first + [r for r in rows if r.id not in {x.id for x in first}]
-        got = _fold(order, True, limit) if capped else first
+        got = _in_turn(rows, ("source", "lead"), limit, late="unverified")
+        if capped:
+            names = {r.id for r in got}
+            got = _in_turn(got + [r for r in rows if r.id not in names], tuple(CAPS), limit)
         return pd.DataFrame({"domain": [r.domain for r in got], "id": [r.id for r in got], "position": range(1, len(got) + 1)})
 
     columns = pool.select("domain", "id", "place", "source_id", "lead", "level", "reliability")
     return columns.groupBy("domain").applyInPandas(choose, "domain string, id string, position long")
 
 
+def slate_errors(rows: list, size: int = 5) -> list[str]:
+    """The rules that events in order break together, sorted; those of gate()."""
+    if not rows:
+        return ["count"]
+    sources, leads = Counter(r.source_id for r in rows), Counter(r.lead for r in rows)
+    weak = [r.level == "unverified" for r in rows]
+    rules = {
+        "count": len(rows) != size, "few-sources": len(sources) < 3, "source-over-2": max(sources.values()) > 2, "lead-over-2": max(leads.values()) > 2,
+        "other-over-1": sum(r.reliability == "other" for r in rows) > 1, "unverified": sum(weak) > 1 or any(weak[:3]),
+        "weak-first": rows[0].reliability == "other" and rows[0].level == "single-source",
+    }
+    return sorted(name for name, broken in rules.items() if broken)
+
+
 def slate_is_valid(rows: list) -> bool:
     """Whether five events in order may be published together."""
-    sources, names = pd.Series([r.source_id for r in rows]).value_counts(), pd.Series([r.lead for r in rows]).value_counts()
-    weak = [r.level == "unverified" for r in rows]
-    return bool(
-        len(sources) >= 3 and sources.max() <= 2 and names.max() <= 2 and sum(r.reliability == "other" for r in rows) <= 1
-        and sum(weak) <= 1 and not any(weak[:3]) and not (rows[0].reliability == "other" and rows[0].level == "single-source")
-    )
+    return not slate_errors(rows)
 
 
 def slates(selected: DataFrame, size: int = 5, most: int = 10) -> DataFrame:
