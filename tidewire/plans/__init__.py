@@ -13,8 +13,8 @@ from tidewire.operators import candidates as C
 from tidewire.operators import events as E
 from tidewire.operators import reports as R
 from tidewire.operators import selection as S
-from tidewire.plans import evaluation
-from tidewire.plans.base import CANDIDATES_SQL, NOW, _candidates, _hits_sql, _pages, _scored, _strip_sql
+from tidewire.plans import evaluation, news
+from tidewire.plans.base import CANDIDATES_SQL, NOW, _candidates, _hits_sql, _pages, _scored, _strip_sql, _wires_sql
 
 
 def strip_html(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +54,7 @@ def diversity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _candidates(spark, folder).withColumn("event_id", F.concat_ws(":", "domain", F.regexp_extract("title", "^(.*) ", 1))).withColumn("independence_key", F.col("source_id"))
+    rows = _candidates(spark, folder).withColumn("event_id", F.concat_ws(":", "domain", F.regexp_extract("title", "^(.*) ", 1))).withColumn("independence_key", checks.independence_key(F.col("title"), F.col("description"), F.col("source_id")))
     return E.evidence(rows).select("event_id", "level", "source_count", "independent_count", "primary_present")
 
 
@@ -128,7 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         events, strip_html, clean_urls, features, numbers, ranking, decisions, quota, diversity, evidence, duplicates, shares, pairwise, ownership, digest, dates, han,
-        leaders, matches, redaction, artifacts, bodies, slates, *evaluation.QUERIES,
+        leaders, matches, redaction, artifacts, bodies, slates, *evaluation.QUERIES, *news.QUERIES,
     )
 }
 
@@ -155,7 +155,7 @@ SELECT id, domain, reliability FROM own WHERE g <= 4 ORDER BY score DESC, publis
 placed AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY late, rank) AS place FROM late)
 SELECT domain, id, source_id, place FROM placed WHERE place <= 5""",
     "evidence": f"""WITH {CANDIDATES_SQL}, g AS (SELECT domain || ':' || regexp_extract(title, '^(.*) ', 1) AS event_id, count(DISTINCT source_id) AS source_count,
-  count(DISTINCT CASE WHEN reliability IN ('tier-1', 'tier-2') THEN source_id END) AS independent_count, bool_or(reliability = 'primary') AS primary_present,
+  count(DISTINCT CASE WHEN reliability IN ('tier-1', 'tier-2') THEN coalesce({_wires_sql(_TEXT)}, source_id) END) AS independent_count, bool_or(reliability = 'primary') AS primary_present,
   bool_or(regexp_matches({_TEXT}, '(?i){lexicons.RUMOR}')) AS rumor FROM cand GROUP BY 1)
 SELECT event_id, CASE WHEN primary_present AND independent_count >= 1 THEN 'confirmed' WHEN independent_count >= 2 THEN 'corroborated'
   WHEN source_count = 1 AND rumor THEN 'unverified' WHEN source_count = 1 THEN 'single-source' ELSE 'unverified' END AS level,
@@ -182,5 +182,5 @@ FROM documents""",
     "artifacts": r"""SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b') AS artifact
 FROM pages""",
 }
-ORACLES |= evaluation.ORACLES
+ORACLES |= evaluation.ORACLES | news.ORACLES
 FLAGSHIP = "events"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.functions import lexicons
+from tidewire.functions.checks import WIRES
 from tidewire.operators import candidates as C
 from tidewire.sources import news
 
@@ -39,6 +40,11 @@ def _hits_sql(text: str, lexicon: list[tuple[str, str]]) -> str:
     return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
 
 
+def _wires_sql(text: str) -> str:
+    cases = (f"WHEN regexp_matches({text}, '(?i){p}')" + (f" OR contains(source_id, '{host}')" if host else "") + f" THEN '{key}'" for key, p, host in WIRES)
+    return "CASE " + " ".join(cases) + " END"
+
+
 def _strip_sql(html: str) -> str:
     steps = [
         (r"<!--[\s\S]*?-->", " ", "g"), (r"<(?:nav|header|footer|aside|form|svg|noscript)\b[\s\S]*?</(?:nav|header|footer|aside|form|svg|noscript)>", " ", "gi"),
@@ -57,7 +63,7 @@ _HOST_SQL = f"{_listed(HOSTS)}[CAST(floor(page_id / 3) AS BIGINT) % {len(HOSTS)}
 CANDIDATES_SQL = rf"""
 base AS (SELECT CAST(page_id AS VARCHAR) AS id, {_listed(list(news.DOMAINS))}[page_id % 4 + 1] AS domain,
   {_listed(HEADLINES)}[page_id % {len(HEADLINES)} + 1] || ' ' || regexp_extract(html, '<title>(\S*)', 1) AS title,
-  left({_strip_sql("html")}, 400) AS description,
+  {_strip_sql("html")} AS description,
   'https://www.' || {_HOST_SQL} || '/item/' || CAST(CAST(floor(page_id / 2) AS BIGINT) AS VARCHAR) AS url,
   CASE WHEN page_id % 13 <> 0 THEN TIMESTAMP '2026-08-16 00:00:00' - to_hours((page_id % 11) * 9) END AS published_at,
   {_HOST_SQL} AS source_id FROM pages WHERE page_id IS NOT NULL),

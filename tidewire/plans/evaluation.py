@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions import lexicons
+from tidewire.functions import catalog, lexicons
+from tidewire.functions.checks import independence_key
 from tidewire.functions.text import title_tokens
 from tidewire.operators import candidates as C
 from tidewire.operators import diagnostics, relevance, selection, targets
 from tidewire.operators import events as E
-from tidewire.plans.base import CANDIDATES_SQL, HEADLINES, NOW, _candidates, _hits_sql, _listed, _pages, _scored
+from tidewire.plans.base import CANDIDATES_SQL, HEADLINES, NOW, _candidates, _hits_sql, _listed, _pages, _scored, _wires_sql
+from tidewire.plans import news as plans_news
 from tidewire.sources import feeds, news
 
 STAGES = ["primary", "tier-1", "tier-2", "other"]
-AI = relevance.Domain("ai-tech", topics=("model", "software", "chip"), impacts=("launch", "fraud"), tags=(r"\bAI\b", r"\bsecurity\b"), objects=tuple(k for k, _ in lexicons.OBJECTS[:8]), hosts=("openai.com",))
+AI = catalog.AI_TECH
 
 
 def _reports(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates as reports: an event for each domain and headline, scores to six places."""
     rows = _scored(spark, folder).withColumn("score", F.round("score", 6)).withColumn("lead", F.regexp_extract("title", "^(.*) ", 1))
-    return rows.withColumn("event_id", F.concat_ws(":", "domain", "lead")).withColumn("independence_key", F.col("source_id"))
+    return rows.withColumn("event_id", F.concat_ws(":", "domain", "lead")).withColumn("independence_key", independence_key(F.col("title"), F.col("description"), F.col("source_id")))
 
 
 def pool(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +103,7 @@ _REPORTS_SQL = f"""{CANDIDATES_SQL}, reports AS (SELECT * EXCLUDE (score), score
 def _grades_sql(name: str, rows: str) -> str:
     return f"""{name} AS (SELECT event_id, CASE WHEN p AND i >= 1 THEN 'confirmed' WHEN i >= 2 THEN 'corroborated' WHEN s = 1 AND r THEN 'unverified'
   WHEN s = 1 THEN 'single-source' ELSE 'unverified' END AS level FROM (SELECT event_id, count(DISTINCT source_id) AS s, bool_or(reliability = 'primary') AS p,
-  count(DISTINCT CASE WHEN reliability IN ('tier-1', 'tier-2') THEN source_id END) AS i, bool_or(regexp_matches({_TEXT}, '(?i){lexicons.RUMOR}')) AS r
+  count(DISTINCT CASE WHEN reliability IN ('tier-1', 'tier-2') THEN coalesce({_wires_sql(_TEXT)}, source_id) END) AS i, bool_or(regexp_matches({_TEXT}, '(?i){lexicons.RUMOR}')) AS r
   FROM {rows} GROUP BY 1))"""
 
 
@@ -128,11 +130,11 @@ t AS (SELECT *, {_TOKENS.format("title")} AS tokens FROM ranked),
 s AS (SELECT domain, id, score6 - CASE WHEN EXISTS (SELECT 1 FROM old WHERE {_agree("t.tokens", "old.tokens")} >= 0.62) THEN 18.0 ELSE 0.0 END AS pool_score FROM t),
 p AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY pool_score DESC, id) AS place FROM s)
 SELECT domain, id, round(pool_score, 6) AS pool_score, place FROM p WHERE place <= 60""",
-    "relevant": rf"""WITH {CANDIDATES_SQL}, f AS (SELECT *, lower({_TEXT}) AS low, string_split({_hits_sql(_TEXT, lexicons.ENTITIES)}, ',') AS e,
-  string_split({_hits_sql(_TEXT, lexicons.ACTIONS)}, ',') AS a, string_split({_hits_sql(_TEXT, lexicons.OBJECTS)}, ',') AS o FROM cand),
-g AS (SELECT *, {_COUNT(AI.topics)} AS topics, {_COUNT(AI.impacts)} AS impacts, {" + ".join(f"CAST(regexp_matches({_TEXT}, '(?i){p}') AS INTEGER)" for p in AI.tags)} AS tags,
-  len(list_filter(e, lambda x: x <> '')) AS ne, len(list_filter(a, lambda x: x <> '')) AS na, list_has_any(o, {_listed(list(AI.objects))}) AS own,
-  reliability = 'primary' AND (source_id = 'openai.com' OR ends_with(source_id, '.openai.com')) AS official FROM f)
+    "relevant": f"""WITH {CANDIDATES_SQL}, reports AS (SELECT *, {_TEXT} AS x FROM cand), {plans_news.LISTS_SQL},
+f AS (SELECT *, lower(x) AS low FROM feat),
+g AS (SELECT *, {_COUNT(AI.topics)} AS topics, {_COUNT(AI.impacts)} AS impacts, {" + ".join(f"CAST(regexp_matches(x, '(?i){p}') AS INTEGER)" for _, p in AI.tags)} AS tags,
+  len(entities) AS ne, len(actions) AS na, list_has_any(objects, {_listed(list(AI.objects))}) AS own,
+  reliability = 'primary' AND ({" OR ".join(f"source_id = '{h}' OR ends_with(source_id, '.{h}')" for h in AI.hosts)}) AS official FROM f)
 SELECT id, CAST(round(topics * 4 + impacts * 1.5 + tags * 2.5 + least(ne, 3) + least(na, 2) * 1.5 + CAST(own AS INTEGER) * 5 + CAST(official AS INTEGER) * 8, 6) AS DOUBLE) AS match,
   topics > 0 OR official OR (own AND (ne > 0 OR na > 0)) OR (tags > 0 AND (ne > 0 OR na > 0)) AS relevant FROM g""",
     "gates": f"""WITH {_REPORTS_SQL}, late AS (SELECT *, row_number() OVER (PARTITION BY domain, source_id ORDER BY rank) > 2 AS late FROM reports),
