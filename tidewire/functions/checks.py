@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import _BOUNDARY, han_share, hostname, nfkc, of_host, pattern, strip_html
+from tidewire.functions.text import _BOUNDARY, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
 
 # The patterns of what no published text may hold.
 HTML_ARTIFACT = r"</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b"
@@ -143,8 +143,11 @@ def is_non_article(title: Column, url: Column, specific: Column) -> Column:
 
 def wire_key(title: Column, description: Column, source_id: Column) -> Column:
     """The first news agency that a report names or comes from; null without one."""
-    text = F.concat_ws(" ", title, description)
-    return F.coalesce(*(F.when(text.rlike(pattern(p)) | (source_id.contains(host) if host else F.lit(False)), key) for key, p, host in WIRES))
+    named = hits(F.concat_ws(" ", title, description), [(key, p) for key, p, _ in WIRES])
+    by_host = F.array(*(F.when(source_id.contains(host), F.lit(key)) for key, _, host in WIRES if host))
+    found = F.concat(named, F.filter(by_host, lambda x: x.isNotNull()))
+    order = F.array(*(F.lit(key) for key, _, _ in WIRES))
+    return F.try_element_at(F.filter(order, lambda k: F.array_contains(found, k)), F.lit(1))
 
 
 def independence_key(title: Column, description: Column, source_id: Column, own: Column | None = None) -> Column:

@@ -116,6 +116,7 @@ def ranked(df: DataFrame, *within: str) -> DataFrame:
     rows, and the counts of the ranges before it, one row for each range and value, are added.
     """
     order = [*(F.asc(c) for c in within), *total_order()]
+    df = durable(df)  # the ranges come from a look at all rows before they are dealt
     rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_range", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
     counts = rows.groupBy("_range", *within).agg(F.min("_n").alias("_first"), F.count("*").alias("_count"))
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import lexicons
 from tidewire.functions.quantities import compatible
 from tidewire.functions.similarity import disjoint, jaccard, overlap
-from tidewire.functions.text import pattern
+from tidewire.functions.text import hits
 from tidewire.operators.leaders import greedy_leaders
 from tidewire.operators.setjoin import similar_sets
 from tidewire.operators.syndication import effective_keys
@@ -194,7 +194,7 @@ def clustered(df: DataFrame) -> DataFrame:
 def evidence(reports: DataFrame, event: str = "event_id") -> DataFrame:
     """The grade of each event's evidence from its reports: (event, source_id, reliability, independence_key, title, description)."""
     reliable = F.col("reliability").isin("tier-1", "tier-2")
-    rumor = F.concat_ws(" ", "title", "description").rlike(pattern(lexicons.RUMOR))
+    rumor = F.size(hits(F.concat_ws(" ", "title", "description"), [("rumor", lexicons.RUMOR)])) > 0
     counted = reports.groupBy(event).agg(
         F.count_distinct("source_id").alias("source_count"),
         F.count_distinct(F.when(reliable, F.col("independence_key"))).alias("independent_count"),
