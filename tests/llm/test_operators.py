@@ -59,6 +59,36 @@ def test_groups_of_near_copies(spark):
     assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_duplicates(copies))
 
 
+def test_buckets_of_unlike_members(spark):
+    # A template that all share, too little for a link; every fifth text is an edited copy of the one before.
+    template, rows = [say(1) + str(i) for i in range(90)], []
+    for i in range(60):
+        words = rows[-1][1].split() if i % 5 == 4 else template + [f"own{i}x{j}" for j in range(14)]
+        rows.append((i, " ".join(words[:-2] + ["tail", f"edit{i}"] if i % 5 == 4 else words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.near_duplicates(rows))
+    assert len({r[2] for r in want}) == 48
+    for block in (512, 3):
+        found = near_dedup.near_duplicates(df, shingle=3, percent=85, block=block)
+        assert got(found, "doc_id", "n_shingles", "component_id", "kept") == want
+    full = near_dedup._full_sets(df, df.select("doc_id"), 3)
+    live = df.select(df.doc_id.alias("rep"), df.doc_id.alias("component"))
+    pairs = set(got(near_dedup._rare_shingle_pairs(live, full, 85), "a", "b"))
+    assert {(i - 1, i) for i in range(4, 60, 5)} <= pairs and len(pairs) < 60
+
+
+def test_rare_shingle_pairs_leave_nothing_out(spark):
+    random.seed(8)
+    sets = {i: sorted(random.sample(range(40), random.randint(1, 30))) for i in range(50)}
+    sets |= {50 + i: sorted(set(sets[i]) ^ {random.randrange(40)}) or [1] for i in range(50)}
+    sets |= {100 + i: sets[i] for i in range(10)}
+    full = spark.createDataFrame([(i, bytearray(np.array(s, np.uint64).tobytes())) for i, s in sets.items()], "doc_id long, full binary")
+    live = full.select(full.doc_id.alias("rep"), full.doc_id.alias("component"))
+    for percent in (50, 80, 85, 100):
+        near = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= percent * len(set(sets[a]) | set(sets[b]))}
+        assert near and near <= set(got(near_dedup._rare_shingle_pairs(live, full, percent), "a", "b"))
+
+
 def test_repeated_substrings(docs):
     rows = substring_dedup.repeated_substrings(docs).collect()
     found = sorted((r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in rows)

@@ -4,9 +4,10 @@ Documents with the same shingle set form a class with its smallest id as represe
 signatures: each element visits the slots in its own random order, the i-th visit with a value in [i, i+1), so that a
 document stops as soon as no slot can fall any further. Bands of the signature give buckets. In two rounds, every bucket
 compares a few pivots with its other members, leaves out pairs that are already connected or too unlike in size, and
-drops its pivots, which have met all others. Buckets that still hold several components are cut into blocks; any two
-blocks of a bucket meet in one task, which returns the links that join components. So a bucket of copies costs one
-comparison per member, and yet no pair of a bucket is left unexamined unless its ends are known to be connected.
+drops its pivots, which have met all others. Of the buckets that still hold several components, those of bounded size are
+compared each in one task, which returns the links that join components; the members of larger ones meet by their rarest
+shingles, which finds every pair that may agree without listing the pairs of a bucket. So a bucket of copies costs one
+comparison per member, and yet no pair is passed over unless its ends are known to be connected or too unlike.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import GOLDEN, LOWER, as_bytes, as_documents, batches_of, mix, release, written
@@ -171,11 +172,10 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def _block_links(live: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) across components among the members of each bucket (bucket, rep, component), all pairs examined.
+def _bucket_links(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components among the members of each bucket (bucket, rep, component), a bucket to a task.
 
-    Buckets are cut into blocks of about `block` members, and any two blocks meet in one task; a component that fills
-    blocks alone has blocks of its own, which need not meet each other. Tasks return links that join components, no pairs.
+    Only for buckets of bounded size; tasks return links that join components, no pairs.
     """
 
     def compare(group: pa.Table) -> pa.Table:
@@ -200,20 +200,42 @@ def _block_links(live: DataFrame, full: DataFrame, percent: int, block: int) ->
                     found.append((int(reps[i]), int(reps[j])))
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    per = live.groupBy("bucket", "component").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= block, F.col("component")))
-    blocks = per.groupBy("bucket", "own").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
-    listed = blocks.groupBy("bucket").agg(F.collect_list(F.struct("own", "parts")).alias("all"))
-    listed = listed.select("bucket", F.expr("flatten(transform(all, x -> transform(sequence(0, x.parts - 1), i -> named_struct('own', x.own, 'part', i))))").alias("all"))
-    named = per.join(blocks.withColumnRenamed("own", "b_own").withColumnRenamed("bucket", "b_bucket"), (F.col("bucket") == F.col("b_bucket")) & F.col("own").eqNullSafe(F.col("b_own")))
-    placed = live.join(named.select("bucket", "component", "own", "parts"), ["bucket", "component"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    met = (
-        placed.join(listed, "bucket")
-        .select("bucket", "rep", "component", F.struct("own", "part").alias("mine"), F.explode("all").alias("other"))
-        .where("not (mine.own is not null and other.own is not null and mine.own = other.own)")
-        .select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "component")
-    )
     sets = full.withColumnRenamed("doc_id", "rep")
-    return met.join(sets, "rep").groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")
+    return live.select("bucket", "rep", "component").join(sets, "rep").groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
+def _rare_shingle_pairs(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of live (rep, component), of different components, that may agree to percent: none that does is left out.
+
+    Shingles are ordered by how many of these documents hold them, rarest first. Two sets that agree share a shingle among the
+    first of both, and what follows it in each must suffice for the intersection: at their first common shingle the bound
+    on what is left holds, so pairs that fail it at every shingle cannot agree. Shingles of one document alone come first in
+    the order and are only counted, so text that all members of a bucket share brings none of them together.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(value.as_buffer(), np.int64)
+                for first in range(0, len(tokens), 100_000):
+                    part = tokens[first : first + 100_000]
+                    columns = [np.full(len(part), rep), np.full(len(part), len(tokens)), part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "n", "token"])
+
+    sets = full.withColumnRenamed("doc_id", "rep").join(live.select("rep"), "rep", "left_semi").select("rep", "full")
+    tokens = written(sets.mapInArrow(listed, "rep long, n long, token long"), "dense-shingles")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = tokens.join(counts, "token").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("holders", "token")))
+    shared = shared.withColumn("place", F.col("n") - F.count("*").over(Window.partitionBy("rep")) + F.col("place") - 1)
+    # Of the larger set, n - place >= percent of n; of the smaller one, more: its share of the intersection.
+    prefix = written(shared.where(f"100 * (n - place) >= {percent} * n").select("rep", "n", "token", "place").join(live, "rep"), "dense-prefixes")
+    small = prefix.where(f"(100 + {percent}) * (n - place) >= 2 * {percent} * n")
+    x, y = (side.select("token", *(F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", "place", "component"))) for p, side in (("x", small), ("y", prefix)))
+    meet = (
+        "x_component <> y_component and struct(x_n, x_rep) < struct(y_n, y_rep) "
+        f"and 100 * x_n >= {percent} * y_n and (100 + {percent}) * least(x_n - x_place, y_n - y_place) >= {percent} * (x_n + y_n)"
+    )
+    return x.join(y, "token").where(meet).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -239,6 +261,8 @@ def near_duplicates(
 
     A pair at 85 % misses all of 24 bands of 4 with a chance of 2e-8, at 80 % with 3e-6. Pairs whose 96 slots agree by
     less than percent - 25 points are not compared in full; a pair at the limit falls so low with a chance below 1e-9.
+    What two rounds of pivots leave of a bucket is compared in one task up to `block` members and 5000 * block shingles,
+    and beyond that by rare shingles: both examine every pair. Very long texts are read whole.
     """
     docs = as_documents(docs, id_col, text_col)
     sketches = written(_sketches(docs, shingle, bands, rows), "sketches")
@@ -297,8 +321,15 @@ def near_duplicates(
         entries = written(rest.join(mixed.select("bucket"), "bucket"), "buckets")
         release(docs.sparkSession)
     if not entries.isEmpty():
-        live = entries.join(nodes.select("rep", "component"), "rep")
-        links = links.unionByName(written(_block_links(live, full, percent, block), "block-links"))
+        live = entries.join(nodes.select("rep", "component", "most"), "rep")
+        sizes = live.groupBy("bucket").agg(((F.count("*") > block) | (F.sum("most") > block * 5000)).alias("dense"))
+        live = written(live.join(sizes, "bucket"), "rest")
+        links = links.unionByName(written(_bucket_links(live.where("not dense"), full, percent), "bucket-links"))
+        dense = live.where("dense").select("rep", "component").distinct()
+        if not dense.isEmpty():
+            pairs = _rare_shingle_pairs(dense, full, percent)
+            pairs = written(_resembling(pairs, signatures, bands * rows, percent / 100 - 0.25), "pairs")
+            links = links.unionByName(written(_confirmed(pairs, full, percent), "links"))
 
     labels = connected_components(links)
     same = F.col("doc_id") == F.col("node")
