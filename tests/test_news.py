@@ -240,6 +240,22 @@ def test_reading_publishing_and_reliability(spark, tmp_path):
     assert [(r.id, r.position) for r in selection.renumbered(stories).orderBy("position").collect()] == [("c", 1), ("a", 2), ("b", 3)]
 
 
+def test_earlier_digests(spark, tmp_path):
+    import json
+
+    from tidewire.sources import history
+
+    assert history.previous_signals(history.landed_digests(spark, str(tmp_path / "none"))).count() == 0
+    story = {"title": "A", "summary": "", "keyFacts": ["f", None], "trend": {"signalsToWatch": ["s"]}}
+    briefings = [{"domain": "world", "stories": [story, {"title": "B"}], "watchNext": ["w"]}, {"domain": "world", "stories": [{"title": "late"}]}, {"domain": "markets", "watchNext": ["x"]}]
+    (tmp_path / "d.json").write_text(json.dumps({"briefings": briefings}, indent=1))
+    (tmp_path / "broken.json").write_text("{nothing")
+    landed = history.landed_digests(spark, str(tmp_path / "*.json"))
+    signals = [(r.domain, r.position, r.signal) for r in history.previous_signals(landed).orderBy("domain", "position").collect()]
+    assert signals == [("markets", 1, "x"), *(("world", i + 1, v) for i, v in enumerate("AfsBw"))]
+    assert [(r.domain, r.title) for r in history.previous_titles(landed).orderBy("position").collect()] == [("world", "A"), ("world", "B")]
+
+
 def test_streams(spark, tmp_path):
     from tidewire.streaming import candidates as S
 

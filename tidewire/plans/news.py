@@ -18,7 +18,7 @@ from tidewire.operators import events as E
 from tidewire.operators import followups as U
 from tidewire.operators import relevance, syndication
 from tidewire.plans.base import NOW, _hits_sql, _listed, _strip_sql, _wires_sql
-from tidewire.sources import news
+from tidewire.sources import history, news
 
 SUBJECTS = ["OpenAI", "Federal Reserve", "Iran", "Harvard University", "Reuters says Nvidia", "UNESCO", "Quantum Bridge Labs", "Japan", "A local school board"]
 VERBS = ["launches", "cuts rates on", "warns about", "acquires", "publishes", "signs agreement on", "reportedly bans"]
@@ -170,9 +170,17 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_id", *(F.array_join(c, ",").alias(c) for c in ("article_ids", "article_urls", "entities", "actions", "numbers")))
 
 
+def earlier_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """What digests of one report each said; a later briefing of the same domain does not count."""
+    story = F.struct("title", F.col("description").alias("summary"), F.array("event_id", F.lit("")).alias("keyFacts"), F.struct(F.array("source_id").alias("signalsToWatch")).alias("trend"))
+    briefing = F.struct("domain", F.array(story).alias("stories"), F.array("url").alias("watchNext"))
+    landed = _reports(spark, folder).select("id", F.to_json(F.struct(F.array(briefing, briefing).alias("briefings"))).alias("json"))
+    return history.previous_signals(landed)
+
+
 QUERIES = (
     names, text_dates, text_numbers, implied_actions, domain_match, search_hits, syndicated, independent_grades, event_dates, listing_pages, claim_support,
-    false_merges, dispositions, run_metrics, content_quality, follow_ups, snapshots,
+    false_merges, dispositions, run_metrics, content_quality, follow_ups, snapshots, earlier_signals,
 )
 
 
@@ -284,6 +292,8 @@ for _i, _w in enumerate(checks.NUMBER_WORDS):
     _NUMBER_WORDS = f"regexp_replace({_NUMBER_WORDS}, '(?i)\\b{_w}\\b', '{_i}', 'g')"
 
 ORACLES: dict[str, str] = {
+    "earlier_signals": f"WITH {REPORTS_SQL}, s AS (SELECT id, domain, list_filter([title, description, event_id, source_id, url], lambda v: v <> '') AS a FROM reports) "
+    "SELECT id, domain, unnest(range(1, len(a) + 1)) AS position, unnest(a) AS signal FROM s",
     "names": f"WITH {REPORTS_SQL} SELECT id, array_to_string(list_sort(list_distinct(list_concat({_hit_list('x', lexicons.ENTITIES)}, {_NAMES}))), ',') AS names FROM reports",
     "text_dates": f"WITH {REPORTS_SQL}, n AS (SELECT id, list_transform(list_concat({', '.join(f'''regexp_extract_all(x, '{p}', 1)''' for p in catalog.DATES[:2])}), "
     f"lambda v: trim(lower(v))) || list_transform(regexp_extract_all(x, '{catalog.DATES[2]}', 1), lambda v: trim(lower(v))) AS a FROM reports), "
