@@ -155,9 +155,8 @@ def quality_scores(
     not held out. Without two rows of each class all scores are the share of label 1, or 0.5. An empty table gives no
     rows. Texts are read whole; other columns are ignored.
     """
-    docs = as_documents(docs, id_col, text_col)
-    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    stats = written(measured(keyed), "statistics")
+    docs = as_documents(docs, id_col, text_col).select("doc_id", text_key().alias("text_key"), "text")
+    stats = written(measured(docs), "statistics")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
     known = labels.select(F.col(label_id_col).cast("long").alias("label_id"), F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
     model = fit(stats.where(~held_out).join(known, F.col("doc_id") == F.col("label_id")), shrink, ridge)

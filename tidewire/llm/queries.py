@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewire.llm import decontaminate, near_dedup, pack, pii, quality, substring_dedup, token_counts, url_filter, vector_search, warc
+from tidewire.llm import decontaminate, hard_negatives, lexical_search, near_dedup, pack, pii, quality, secret_scan, substring_dedup, token_counts, url_filter, vector_search, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -80,6 +80,24 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secret_scan.find_secrets(_table(spark, folder, "documents"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    counts = [pii.count("spans", kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
+    base = F.sha2(pii.digest("spans", secret_scan.BASE).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.digest("spans").alias("spans"))
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, folder, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -149,14 +167,43 @@ SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
   sha256(unhex(coalesce(rest, x))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
 """
 
+OP12_SQL = rf"""
+WITH words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)) GROUP BY 1, 2),
+tf AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2, 3, 4),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY t),
+impact AS (SELECT row, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))) AS x FROM tf JOIN df USING (t), total),
+scored AS (SELECT item_id, row, doc_id, CAST(sum(x * times) AS BIGINT) AS score FROM impact JOIN asked USING (t) GROUP BY 1, 2, 3),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+OP13_SQL = """
+WITH ok AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT vec_id, min({'label': label, 'v': v}) AS r FROM ok GROUP BY 1),
+dims AS (SELECT vec_id, r.label AS label, unnest(r.v) AS x, unnest(range(len(r.v))) AS d FROM one),
+scored AS (SELECT a.vec_id AS anchor, c.vec_id, a.label = c.label AS same, CAST(sum(a.x * c.x) AS BIGINT) AS score FROM dims a JOIN dims c ON a.d = c.d
+           WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id GROUP BY 1, 2, 3),
+positive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM scored WHERE same) WHERE place <= 5),
+negative AS (SELECT p.anchor, p.vec_id AS positive, p.score AS positive_score, n.vec_id, n.score, row_number() OVER (PARTITION BY p.anchor, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+             FROM positive p JOIN scored n ON p.anchor = n.anchor AND NOT n.same WHERE 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM negative WHERE rank <= 5
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontaminate, op2_pack, op3_url_filter, op4_near_dedup, op5_pii, op6_warc, op7_top_k, op8_quality, op9_substring_dedup, op10_token_counts,
+        op11_secrets, op12_search, op13_hard_negatives,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_decontaminate": OP1_SQL, "op4_near_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op7_top_k": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+    found = {"op1_decontaminate": OP1_SQL, "op4_near_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op7_top_k": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op12_search": OP12_SQL, "op13_hard_negatives": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
