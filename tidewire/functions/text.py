@@ -163,6 +163,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x.lower()))
 
 
+@F.pandas_udf(T.StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Compatibility normal form with letters as they are."""
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 def normal_title(title: Column) -> Column:
     """For equality of titles: lower case, normal form, without punctuation, symbols and white space."""
     return F.regexp_replace(nfkc(F.coalesce(title, F.lit(""))), r"(?U)[\p{P}\p{S}\s]+", "")

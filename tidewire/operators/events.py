@@ -19,7 +19,7 @@ from tidewire.functions.text import hits
 from tidewire.operators.leaders import greedy_leaders
 from tidewire.operators.setjoin import similar_sets
 from tidewire.operators.syndication import effective_keys
-from tidewire.operators.tables import durable
+from tidewire.operators.tables import durable, spread_join
 
 _PAIR = (
     "id", "domain", "url", "published_at", "rank", "title_key", "title_tokens", "text_tokens", "all_tokens", "entities", "actions", "objects", "quantities",
@@ -226,18 +226,58 @@ def date_ranges(reports: DataFrame, event: str = "event_id") -> DataFrame:
     return found.select(event, "first_at", "last_at", spread.alias("spread_hours"), ((F.col("hours") > 24) & (F.col("sources") > 1)).alias("date_conflict"))
 
 
+def articles(df: DataFrame, leaders: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, owner, leader, duplicate): the reports of each event.
+
+    leaders (id, leader) are the folded duplicates of df, groups (id, leader) the events of the rows that lead. Every row
+    that leads is a report of its event; a duplicate is one if it has its leader's URL or matches it. So each row meets
+    its own leader alone.
+    """
+    folded = leaders.where("id <> leader").select("id", F.col("leader").alias("owner"))
+    mine = df.join(folded, "id").select("owner", *(F.col(c).alias(f"r_{c}") for c in _PAIR))
+    theirs = df.join(groups.select("id", F.col("leader").alias("event_leader")), "id").select(F.col("id").alias("owner"), "event_leader", *(F.col(c).alias(f"l_{c}") for c in _PAIR))
+    met = spread_join(mine, theirs, "owner", F.col("r_id"))
+    admitted = met.where(match_reason(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")) == "accepted")
+    own = groups.select("id", F.col("id").alias("owner"), "leader", F.lit(False).alias("duplicate"))
+    return own.unionByName(admitted.select(F.col("r_id").alias("id"), "owner", F.col("event_leader").alias("leader"), F.lit(True).alias("duplicate")))
+
+
+def event_articles(df: DataFrame) -> DataFrame:
+    """df's reports of events, with owner, duplicate, event_id and place, which orders an event's reports.
+
+    Reports come in rank order of their owners, each followed by its duplicates in rank order.
+    """
+    leaders = durable(deduplicated(df))
+    kept = df.join(leaders.where("id = leader").select("id"), "id")
+    found = articles(df, leaders, durable(clustered(kept)))
+    rows = df.join(found, "id").withColumn("event_id", event_id(F.col("domain"), F.col("leader")))
+    ranks = df.select(F.col("id").alias("owner"), F.col("rank").alias("owner_rank"))
+    return spread_join(rows, ranks, "owner", F.col("id")).withColumn("place", F.struct("owner_rank", "duplicate", "rank")).drop("owner_rank")
+
+
+def ordered_distinct(rows: DataFrame, event: str, values: str, place: str, most: int | None = None) -> DataFrame:
+    """(event, values): each event's distinct values, by where they occur first, the first `most` of them."""
+    each = rows.select(event, F.col(place).alias("_place"), F.posexplode(values).alias("_i", "_v"))
+    first = each.groupBy(event, "_v").agg(F.min(F.struct("_place", "_i")).alias("_at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"])
+    return first.groupBy(event).agg((listed if most is None else F.slice(listed, 1, most)).alias(values))
+
+
 def build_events(df: DataFrame) -> DataFrame:
-    """One row for each event of ranked, featured candidates: duplicates folded, reports clustered, evidence graded."""
+    """One row for each event of ranked, featured candidates: duplicates folded, reports clustered, evidence graded.
+
+    Duplicates that are reports of their leader's event count in its sources, dates and evidence. tags, where df has them,
+    are the first six of its reports. The primary report is the first by rank.
+    """
     df = durable(df)  # features are costly, and every step below compares them
-    leaders = deduplicated(df)
-    kept = df.join(leaders.where("id = leader").select("id"), "id")
-    groups = clustered(kept)
-    reports = kept.join(groups, "id").withColumn("event_id", event_id(F.col("domain"), F.col("leader")))
+    reports = durable(event_articles(df))
     reports = reports.join(effective_keys(reports).select("id", F.col("effective_key").alias("independence_key")), "id")
     grades = evidence(reports).select("event_id", "level", "source_count", "independent_count")
-    events = reports.groupBy("event_id", "domain").agg(
-        F.min_by("title", "rank").alias("title"),
-        F.count("*").alias("reports"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("title_entities")))).alias("entities"),
+    found = reports.groupBy("event_id", "domain").agg(
+        F.min_by("title", "rank").alias("title"), F.min_by("id", "rank").alias("primary_id"), F.count("*").alias("reports"), F.count_if("duplicate").alias("duplicates")
     )
-    return events.join(date_ranges(reports), "event_id").join(grades, "event_id")
+    found = found.join(ordered_distinct(reports, "event_id", "title_entities", "place").withColumnRenamed("title_entities", "entities"), "event_id", "left")
+    if "tags" in df.columns:
+        found = found.join(ordered_distinct(reports, "event_id", "tags", "place", 6), "event_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    found = found.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    return found.join(date_ranges(reports), "event_id").join(grades, "event_id")
