@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import _BOUNDARY, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
+from tidewire.functions.text import _BOUNDARY, bound, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
 
 # The patterns of what no published text may hold.
 HTML_ARTIFACT = r"</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b"
@@ -52,23 +52,20 @@ def has_html_artifact(text: Column) -> Column:
 
 def has_english_fragment(text: Column) -> Column:
     """Whether seven or more lower-case English words follow each other, or a date stamp hangs in the text."""
-    plain = strip_html(text)
     # Exactly seven find the same texts as seven and more, but the matcher descends once for each repeat of a group: on
     # a run of a thousand words the open form exhausts the stack of its thread.
     seven = ENGLISH_RUN.replace("{7,}", "{7}")
-    return plain.rlike(seven.replace(r"\b", _BOUNDARY)) | plain.rlike(pattern(DATE_STAMP))
+    return bound(strip_html(text), lambda plain: plain.rlike(seven.replace(r"\b", _BOUNDARY)) | plain.rlike(pattern(DATE_STAMP)))
 
 
 def is_placeholder_summary(text: Column) -> Column:
     """Whether a summary is empty, or only says that its source says something."""
-    plain = strip_html(text)
-    return (plain == "") | plain.rlike(pattern("|".join(PLACEHOLDER_SUMMARY)))
+    return bound(strip_html(text), lambda plain: (plain == "") | plain.rlike(pattern("|".join(PLACEHOLDER_SUMMARY))))
 
 
 def is_placeholder_title(text: Column) -> Column:
     """Whether a title is empty, or only says that somebody published something."""
-    plain = strip_html(text)
-    return (plain == "") | plain.rlike(pattern("|".join(PLACEHOLDER_TITLE)))
+    return bound(strip_html(text), lambda plain: (plain == "") | plain.rlike(pattern("|".join(PLACEHOLDER_TITLE))))
 
 
 def enough_chinese(text: Column, least: float = 0.35) -> Column:
@@ -76,6 +73,12 @@ def enough_chinese(text: Column, least: float = 0.35) -> Column:
     return han_share(text) >= least
 
 
+def han_ratio(text: Column) -> Column:
+    """Share of Han characters in what is neither white space, punctuation, symbol nor digit; 0 without any."""
+    bare = F.regexp_replace(text, r"(?U)[\s\p{P}\p{S}]|[0-9]", "")
+    return F.when(F.length(bare) > 0, F.length(F.regexp_replace(bare, r"[^\p{IsHan}]", "")) / F.length(bare)).otherwise(0.0)
+
+
 def sentences(text: Column) -> Column:
     """The sentences of an HTML text, without legal notes, bullets, navigation and what has under 12 characters."""
     plain = strip_html(text)
@@ -147,10 +150,8 @@ def is_non_article(title: Column, url: Column, specific: Column) -> Column:
 def wire_key(title: Column, description: Column, source_id: Column) -> Column:
     """The first news agency that a report names or comes from; null without one."""
     named = hits(F.concat_ws(" ", title, description), [(key, p) for key, p, _ in WIRES])
-    by_host = F.array(*(F.when(source_id.contains(host), F.lit(key)) for key, _, host in WIRES if host))
-    found = F.concat(named, F.filter(by_host, lambda x: x.isNotNull()))
-    order = F.array(*(F.lit(key) for key, _, _ in WIRES))
-    return F.try_element_at(F.filter(order, lambda k: F.array_contains(found, k)), F.lit(1))
+    own = {key: source_id.contains(host) if host else F.lit(False) for key, _, host in WIRES}
+    return F.coalesce(*(F.when(F.array_contains(named, key) | own[key], F.lit(key)) for key, _, _ in WIRES))
 
 
 def independence_key(title: Column, description: Column, source_id: Column, own: Column | None = None) -> Column:

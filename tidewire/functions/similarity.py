@@ -20,3 +20,9 @@ def overlap(a: Column, b: Column) -> Column:
 def disjoint(a: Column, b: Column) -> Column:
     """Whether both sets have elements and none in common."""
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
+def angles_distinct(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Whether two stories of one event look at it differently: token sets of titles, summaries and facts, none of which agree much."""
+    title, summary, facts = (jaccard(x, y) for x, y in zip(a, b, strict=True))
+    return (title < 0.5) & (summary < 0.42) & (facts < 0.42)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
+from collections.abc import Callable
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,21 +92,56 @@ def folded_pattern(source: str) -> str:
     return out
 
 
+class _Finder:
+    """A lexicon's patterns for folded() texts. One pass finds the strings that patterns need; only those that got theirs are tried."""
+
+    def __init__(self, lexicon: tuple[tuple[str, str], ...]):
+        self.labels = [label for label, _ in lexicon]
+        self.patterns = [re.compile(folded_pattern(p), re.ASCII) for _, p in lexicon]
+        self.always = {i for i, (_, p) in enumerate(lexicon) if needed(p) is None}
+        owners: dict[str, set[int]] = {}
+        for i, (_, p) in enumerate(lexicon):
+            for s in needed(p) or ():
+                owners.setdefault(s, set()).add(i)
+        self.strings = ahocorasick.Automaton()
+        for s, own in owners.items():
+            self.strings.add_word(s, own)
+        self.strings.make_automaton()
+        self.has_strings = bool(owners)
+
+    def tried(self, text: str) -> list[int]:
+        found = set(self.always)
+        if self.has_strings:
+            found.update(*(own for _, own in self.strings.iter(text)))
+        return sorted(found)
+
+    def all(self, text: str | None) -> list[str]:
+        return [self.labels[i] for i in self.tried(text) if self.patterns[i].search(text)] if text else []
+
+    def first(self, text: str | None) -> str | None:
+        places = [(m.start(), i) for i in self.tried(text) if (m := self.patterns[i].search(text))] if text else []
+        return self.labels[min(places)[1]] if places else None
+
+
+@functools.cache
+def _finder(lexicon: tuple[tuple[str, str], ...]) -> _Finder:
+    """A lexicon's finder: built once in each worker process."""
+    return _Finder(lexicon)
+
+
 def hits(text: Column, lexicon: list[tuple[str, str]], low: Column | None = None) -> Column:
-    """Labels of the lexicon that occur in the text, in the lexicon's order; one pass of the row, no join.
+    """Labels of the lexicon that occur in the text, in the lexicon's order; none for null.
 
-    low is folded(text), where the caller has it: a pattern is tried only where a string that it needs occurs.
+    low is folded(text), where the caller has it. Texts go through in batches: some 160 patterns as columns would make plans
+    that take longer to compile than to run, and each of them would pass over the text on its own.
     """
+    own = tuple(map(tuple, lexicon))
 
-    def found(row: Column, p: str) -> Column:
-        some, full = needed(p), row.rlike(folded_pattern(p))
-        if some is None:
-            return full
-        return F.exists(F.split(F.lit("|".join(some)), r"\|"), lambda s: F.contains(row, s)) & full
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def labels(texts: pd.Series) -> pd.Series:
+        return texts.map(_finder(own).all)
 
-    # The array of one text binds its folded form, so that it is worked out once for all patterns.
-    labels = F.transform(F.array(folded(text) if low is None else low), lambda row: F.array(*(F.when(found(row, p), F.lit(label)) for label, p in lexicon)))
-    return F.filter(F.element_at(labels, 1), lambda x: x.isNotNull())
+    return labels(folded(text) if low is None else low)
 
 
 #: Named character references and what they stand for; others become a space.
@@ -112,6 +151,19 @@ _NAMED = [
 ]
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once, however often f refers to it: a plan holds a column as often as it is named."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _referred(text: Column, digits: str, base: int) -> Column:
+    """The text with the characters that its numeric references stand for, one at a time between the pieces of text."""
+    pieces, codes = F.split(text, digits, -1), F.regexp_extract_all(text, F.lit(digits), F.lit(1))
+    chars = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.conv(c, base, 16), 8, "0")), "UTF-32BE"))
+    joined = F.zip_with(pieces, F.concat(chars, F.array(F.lit(""))), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(joined, "")).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
     """The text of HTML: without comments, navigation, styles, scripts and tags; null is empty."""
     text = F.coalesce(html, F.lit(""))
@@ -119,12 +171,8 @@ def strip_html(html: Column) -> Column:
     removed = [r"<!--[\s\S]*?-->", rf"(?i)<(?:{blocks})\b[\s\S]*?</(?:{blocks})>", r"(?i)<style[\s\S]*?</style>", r"(?i)<script[\s\S]*?</script>", r"<[^>]+>"]
     for p in removed:
         text = F.regexp_replace(text, p, " ")
-    # Numeric references, one at a time as they stand between the pieces of text.
     for digits, base in ((r"&#[xX]([0-9a-fA-F]{1,6});", 16), (r"&#([0-9]{1,7});", 10)):
-        pieces, codes = F.split(text, digits, -1), F.regexp_extract_all(text, F.lit(digits), F.lit(1))
-        chars = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.conv(c, base, 16), 8, "0")), "UTF-32BE"))  # noqa: B023
-        joined = F.zip_with(pieces, F.concat(chars, F.array(F.lit(""))), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
-        text = F.when(F.size(codes) > 0, F.array_join(joined, "")).otherwise(text)
+        text = bound(text, lambda t: _referred(t, digits, base))  # noqa: B023
     for p, value in _NAMED:
         text = F.regexp_replace(text, "(?i)" + p, value)
     text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|�+", " ")
@@ -197,7 +245,7 @@ def text_tokens(text: Column, stop_words: list[str]) -> Column:
 
 def shorten(text: Column, most: int = 180) -> Column:
     """At most so many characters, an ellipsis at the end of what is cut."""
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most - 1))), F.lit("…"))).otherwise(text)
+    return bound(text, lambda t: F.when(F.length(t) > most, F.concat(F.rtrim(F.left(t, F.lit(most - 1))), F.lit("…"))).otherwise(t))
 
 
 def han_share(text: Column) -> Column:
@@ -226,7 +274,9 @@ def key_numbers(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(form), F.lit(1))
 
     def spelled(value: Column) -> Column:
-        v = F.trim(F.replace(F.regexp_replace(F.lower(value), r"\s+", " "), F.lit(","), F.lit("")))
+        return bound(F.trim(F.replace(F.regexp_replace(F.lower(value), r"\s+", " "), F.lit(","), F.lit(""))), spelling)
+
+    def spelling(v: Column) -> Column:
         plain = lambda n: F.regexp_replace(n.cast("string"), r"\.0$", "")
         hundred = F.regexp_extract(v, r"^(\d+(?:\.\d+)?)亿美元$", 1)
         dollars = F.regexp_extract(v, r"^\$\s?(\d+(?:\.\d+)?)\s?(?:trillion|billion|million|tn|bn|mn)?$", 1)
@@ -288,14 +338,13 @@ def tags_of(text: Column, domain: catalog.Domain) -> Column:
 
 def first_entity(text: Column) -> Column:
     """The aliased entity that is named first; the lexicon's order breaks ties; null without one."""
-    def place(p: str) -> Column:
-        before = F.regexp_extract(text, "(?isu)^(.*?)(?:" + pattern(p).removeprefix("(?iu)") + ")", 1)
-        return F.length(before)
+    own = tuple(map(tuple, lexicons.ENTITIES))
 
-    places = [
-        F.when(text.rlike(pattern(p)), F.struct(place(p).alias("at"), F.lit(i).alias("order"), F.lit(label).alias("label"))) for i, (label, p) in enumerate(lexicons.ENTITIES)
-    ]
-    return F.array_min(F.filter(F.array(*places), lambda x: x.isNotNull()))["label"]
+    @F.pandas_udf(T.StringType())
+    def label(texts: pd.Series) -> pd.Series:
+        return texts.map(_finder(own).first)
+
+    return label(folded(text))
 
 
 def fingerprint(text: Column) -> Column:

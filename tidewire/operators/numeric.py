@@ -100,27 +100,33 @@ def _pair(event: str) -> Column:
     return F.concat_ws("\x1f", event, "fact")
 
 
-def sanitized(fields: DataFrame, support: DataFrame, event: str = "event_id") -> DataFrame:
+def sanitized(fields: DataFrame, support: DataFrame, event: str = "event_id", whole: bool = False) -> DataFrame:
     """(event, field, at, text, cut) for fields (event, field, at, text): texts without the numbers that no report bears out.
 
     Each sentence's numeric expressions are looked for in the event's reports (supporting_reports() rows); those that
     none supports in its sentence are cut out, and words left hanging with them go too. Sentences of which under six
     letters or digits stay are dropped; text is null where nothing stays. cut counts the expressions cut out. Texts
     without numbers are trimmed. What stands between expressions stays as it is.
+
+    whole: texts are judged as one sentence, and kept however short. Where fields have urls, those reports alone count for
+    a text that names any.
     """
     keys = [event, "field", "at"]
-    each = durable(fields.select(*keys, F.posexplode(number_sentences(F.col("text"))).alias("s", "sentence")))
-    judged = each.where(F.size(numeric_expressions(F.col("sentence"))) > 0).select(event, "sentence").distinct()
-    spans = judged.select(event, "sentence", F.posexplode(F.transform(numeric_expressions(F.col("sentence")), F.trim)).alias("i", "raw"))
+    linked = F.coalesce("urls", F.array().cast("array<string>")) if "urls" in fields.columns else F.array().cast("array<string>")
+    cut_up = F.array("text") if whole else number_sentences(F.col("text"))
+    each = durable(fields.select(*keys, F.array_sort(linked).alias("urls"), F.posexplode(cut_up).alias("s", "sentence")))
+    own = [event, "sentence", "urls"]
+    judged = each.where(F.size(numeric_expressions(F.col("sentence"))) > 0).select(*own).distinct()
+    spans = judged.select(*own, F.posexplode(F.transform(numeric_expressions(F.col("sentence")), F.trim)).alias("i", "raw"))
     asked = _told(_claims(spans, "raw"), "sentence", "c_")
-    met = spread_join(support, asked, event, F.col("id"))
-    known = met.groupBy(event, "sentence", "i").agg(F.bool_or(_numbers_agree() & _context_agrees()).alias("known"))
-    bad = spans.join(known, [event, "sentence", "i"], "left").where(~F.coalesce("known", F.lit(False))).groupBy(event, "sentence").agg(F.collect_set("i").alias("bad"))
+    met = spread_join(support, asked, event, F.col("id")).where((F.size("urls") == 0) | F.array_contains("urls", F.col("url")))
+    known = met.groupBy(*own, "i").agg(F.bool_or(_numbers_agree() & _context_agrees()).alias("known"))
+    bad = spans.join(known, [*own, "i"], "left").where(~F.coalesce("known", F.lit(False))).groupBy(*own).agg(F.collect_set("i").alias("bad"))
     none = F.array().cast("array<int>")
-    fixed = judged.join(bad, [event, "sentence"], "left").withColumn("bad", F.coalesce("bad", none))
-    fixed = fixed.select(event, "sentence", mended(without_expressions(F.col("sentence"), F.col("bad"))).alias("fixed"), F.size("bad").alias("n"))
-    rows = each.join(fixed, [event, "sentence"], "left").withColumn("fixed", F.coalesce("fixed", F.trim("sentence")))
-    order = F.array_sort(F.collect_list(F.when(says_enough(F.col("fixed")), F.struct("s", "fixed"))))
+    fixed = judged.join(bad, own, "left").withColumn("bad", F.coalesce("bad", none))
+    fixed = fixed.select(*own, mended(without_expressions(F.col("sentence"), F.col("bad"))).alias("fixed"), F.size("bad").alias("n"))
+    rows = each.join(fixed, own, "left").withColumn("fixed", F.coalesce("fixed", F.trim("sentence")))
+    order = F.array_sort(F.collect_list(F.when(F.lit(whole) | says_enough(F.col("fixed")), F.struct("s", "fixed"))))
     found = rows.groupBy(*keys).agg(F.trim(F.array_join(F.transform(order, lambda x: x["fixed"]), "")).alias("_fixed"), F.coalesce(F.sum("n"), F.lit(0)).alias("_cut"))
     whole = fields.select(*keys, "text").join(found, keys, "left")
     text = F.when(has_numbers(F.col("text")), F.nullif("_fixed", F.lit(""))).otherwise(F.trim("text"))

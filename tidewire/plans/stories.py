@@ -6,12 +6,16 @@ doc_id, so that reports say something of the event in their titles, of others, a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import checks, details, lexicons
+from tidewire.operators import events as E
 from tidewire.operators import material as M
+from tidewire.operators import narration as R
 from tidewire.operators import numeric as N
+from tidewire.operators import stories as S
+from tidewire.operators.tables import durable
 from tidewire.plans import news
 from tidewire.plans.base import _listed
 
@@ -61,7 +65,75 @@ def sanitized(spark: SparkSession, folder: str) -> DataFrame:
     return N.sanitized(claims_of(reports), N.supporting_reports(reports)).select("event_id", "text", "cut")
 
 
-QUERIES = (cleaned, specifics, number_facts, sanitized)
+def _layers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reports with their prints, the context of their events, what supports numbers, and events with their grades."""
+    reports = told_reports(spark, folder)
+    support = durable(N.supporting_reports(reports))
+    prints = durable(R.report_prints(reports))
+    context = durable(R.event_context(prints))
+    grades = E.evidence(prints.withColumn("independence_key", F.concat(F.lit("publisher:"), "source_id")))
+    events = grades.select("event_id", "level", "source_count").join(context.select("event_id", "domain"), "event_id")
+    return prints, context, support, events
+
+
+def rule_stories(spark: SparkSession, folder: str) -> DataFrame:
+    """The title, summary and first source that rules give each event."""
+    prints, context, _, events = _layers(spark, folder)
+    content = R.specific_content(prints, context)
+    return R.rule_stories(events, content).select("event_id", F.element_at("title", 1).alias("title"), F.element_at("summary", 1).alias("summary"), F.element_at(F.element_at("fact_urls", 1), 1).alias("url"))
+
+
+def _proposals(baseline: DataFrame, reports: DataFrame) -> DataFrame:
+    """Landed answers, one a story, made of the documents: whole texts as summaries of every third, sentences of the list as facts."""
+    first = reports.groupBy("event_id").agg(F.min_by(F.struct("title", "description", "url", "place"), "place").alias("r"))
+    rows = baseline.join(first, "event_id").withColumn("doc", F.col("r.place"))
+    third = F.col("doc") % 3
+    summary = F.when(third == 0, F.col("r.description")).when(third == 1, F.concat("r.title", F.lit("，涉及88项计划，影响1,200名学生。"), _sentence(1, 0))).otherwise(F.lit(" "))
+    facts = F.array(_sentence(1, 0), F.concat("r.title", F.lit(" in 2026, for 77 people.")), _sentence(1, 4))
+    sources = F.array(F.struct(F.lit(0).alias("factIndex"), F.array(F.col("r.url")).alias("urls")), F.struct(F.lit(1).alias("factIndex"), F.array(F.lit("https://nowhere.example/")).alias("urls")))
+    trend = F.struct(F.lit("短期价格将上升5%").alias("nearTerm"), F.lit("如果需求持续，影响会扩大").alias("mediumTerm"), F.array(F.lit("订单"), F.lit("")).alias("signalsToWatch"))
+    story = F.struct(
+        F.when(third == 2, F.col("slot")).alias("slot"), F.col("r.title").alias("title"), summary.alias("summary"), facts.alias("keyFacts"), sources.alias("factSources"),
+        F.lit("OpenAI宣布收购英伟达").alias("whyItMatters"), F.array(F.lit("一"), F.lit("二")).alias("impactChain"), trend.alias("trend"), F.array(F.lit("标签")).alias("tags"),
+    )
+    return rows.select("domain", (F.col("slot") - 1).alias("position"), F.to_json(story).alias("json"))
+
+
+def _told(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    prints, context, support, events = _layers(spark, folder)
+    content = durable(R.specific_content(prints, context))
+    slot = F.row_number().over(Window.partitionBy("domain").orderBy("event_id"))
+    publisher = prints.groupBy("event_id").agg(F.min_by("source_name", "place").alias("publisher"))
+    baseline = durable(R.rule_stories(events, content).withColumn("slot", slot).join(publisher, "event_id"))
+    told = durable(S.merged(baseline, S.proposals_of(_proposals(baseline, prints)), context, prints, support))
+    return told, baseline, content, context, prints, support
+
+
+def merged_stories(spark: SparkSession, folder: str) -> DataFrame:
+    """Stories of rules with what landed answers propose, and which fields come from them."""
+    told = _told(spark, folder)[0]
+    return told.select("event_id", "slot", *(F.array_join(c, "|").alias(c) for c in S.FIELDS), F.array_join(F.flatten("fact_urls"), ",").alias("fact_urls"), F.array_join("taken", ",").alias("taken"))
+
+
+def repaired_stories(spark: SparkSession, folder: str) -> DataFrame:
+    """Merged stories after repair, with what was replaced and why."""
+    found = S.repaired(*_told(spark, folder))
+    why = F.array_join(F.transform("repairs", lambda x: F.concat_ws(":", x["field"], x["reason"])), ",")
+    return found.select("event_id", "slot", *(F.array_join(c, "|").alias(c) for c in S.FIELDS), F.array_join(F.flatten("fact_urls"), ",").alias("fact_urls"), why.alias("repairs"))
+
+
+def story_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with merged stories before their repair."""
+    told, _, _, context, prints, support = _told(spark, folder)
+    return S.story_errors(told, context, prints, support).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+def story_quality(spark: SparkSession, folder: str) -> DataFrame:
+    told, _, _, context, prints, support = _told(spark, folder)
+    return S.quality_counts(told, context, prints, support)
+
+
+QUERIES = (cleaned, specifics, number_facts, sanitized, rule_stories, merged_stories, repaired_stories, story_errors, story_quality)
 
 _q = news._q
 _SENTENCE = lambda step, shift: f"{_listed(SENTENCES)}[(CAST(floor(doc_id / {step}) AS BIGINT) + {shift}) % {len(SENTENCES)} + 1]"
