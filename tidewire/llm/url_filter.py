@@ -19,6 +19,10 @@ _TEXT_PAGES = (
     ("university", "/lectures/week-2.html"), ("reader", "/en/20981.html"),
     ("notes", "/de/4123"), ("www.chronicle", "/fr/907/"), ("m.letters", "/es/3315.html"), ("lexicon", "/en/6840"), ("m.herald", "/de/1502.html"),
     ("www.nation", "/es/284/"), ("blog.farmhouse", "/fr/5077"), ("gardian", "/en/930"),
+    ("m.theatre", "/en/61"), ("therapy", "/en/8830.html"), ("www.theses", "/fr/12/"), ("blog.weather", "/en/4410"), ("thermal", "/de/9"), ("m.threads", "/en/73/"),
+    ("thistle", "/es/310.html"), ("www.anthem", "/en/2"), ("healthtion", "/en/18/"), ("blog.nations", "/de/77.html"), ("m.earth", "/fr/6"), ("www.north", "/en/440/"),
+    ("mother", "/en/51.html"), ("blog.other", "/es/8"), ("www.thing", "/en/905"), ("m.stable", "/de/12/"), ("fashion", "/fr/41.html"), ("www.thin", "/en/3/"),
+    ("blog.intention", "/en/17"), ("m.when", "/es/2210"), ("thesis", "/de/5.html"), ("www.whether", "/en/19/"), ("m.nothing", "/en/660"), ("month", "/fr/83"),
 )
 
 #: The same for pages that carry none worth keeping.
@@ -30,6 +34,11 @@ _JUNK_PAGES = (
     ("feed", "/rss.xml"), ("share", "/submit"), ("tag", "/t/buy/cheap"), ("search", "/results/page"),
     ("promo", "/win/phone"), ("www.clicks", "/go?ad=77"), ("basket", "/cart/add"), ("m.slots", "/casino/play"), ("www.pay", "/checkout/now"),
     ("affiliate", "/ref/link"), ("static", "/css/site.css"), ("blog.backlink", "/seo/cheap-links"),
+    # Hosts that tell enough, on paths like those of pages with text.
+    ("casino", "/en/4.html"), ("m.casino-club", "/fr/12/"), ("online-bets", "/en/77"), ("www.best-bets", "/de/3/"), ("free-chips", "/es/910"), ("blog.ads", "/en/8.html"),
+    ("ad-track", "/en/31/"), ("www.ads-server", "/fr/6"), ("click-track", "/de/55.html"), ("spam", "/en/2210/"), ("m.spam-links", "/es/14"), ("link-farm", "/en/9/"),
+    ("www.content-farm", "/fr/71.html"), ("pills", "/en/660"), ("blog.cheap-meds", "/de/18/"), ("discount-pills", "/es/5.html"), ("adult", "/en/43"), ("m.adult-cams", "/fr/3/"),
+    ("xxx-video", "/en/12.html"), ("poker-win", "/es/88"), ("www.win-cash", "/en/7/"), ("payday-loans", "/de/640"), ("blog.slots-free", "/en/51"), ("cheap-watches", "/fr/29.html"),
 )
 
 _PARENTS = ("example.com", "example.org", "example.net")
@@ -56,8 +65,8 @@ def path_of(url: Column) -> Column:
 
 
 def _grams(text: Column, sizes: tuple[int, ...], mark: str) -> Column:
-    """The character n-grams of a text between two end marks, each with a mark of its own."""
-    full = F.concat(F.lit("^"), text, F.lit("$"))
+    """The character n-grams of a text between two end marks, each with a mark of its own; a run of digits counts as one."""
+    full = F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]+", "0"), F.lit("$"))
     some = lambda n: F.when(
         F.length(full) >= n, F.transform(F.sequence(F.lit(1), F.length(full) - n + 1), lambda i: F.concat(F.lit(mark), F.substr(full, i, F.lit(n))))
     ).otherwise(F.array().cast("array<string>"))
@@ -93,8 +102,8 @@ def judge_urls(
     rules: (host, path, verdict). A rule fits its host and all of its subdomains where the path starts with the rule's;
     the longest rule wins, a host's length counting before a path's. Without a fitting rule the verdict is the model's.
 
-    A null url, or one without ://, has an empty host and path, and is scored as such. Repeated rows and null ids are
-    kept. An empty table gives no rows; no rules leave all to the model. Other columns are ignored.
+    Runs of digits are all alike to the model: numbers in paths say nothing of a page. A null url, or one without ://, has an empty host and path, and is scored as such. Repeated rows and null ids are
+    kept. URLs are read whole. An empty table gives no rows; no rules leave all to the model. Other columns are ignored.
     """
     spark = pages.sparkSession
     labelled = LABELLED if labelled is None else labelled
