@@ -159,7 +159,9 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 def _referred(text: Column, digits: str, base: int) -> Column:
     """The text with the characters that its numeric references stand for, one at a time between the pieces of text."""
     pieces, codes = F.split(text, digits, -1), F.regexp_extract_all(text, F.lit(digits), F.lit(1))
-    chars = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.conv(c, base, 16), 8, "0")), "UTF-32BE"))
+    number = lambda c: F.conv(c, base, 10).cast("int")
+    letter = lambda n: F.when(n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    chars = F.transform(codes, lambda c: bound(number(c), letter))
     joined = F.zip_with(pieces, F.concat(chars, F.array(F.lit(""))), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
     return F.when(F.contains(text, F.lit("&#")), F.array_join(joined, "")).otherwise(text)
 
@@ -224,9 +226,9 @@ def normal_title(title: Column) -> Column:
 
 def _han_bigrams(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(r"([\p{IsHan}]+)"), F.lit(1))
-    pairs = lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))
-    )
+    # Characters first: a substring counts its way from the start of the text, which makes long runs quadratic.
+    joined = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1)))
+    pairs = lambda r: bound(F.split(r, ""), lambda c: F.when(F.size(c) < 2, c).otherwise(joined(c)))
     return F.flatten(F.transform(runs, pairs))
 
 
