@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import json
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -256,15 +258,42 @@ def han_share(text: Column) -> Column:
     return F.when(letters > 0, F.length(F.regexp_replace(text, r"[^\p{IsHan}]", "")) / letters).otherwise(0.0)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _dates_in_json(blocks: pd.Series) -> pd.Series:
+    """What datePublished says in JSON texts, at any depth: of each object its own before those of its values, in order."""
+
+    def walk(value: object) -> Iterator[str]:
+        stack = [value]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, dict):
+                if isinstance(x.get("datePublished"), str):
+                    yield x["datePublished"]
+                stack.extend(reversed(list(x.values())))
+            elif isinstance(x, list):
+                stack.extend(reversed(x))
+
+    def all_of(texts: list[str] | None) -> list[str]:
+        found = []
+        for text in [] if texts is None else texts:
+            with contextlib.suppress(ValueError, RecursionError):
+                found += walk(json.loads(text))
+        return found
+
+    return blocks.map(all_of)
+
+
 def published_in(html: Column) -> Column:
-    """When a page says it was published: its JSON-LD, its meta elements, its time elements, the first that is valid."""
-    forms = [
-        r'"datePublished"\s*:\s*"([^"]+)"',
-        r"""(?i)<meta[^>]*(?:article:published_time|datepublished)[^>]*content=["']([^"']+)["']""",
-        r"""(?i)<meta[^>]*content=["']([^"']+)["'][^>]*(?:article:published_time|datepublished)""",
-        r"""(?i)<time[^>]*datetime=["']([^"']+)["']""",
-    ]
-    return F.coalesce(*(F.try_to_timestamp(F.regexp_extract(html, p, 1)) for p in forms))
+    """When a page says it was published: its JSON-LD at any depth, its meta elements, its time elements, the first that is valid."""
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?i)<script\b[^>]*type\s*=\s*(["'])application/ld\+json\1[^>]*>([\s\S]*?)</script>"""), F.lit(2))
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
+    form = lambda name: rf"""(?i)(?<![:\w-]){name}\s*=\s*(["'])([\s\S]*?)\1"""
+    value = lambda tag, name: F.when(tag.rlike(form(name)), F.trim(F.regexp_extract(tag, form(name), 2)))
+    key = lambda tag: F.lower(F.coalesce(value(tag, "property"), value(tag, "name")))
+    metas = F.transform(tags("meta"), lambda tag: F.when(key(tag).isin("article:published_time", "datepublished"), value(tag, "content")))
+    times = F.transform(tags("time"), lambda tag: value(tag, "datetime"))
+    stated = F.transform(F.concat(_dates_in_json(blocks), metas, times), lambda v: F.try_to_timestamp(v))
+    return F.try_element_at(F.filter(stated, lambda v: v.isNotNull()), F.lit(1))
 
 
 def key_numbers(text: Column) -> Column:
