@@ -114,8 +114,8 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def claim_support(spark: SparkSession, folder: str) -> DataFrame:
-    """Which reports of an event support its claim, the title of its first report with a key number."""
-    rows = _reports(spark, folder)
+    """Which reports of an event support its claim, the title of its first report with a key number; a publisher's name is part of its report."""
+    rows = _reports(spark, folder).withColumn("description", F.concat_ws(" ", "description", "source_id"))
     stated = rows.where(F.col("title").rlike("[0-9]")).groupBy("event_id").agg(F.min_by("title", F.col("id").cast("long")).alias("claim"))
     return K.supported(stated, C.with_features(rows)).select("event_id", "id", "supports")
 
