@@ -51,7 +51,7 @@ def specific() -> Column:
 
 
 def decided(
-    df: DataFrame, now: str, window_days: int | Column = 10, relevant: Column | None = None, listing: Column | None = None, relevance_first: bool = False
+    df: DataFrame, now: str | Column, window_days: int | Column = 10, relevant: Column | None = None, listing: Column | None = None, relevance_first: bool = False
 ) -> DataFrame:
     """The first reason against each candidate, accepted without one; no row is lost, so the result is the audit too.
 
@@ -74,7 +74,7 @@ def decided(
     return df.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted")
 
 
-def with_score(df: DataFrame, now: str, impact_terms: list[str] | tuple[str, ...], learning: bool = False) -> DataFrame:
+def with_score(df: DataFrame, now: str | Column, impact_terms: list[str] | tuple[str, ...], learning: bool = False) -> DataFrame:
     """Source weight, freshness, impact terms, length of text, and a deduction for unknown dates.
 
     learning: what is of personal relevance counts too, as in the domain of that name.
@@ -93,7 +93,7 @@ def search_bonus(match: Column, provider_score: Column) -> Column:
     return F.least(F.lit(12.0), match / 2) + F.greatest(F.lit(0.0), F.least(F.lit(6.0), F.coalesce(provider_score, F.lit(0.0)) * 6))
 
 
-def hits_as_candidates(rows: DataFrame, domain: Domain, now: str) -> DataFrame:
+def hits_as_candidates(rows: DataFrame, domain: Domain, now: str | Column) -> DataFrame:
     """Search hits of one domain (with_features() and with_signals() rows, provider_score) judged, scored, tagged and named."""
     text = F.concat_ws(" ", "title", "description")
     listing = is_non_article(F.col("title"), F.col("url"), specific())

@@ -18,6 +18,8 @@ LEARNING_LOCAL = (
     r"local school|school board|school district|campus event|campus police|principal appointed|superintendent|地方学校|学区|校园活动|校长任命|校园治安"
 )
 LEARNING_NATIONAL = r"national|nationwide|federal|ministry|department of education|supreme court|constitutional|全国|国家级|联邦|教育部|最高法院|违宪"
+
+
 def learning_relevance(text: Column) -> Column:
     """Eight for each mention of a priority, 24 at most; 24 less for what is of local interest only."""
     n = F.size(F.regexp_extract_all(text, F.lit(pattern(LEARNING_PRIORITY)), F.lit(0)))
@@ -25,13 +27,13 @@ def learning_relevance(text: Column) -> Column:
     return F.least(F.lit(24), n * 8) - F.when(local, 24).otherwise(0)
 
 
-def with_signals(df: DataFrame, domain: Domain, query_tokens: list[str] | None = None) -> DataFrame:
+def with_signals(df: DataFrame, domain: Domain, query_tokens: list[str] | Column | None = None) -> DataFrame:
     """match (a score) and relevant for rows with title, description, source_id, reliability and the features."""
     text = F.concat_ws(" ", "title", "description")
     lower = F.lower(text)
     count = lambda terms: sum((F.contains(lower, F.lit(t)).cast("int") for t in terms), F.lit(0))
     tags = sum((text.rlike(pattern(p)).cast("int") for _, p in domain.tags), F.lit(0))
-    asked = F.array(*map(F.lit, query_tokens)) if query_tokens else F.array().cast("array<string>")
+    asked = query_tokens if isinstance(query_tokens, Column) else F.array(*map(F.lit, query_tokens or [])).cast("array<string>")
     in_query = F.size(F.array_intersect(F.col("text_tokens"), asked))
     own = F.arrays_overlap("objects", F.array(*map(F.lit, domain.objects))) if domain.objects else F.lit(False)
     official = (F.col("reliability") == "primary") & (of_host(F.col("source_id"), list(domain.hosts)) if domain.hosts else F.lit(False))
