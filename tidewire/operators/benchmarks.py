@@ -63,21 +63,26 @@ def searches(trace: DataFrame) -> DataFrame:
     return known.agg(F.count_if(F.col("outcome").isin("completed", "cache-hit")).alias("queries"), F.coalesce(F.sum("results"), F.lit(0)).cast("long").alias("results"))
 
 
+def added_reports(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(event_id, id): reports that events have after verification and had not before, of events that were there before."""
+    known = before.select("event_id").distinct()
+    fresh = after.select("event_id", "id").distinct().join(before.select("event_id", "id").distinct(), ["event_id", "id"], "left_anti")
+    return fresh.join(known, "event_id", "left_semi")
+
+
 def verification_changes(before: DataFrame, after: DataFrame, members_before: DataFrame, members_after: DataFrame) -> DataFrame:
     """(event_id, level_before, level_after, change, added): what verification did to each event after it.
 
     before, after: event_id, level; members: event_id, id. An event that was not there before is held against itself: nothing
-    changed or was added. added lists new reports, sorted; change is better, worse or same.
+    changed or was added. added counts added_reports(); change is better, worse or same.
     """
     old = before.select("event_id", F.col("level").alias("_old"), F.lit(True).alias("_known"))
-    fresh = members_after.select("event_id", "id").distinct().join(members_before.select("event_id", "id").distinct(), ["event_id", "id"], "left_anti")
-    added = fresh.groupBy("event_id").agg(F.array_sort(F.collect_list("id")).alias("_added"))
+    added = added_reports(members_before, members_after).groupBy("event_id").agg(F.count("*").alias("added"))
     rows = after.select("event_id", F.col("level").alias("level_after")).join(old, "event_id", "left").join(added, "event_id", "left")
     level = F.when(F.col("_known"), F.col("_old")).otherwise(F.col("level_after"))
     x, y = by_level(level, ORDINAL), by_level(F.col("level_after"), ORDINAL)
     change = F.when(y > x, "better").when(y < x, "worse").otherwise("same")
-    none = F.array().cast("array<string>")
-    return rows.select("event_id", level.alias("level_before"), "level_after", change.alias("change"), F.when(F.col("_known"), F.coalesce("_added", none)).otherwise(none).alias("added"))
+    return rows.select("event_id", level.alias("level_before"), "level_after", change.alias("change"), F.coalesce("added", F.lit(0)).cast("long").alias("added"))
 
 
 def final_evidence(clusters: DataFrame, verified: DataFrame) -> DataFrame:

@@ -42,8 +42,7 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
     """What reports of other sources than media add to each event that has any: level, change and how many reports came."""
     rows = _reports(spark, folder).withColumn("independence_key", F.concat(F.lit("publisher:"), "source_id"))
     before = rows.where("reliability <> 'primary'")
-    found = B.verification_changes(E.evidence(before), E.evidence(rows), before, rows)
-    return found.select("event_id", "level_before", "level_after", "change", F.array_join("added", ",").alias("added"))
+    return B.verification_changes(E.evidence(before), E.evidence(rows), before, rows)
 
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,9 +90,9 @@ FROM (SELECT unnest({_listed(_STAGES)}) AS stage, unnest([1, 2, 3, 4]) AS k)""",
     "search_stages": f"""WITH t AS ({discovery.ORACLES["search_trace"]})
 SELECT phase || '-search' AS stage, CAST(count_if(outcome IN ('completed', 'cache-hit')) AS BIGINT) AS queries, CAST(sum(results) AS BIGINT) AS results FROM t WHERE phase IS NOT NULL GROUP BY 1""",
     "verified": f"""WITH {REPORTS_SQL}, {_levels_sql("b", "reliability <> 'primary'")}, {_levels_sql("a", "TRUE")},
-n AS (SELECT event_id, list_sort(list(id)) AS ids FROM reports WHERE reliability = 'primary' GROUP BY 1)
+n AS (SELECT event_id, count(*) AS ids FROM reports WHERE reliability = 'primary' GROUP BY 1)
 SELECT a.event_id, coalesce(b.level, a.level) AS level_before, a.level AS level_after, CASE WHEN {_RANK("a.level")} > {_RANK("coalesce(b.level, a.level)")} THEN 'better'
-  WHEN {_RANK("a.level")} < {_RANK("coalesce(b.level, a.level)")} THEN 'worse' ELSE 'same' END AS change, CASE WHEN b.level IS NULL THEN '' ELSE coalesce(array_to_string(ids, ','), '') END AS added
+  WHEN {_RANK("a.level")} < {_RANK("coalesce(b.level, a.level)")} THEN 'worse' ELSE 'same' END AS change, CASE WHEN b.level IS NULL THEN 0 ELSE coalesce(ids, 0) END AS added
 FROM a LEFT JOIN b USING (event_id) LEFT JOIN n USING (event_id)""",
     "benchmark": f"""WITH {SYNDICATION_SQL},
 lab AS (SELECT *, event_id || ':' || CASE WHEN published_at IS NULL THEN 'true' ELSE 'false' END AS gold_id, split_part(event_id, ':', 2) AS cluster, {_TOKENS} AS words_of FROM keyed),
