@@ -1,7 +1,7 @@
 """Events: matching, duplicates, first-fit clusters, evidence.
 
 Pairs come from equi-joins on keys that any match must share. Greedy folds over ordered rows run for each connected
-component of the pairs: rows of different components cannot meet, so the fold over a component is the fold over all.
+component of the pairs, in blocks: rows of different components cannot meet, so the fold over a component is the fold over all.
 """
 
 from __future__ import annotations
@@ -133,31 +133,71 @@ def component_of(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFr
     return labels
 
 
-def _folded(df: DataFrame, pairs: DataFrame, complete_link: bool) -> DataFrame:
-    """(id, leader): rows in rank order join the first leader they pair with, or the first group all of whose members they do."""
-    pairs = durable(pairs)
+def _blocks(df: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """(id, rank, component, block): each component's rows in blocks of `block` to twice as many, in rank order; ranks are unique.
+
+    Rows are counted by ranges of `block` ranks first, so that only those counts, not the rows, meet by component.
+    """
+    rows = df.select("id", F.col("rank").cast("long").alias("rank")).join(parts, "id").withColumn("_range", F.floor(F.col("rank") / block))
+    counts = rows.groupBy("component", "_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("component").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(counts.select("component", "_range", F.floor(before / block).cast("int").alias("block")), ["component", "_range"]).drop("_range")
+
+
+def _place_block(group: pd.DataFrame, complete_link: bool) -> pd.DataFrame:
+    """The rows of one block in rank order: each joins the first group that takes it, of `open` or new, or leads a new one."""
+    added: dict[str, list[str]] = {}  # what this block adds to each group
+    new: list[str] = []
+    leaders = []
+    for row in group.sort_values("rank").itertuples():
+        earlier, known = set(row.earlier), list(row.open)
+        own = next((g for g in known if not complete_link or earlier.issuperset(added.get(g, ()))), None)
+        if own is None:
+            own = next((g for g in new if (earlier.issuperset(added[g]) if complete_link else g in earlier)), None)
+        if own is None:
+            new.append(own := row.id)
+        added.setdefault(own, []).append(row.id)
+        leaders.append((row.id, own))
+    return pd.DataFrame(leaders, columns=["id", "leader"])
+
+
+def _folded(df: DataFrame, pairs: DataFrame, complete_link: bool, block: int = 500) -> DataFrame:
+    """(id, leader): rows in rank order join the first leader they pair with, or the first group all of whose members they do.
+
+    Each component is worked off in blocks, all components side by side. What the groups of earlier blocks hold against a
+    block's rows is counted by joins; a task sees one block, its pairs and, for each row, as many groups that take it as the
+    block has rows: each row before it can close one group at most, so it needs no more. A component of n rows takes n / block
+    rounds, those of at most `block` rows one.
+    """
+    pairs = durable(pairs.select("a", "b"))
     parts = component_of(df, pairs)
-    rows = df.select("id", "rank").join(parts, "id")
-    before = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("earlier"))
-    rows = rows.join(before, "id", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<string>")))
-    alone = rows.groupBy("component").agg(F.count("*").alias("n"))
-    rows = rows.join(alone, "component")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[str]] = []
-        leaders = {}
-        for row in group.sort_values("rank").itertuples():
-            earlier = set(row.earlier)
-            fits = (lambda g: earlier.issuperset(g)) if complete_link else (lambda g: g[0] in earlier)
-            own = next((g for g in groups if fits(g)), None)
-            if own is None:
-                groups.append(own := [])
-            own.append(row.id)
-            leaders[row.id] = own[0]
-        return pd.DataFrame({"id": list(leaders), "leader": list(leaders.values())})
-
-    single = rows.where("n = 1").select("id", F.col("id").alias("leader"))
-    return single.unionByName(rows.where("n > 1").groupBy("component").applyInPandas(fold, "id string, leader string"))
+    several = parts.groupBy("component").agg((F.count("*") > 1).alias("several"))
+    met = durable(_blocks(df, parts.join(several.where("several"), "component").select("id", "component"), block))
+    last = met.agg(F.max("block")).first()[0]
+    done = [parts.join(several.where("not several"), "component").select("id", F.col("id").alias("leader"))]
+    none = F.array().cast("array<string>")
+    settled = met.where("false").select("id", "rank", "component", F.col("id").alias("leader"), F.col("rank").alias("leader_rank"))
+    for turn in range(0 if last is None else last + 1):
+        rows = met.where(F.col("block") == turn).drop("block")
+        near = pairs.join(rows.select(F.col("id").alias("b")), "b")
+        inside = near.join(rows.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("earlier"))
+        taken = near.join(settled.withColumnRenamed("id", "a"), "a").groupBy("b", "leader", "leader_rank").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("leader")).cast("int")).alias("led"))
+        sizes = settled.groupBy("leader").agg(F.count("*").alias("size"))
+        fits = taken.join(sizes, "leader").where(F.col("n") == F.col("size") if complete_link else F.col("led") == 1)
+        first = fits.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("leader_rank"))).where(F.col("k") <= 2 * block)
+        listed = first.groupBy(F.col("b").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("leader_rank", "leader"))), lambda x: x["leader"]).alias("open"))
+        full = rows.join(inside, "id", "left").join(listed, "id", "left").withColumn("earlier", F.coalesce("earlier", none)).withColumn("open", F.coalesce("open", none))
+        placed = durable(full.groupBy("component").applyInPandas(lambda group: _place_block(group, complete_link), "id string, leader string"))
+        done.append(placed)
+        if turn < last:  # groups of components that have rows left
+            going = met.where(F.col("block") > turn).select("component").distinct()
+            ranks = met.select(F.col("id").alias("leader"), F.col("rank").alias("leader_rank"))
+            more = placed.join(met.drop("block"), "id").join(ranks, "leader").select(*settled.columns)
+            settled = durable(settled.unionByName(more).join(going, "component", "left_semi"))
+    out = done[0]
+    for placed in done[1:]:
+        out = out.unionByName(placed)
+    return out
 
 
 def _set_key() -> Column:

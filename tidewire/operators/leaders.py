@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from tidewire.operators.tables import durable
 
 
-def greedy_leaders(members: DataFrame, links: DataFrame | None = None, rounds: int = 200) -> DataFrame:
+def greedy_leaders(members: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(id, leader) for members (id, rank, key): a row for each group that a row is in; ranks are unique.
 
     links (key, other), in both directions, makes the rows of one group neighbours of the other's; rows of a group are
-    neighbours of each other. Raises if the rounds don't suffice; nothing is left undecided.
+    neighbours of each other. Each round decides the first open row at least; a chain of neighbours in rank order is decided
+    about one row a round.
     """
     sees = members.select("key", F.col("key").alias("other"))
     sees = durable((sees if links is None else sees.unionByName(links.select("key", "other"))).distinct())
     state = durable(members.select("id", "rank", "key").distinct().withColumn("leader", F.lit(None).cast("struct<rank:bigint,id:string>")))
-    for _ in range(rounds):
+    while True:
         # What each group holds: its first kept row, and the first row that is still open.
         me = F.struct(F.col("rank").cast("long").alias("rank"), F.col("id").cast("string").alias("id"))
         held = state.groupBy(F.col("key").alias("other")).agg(
@@ -39,4 +40,3 @@ def greedy_leaders(members: DataFrame, links: DataFrame | None = None, rounds: i
         state = durable(state.drop("leader").join(decided, "id"))
         if state.where("leader is null").isEmpty():
             return state.select("id", F.col("leader.id").alias("leader")).distinct()
-    raise RuntimeError(f"rows are still open after {rounds} rounds")
