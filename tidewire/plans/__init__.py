@@ -13,7 +13,7 @@ from tidewire.operators import candidates as C
 from tidewire.operators import events as E
 from tidewire.operators import reports as R
 from tidewire.operators import selection as S
-from tidewire.plans import benchmarks, discovery, evaluation, ingestion, news, stories
+from tidewire.plans import benchmarks, discovery, evaluation, gates, ingestion, news, stories
 from tidewire.plans.base import CANDIDATES_SQL, NOW, _candidates, _hits_sql, _pages, _scored, _strip_sql, _wires_sql
 
 
@@ -129,7 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         events, strip_html, clean_urls, features, numbers, ranking, decisions, quota, diversity, evidence, duplicates, shares, pairwise, ownership, digest, dates, han,
         leaders, matches, redaction, artifacts, bodies, slates, *evaluation.QUERIES, *news.QUERIES, *stories.QUERIES, *discovery.QUERIES, *benchmarks.QUERIES,
-        *ingestion.QUERIES,
+        *ingestion.QUERIES, *gates.QUERIES,
     )
 }
 
@@ -183,5 +183,5 @@ FROM documents""",
     "artifacts": r"""SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b') AS artifact
 FROM pages""",
 }
-ORACLES |= evaluation.ORACLES | news.ORACLES | stories.ORACLES | discovery.ORACLES | benchmarks.ORACLES | ingestion.ORACLES
+ORACLES |= evaluation.ORACLES | news.ORACLES | stories.ORACLES | discovery.ORACLES | benchmarks.ORACLES | ingestion.ORACLES | gates.ORACLES
 FLAGSHIP = "events"
