@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import lexicons
@@ -13,9 +13,13 @@ from tidewire.operators.tables import durable
 
 
 def _of_others(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, key, first): agencies that reports with this group and key name, each with a source, the first fifty."""
+    """(group, key, first): the first agencies that reports with this group and key name, one each of two sources.
+
+    Whatever its own source, a report finds the first one of others among them.
+    """
     per = rows.where(F.col("wire").isNotNull() & F.col(key).isNotNull()).groupBy(group, key, "source_id").agg(F.min("wire").alias("w"))
-    return per.groupBy(group, key).agg(F.slice(F.array_sort(F.collect_list(F.struct("w", "source_id"))), 1, 50).alias("first"))
+    two = per.withColumn("_n", F.row_number().over(Window.partitionBy(group, key).orderBy("w", "source_id"))).where("_n <= 2")
+    return two.groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("w", "source_id"))).alias("first"))
 
 
 def _shared(rows: DataFrame, group: str, key: str) -> DataFrame:

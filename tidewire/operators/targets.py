@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.catalog import DOMAINS, Domain
 from tidewire.functions.text import published_in
 from tidewire.operators.selection import by_level
 
@@ -42,11 +43,17 @@ def material_targets(reports: DataFrame, per_event: int = 3, overall: int = 30)
     return best.orderBy("event_place", "event_id", "n").limit(overall).select("event_id", "id", "url")
 
 
-def date_records(candidates: DataFrame, pages: DataFrame, now: str, window_days: int = 10, limit: int = 8) -> DataFrame:
+def window_of(domain: Column) -> Column:
+    """How many days back a domain looks; that of a domain by default for others."""
+    return F.coalesce(*(F.when(domain == d.name, F.lit(d.window_days)) for d in DOMAINS), F.lit(Domain.window_days))
+
+
+def date_records(candidates: DataFrame, pages: DataFrame, now: str, limit: int = 8) -> DataFrame:
     """(id, domain, url, status, found_at) of undated candidates whose page is read for a date.
 
     Copies of a URL are read once. URLs come in order of their best copy: its standing, then its score; `limit` are read.
-    pages: url, html, one row for each URL. status: missing, future-dated, expired or recovered.
+    pages: url, html, one row for each URL. status: missing, future-dated, expired or recovered; copies of one URL in several
+    domains may differ, since each domain has its own window.
     """
     undated = candidates.where("published_at is null").select("id", "domain", "url", "title", "score", "reliability")
     best = undated.groupBy("url").agg(F.min(F.struct((-F.col("score")).alias("s"), "domain", "title", "id", "reliability")).alias("b"))
@@ -56,7 +63,7 @@ def date_records(candidates: DataFrame, pages: DataFrame, now: str, window_days:
     status = (
         F.when(F.col("found_at").isNull(), "missing")
         .when(F.col("found_at") > at + F.make_dt_interval(hours=F.lit(6)), "future-dated")
-        .when(F.col("found_at") < at - F.make_dt_interval(days=F.lit(window_days)), "expired")
+        .when(F.col("found_at") < at - F.make_dt_interval(days=window_of(F.col("domain"))), "expired")
         .otherwise("recovered")
     )
     return undated.join(read, "url").select("id", "domain", "url", status.alias("status"), "found_at")

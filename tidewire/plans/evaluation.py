@@ -54,15 +54,25 @@ def materials(spark: SparkSession, folder: str) -> DataFrame:
     return targets.material_targets(_reports(spark, folder).withColumn("event_place", F.col("domain")))
 
 
-def recovered_dates(spark: SparkSession, folder: str) -> DataFrame:
-    reports = _reports(spark, folder)
+def _recovered(reports: DataFrame) -> DataFrame:
     n = F.regexp_extract("url", r"/item/(\d+)$", 1).cast("long")
     meta = F.concat(F.lit('<meta property="article:published_time" content="2026-08-'), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit('T01:02:03Z">'))
     landed = reports.select("url").distinct().select("url", F.when(n % 5 != 0, meta).otherwise("").alias("html"))
-    found = targets.date_records(reports, landed, NOW)
+    return targets.date_records(reports, landed, NOW)
+
+
+def recovered_dates(spark: SparkSession, folder: str) -> DataFrame:
+    found = _recovered(_reports(spark, folder))
     return found.select("id", "domain", "url", "status", F.date_format("found_at", "yyyy-MM-dd HH:mm:ss").alias("found_at"))
 
 
+def redated(spark: SparkSession, folder: str) -> DataFrame:
+    """All candidates that the recovered dates leave, with the scores that these give."""
+    reports = _reports(spark, folder)
+    found = targets.with_recovered_dates(reports, _recovered(reports), NOW)
+    return found.select("id", "domain", F.round("score", 6).alias("score"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
 def alignment(spark: SparkSession, folder: str) -> DataFrame:
     gold = spark.createDataFrame([(f"g{i}", f"https://www.openai.com/item/{i}/", h) for i, h in enumerate(HEADLINES)], "gold_id string, url string, title string")
     found = _candidates(spark, folder).select("id", F.col("id").cast("long").alias("place"), "url", title_tokens(F.col("title")).alias("tokens"))
@@ -92,7 +102,7 @@ def feed_reports(spark: SparkSession, folder: str) -> DataFrame:
     return items.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-QUERIES = (pool, relevant, gates, verification, materials, recovered_dates, alignment, gold_recall, contributions, evidence_changes, feed_reports)
+QUERIES = (pool, relevant, gates, verification, materials, recovered_dates, redated, alignment, gold_recall, contributions, evidence_changes, feed_reports)
 
 _TEXT = "title || ' ' || description"
 _TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
@@ -124,6 +134,13 @@ _ALIGNED_SQL = f"""{CANDIDATES_SQL}, gold AS (SELECT *, {_TOKENS.format("title")
 found AS (SELECT id, url, {_TOKENS.format("title")} AS tokens FROM cand),
 aligned AS (SELECT gold_id, arg_min(id, CAST(id AS BIGINT)) AS id FROM gold g JOIN found f ON g.url = f.url OR {_agree("g.tokens", "f.tokens")} >= 0.64 GROUP BY 1)"""
 
+_WINDOW_SQL = "CASE domain " + " ".join(f"WHEN '{d.name}' THEN {d.window_days}" for d in catalog.DOMAINS) + " END"
+_RECOVERED_SQL = rf"""{_REPORTS_SQL}, u AS (SELECT *, CAST(regexp_extract(url, '/item/(\d+)$', 1) AS BIGINT) AS k FROM reports WHERE published_at IS NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, domain, title, id) AS n FROM u),
+t AS (SELECT url, CASE WHEN k % 5 <> 0 THEN TIMESTAMP '2026-08-01 01:02:03' + to_days(CAST(k % 28 AS INTEGER)) END AS dated FROM b WHERE n = 1 ORDER BY {_STANDING} DESC, score DESC, url LIMIT 8),
+found AS (SELECT id, domain, url, CASE WHEN dated IS NULL THEN 'missing' WHEN dated > TIMESTAMP '{NOW}' + to_hours(6) THEN 'future-dated' WHEN dated < TIMESTAMP '{NOW}' - to_days({_WINDOW_SQL}) THEN 'expired'
+  ELSE 'recovered' END AS status, dated FROM u JOIN t USING (url))"""
+
 ORACLES: dict[str, str] = {
     "pool": f"""WITH {CANDIDATES_SQL}, old AS (SELECT {_TOKENS.format("h")} AS tokens FROM (VALUES {_ROWS((h,) for h in HEADLINES[:3])}) AS t(h)),
 t AS (SELECT *, {_TOKENS.format("title")} AS tokens FROM ranked),
@@ -152,11 +169,10 @@ p AS (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY level N
 SELECT * FROM p WHERE place <= 2""",
     "materials": f"""WITH {_REPORTS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY {_STANDING} DESC, score DESC, id) AS n FROM reports)
 SELECT event_id, id, url FROM b WHERE n <= 3 ORDER BY domain, event_id, n LIMIT 30""",
-    "recovered_dates": rf"""WITH {_REPORTS_SQL}, u AS (SELECT *, CAST(regexp_extract(url, '/item/(\d+)$', 1) AS BIGINT) AS k FROM reports WHERE published_at IS NULL),
-b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, domain, title, id) AS n FROM u),
-t AS (SELECT url, CASE WHEN k % 5 <> 0 THEN TIMESTAMP '2026-08-01 01:02:03' + to_days(CAST(k % 28 AS INTEGER)) END AS dated FROM b WHERE n = 1 ORDER BY {_STANDING} DESC, score DESC, url LIMIT 8)
-SELECT id, domain, url, CASE WHEN dated IS NULL THEN 'missing' WHEN dated > TIMESTAMP '{NOW}' + to_hours(6) THEN 'future-dated' WHEN dated < TIMESTAMP '{NOW}' - to_days(10) THEN 'expired'
-  ELSE 'recovered' END AS status, strftime(dated, '%Y-%m-%d %H:%M:%S') AS found_at FROM u JOIN t USING (url)""",
+    "recovered_dates": f"WITH {_RECOVERED_SQL} SELECT id, domain, url, status, strftime(dated, '%Y-%m-%d %H:%M:%S') AS found_at FROM found",
+    "redated": f"""WITH {_RECOVERED_SQL} SELECT r.id, r.domain, strftime(coalesce(r.published_at, f.dated), '%Y-%m-%d %H:%M:%S') AS published_at,
+  round(r.score + CASE WHEN f.status = 'recovered' THEN 20.0 + greatest(0.0, 36.0 - greatest(0.0, (epoch(TIMESTAMP '{NOW}') - epoch(f.dated)) / 3600.0) / 4) ELSE 0.0 END, 6) AS score
+FROM reports r LEFT JOIN found f ON r.id = f.id AND r.domain = f.domain WHERE f.status IS NULL OR f.status NOT IN ('expired', 'future-dated')""",
     "alignment": f"WITH {_ALIGNED_SQL} SELECT gold_id, id FROM aligned",
     "gold_recall": f"WITH {_ALIGNED_SQL} SELECT floor(count(*) / {len(HEADLINES) + 2} * 10000 + 0.5) / 10000 AS recall FROM aligned",
     "contributions": f"""WITH {_REPORTS_SQL}, f AS (SELECT event_id, max({_STANDING}) AS s FROM reports GROUP BY 1)
