@@ -2,7 +2,7 @@
 
 import public_tokenizers
 import pytest
-from tidewire.llm import decontaminate, near_dedup, pack, pii, quality, token_counts, url_filter, vector_search, warc
+from tidewire.llm import decontaminate, near_dedup, pack, pii, quality, queries, token_counts, url_filter, vector_search, warc
 
 TEXT = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
 ROWS = [(1, TEXT), (1, TEXT), (None, TEXT), (None, None), (2, None), (3, ""), (4, TEXT), (5, "mail a@b.cd now")]
@@ -115,3 +115,19 @@ def test_top_k_lists_k_distinct_ids_of_repeated_rows(spark):
         df = spark.createDataFrame(own, "vec_id long, embedding array<float>")
         found = vector_search.top_k(df, every=20, step=8, **blocks).collect()
         assert len(found) == 30 and {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == want
+
+
+def test_op7_counts_every_row(spark, tmp_path):
+    import random
+
+    random.seed(5)
+    rows = [(i, [float(random.randint(-9, 9)) for _ in range(20)]) for i in range(90)] + [(90, None), (91, [1.0, None]), (92, [float("inf")])]
+    rows += [(i, list(v)) for i, v in rows[1:60]] + [(i, [float(random.randint(-9, 9)) for _ in range(20)]) for i in (7, 7, 100)] + [(None, list(rows[3][1])), (None, [9.0] * 20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ok, want = [r for r in rows if r[1] is not None and all(x is not None and abs(x) < float("inf") for x in r[1])], []
+    for n, (q, x) in enumerate(ok):
+        if q is not None and q % 100 == 0:
+            scores = sorted((-int(sum(a * b for a, b in zip(x, y))) * 1024**2, c is None, c or 0) for m, (c, y) in enumerate(ok) if m != n)[:10]
+            want += [(q, i, None if none else c, -s) for i, (s, none, c) in enumerate(scores, 1)]
+    found = queries.op7_top_k(spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.query_id, r.rank, r.vec_id, r.score) for r in found))) == sorted(map(str, want))
