@@ -267,3 +267,15 @@ def test_streams(spark, tmp_path):
         run.awaitTermination()
     assert sorted(r.url for r in spark.table("first").collect()) == ["https://a.org/x", "https://a.org/y"]
     assert sorted((str(r.start), r.domain, r.n) for r in spark.table("counted").collect()) == [("2026-08-16 07:00:00", "w", 2), ("2026-08-16 09:00:00", "m", 1)]
+
+
+def test_batches_of_names_and_number_words_are_as_the_patterns(spark):
+    texts = ["oneſix ſıx TEN aone one1 Seven-eight; tenth fıve fİve", "Acme Labs. and OpenAI\nLabs, Foo-Bar.Baz Partners With AB_C Acme Labs", None]
+    assert column(spark, texts, checks.number_words) == ["oneſix 6 10 aone one1 7-8; tenth 5 5", texts[1], None]
+    assert column(spark, texts, T.named_entities) == [["ten", "seven-eight"], ["openai", "acme labs"], []]
+
+
+def test_number_words_take_one_pass(spark):
+    plan = spark.createDataFrame([("x",)], "c string").select(checks.number_words(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zero") <= 3  # eleven passes over each text named it once each, one after the other
+    assert "regexp_replace" not in plan

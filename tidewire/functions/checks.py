@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import _BOUNDARY, bound, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
+from tidewire.functions.text import _BOUNDARY, bound, folded, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
 
 # The patterns of what no published text may hold.
 HTML_ARTIFACT = r"</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b"
@@ -13,6 +16,7 @@ ENGLISH_RUN = r"(?:\b[a-z]{2,}\b[\s,;:'\"()\-]*){7,}"
 DATE_STAMP = r"\b(?:fri|mon|tue|wed|thu|sat|sun),?\s+\d{1,2}/\d{1,2}/\d{4}\s+-"
 PAYWALL = "subscribe to continue|sign in to continue|enable javascript to continue|metered paywall"
 LEGAL = [r"\b(?:copyright|all rights reserved|privacy policy|terms of use)\b[^。！？!?]*", r"(?:版权所有|保留所有权利|隐私政策|使用条款)[^。！？!?]*"]
+LEGAL_WORDS = ["copyright", "all rights reserved", "privacy policy", "terms of use", "版权所有", "保留所有权利", "隐私政策", "使用条款"]
 NAVIGATION = r"^(?:home|menu|search|sign in|subscribe|read more|share|related|advertisement)\b"
 ARCHIVE_TITLE = r"^(?:news\s+)?archives?$|新闻归档"
 GENERIC_TITLE = r"^(?:news|latest news(?:\s+\d+)?(?:\s+un news)?|press releases?|index|category|tag|blog)(?:\s*[|·-].*)?$|新闻中心|资讯中心|文章列表"
@@ -79,11 +83,18 @@ def han_ratio(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.length(F.regexp_replace(bare, r"[^\p{IsHan}]", "")) / F.length(bare)).otherwise(0.0)
 
 
+def _without_notes(plain: Column) -> Column:
+    """The text without legal notes; only texts that hold a note's words, which few do, are searched for whole notes."""
+    noted = bound(folded(plain), lambda low: functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in LEGAL_WORDS)))
+    rest = plain
+    for p in LEGAL:
+        rest = F.regexp_replace(rest, pattern(p), " ")
+    return F.when(noted, rest).otherwise(plain)
+
+
 def sentences(text: Column) -> Column:
     """The sentences of an HTML text, without legal notes, bullets, navigation and what has under 12 characters."""
-    plain = strip_html(text)
-    for p in LEGAL:
-        plain = F.regexp_replace(plain, pattern(p), " ")
+    plain = bound(strip_html(text), _without_notes)
     cut = F.split(plain, r"(?<=[。！？!?])\s+|(?<=\.)\s+(?=[A-Z\p{IsHan}])")
     bare = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^[\s|>\-–—•·]+|[\s|>\-–—•·]+$", ""), r"\s+", " ")))
     return F.filter(bare, lambda s: (F.length(s) >= 12) & ~s.rlike(pattern(NAVIGATION)))
@@ -119,10 +130,17 @@ def redact_secrets(text: Column, secrets: tuple[str, ...] = ()) -> Column:
 
 
 def number_words(text: Column) -> Column:
-    """Zero to ten as digits."""
-    for i, word in enumerate(NUMBER_WORDS):
-        text = F.regexp_replace(text, pattern(rf"\b{word}\b"), str(i))
-    return text
+    """Zero to ten as digits, all in one pass: no digit makes another word."""
+    form = r"(?iu)(?<![A-Za-z0-9_])(" + "|".join(NUMBER_WORDS) + r")(?![A-Za-z0-9_])"
+    listed = F.array(*map(F.lit, NUMBER_WORDS))
+    # The letters that patterns in any case take for s and i.
+    digit = lambda w: (F.array_position(listed, F.lower(F.translate(w, "ſİı", "sii"))) - 1).cast("string")
+
+    def replaced(t: Column) -> Column:
+        digits = F.concat(F.transform(F.regexp_extract_all(t, F.lit(form), F.lit(1)), digit), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, form, -1), digits, lambda x, y: F.concat(x, y)), "")
+
+    return bound(text, replaced)
 
 
 def json_in(text: Column) -> Column:

@@ -322,15 +322,37 @@ def key_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, spelled))
 
 
+@functools.cache
+def _name_rules() -> tuple[re.Pattern, re.Pattern]:
+    """Where names are, and what is none: names are ASCII, so letter case and boundaries are ASCII's."""
+    return re.compile(catalog.NAME, re.ASCII), re.compile(f"{catalog.NAME_VERBS}|{catalog.GENERIC_NAME_TERMS}", re.ASCII | re.IGNORECASE)
+
+
+@functools.lru_cache(200_000)
+def _plain_name(name: str) -> str | None:
+    """A name in lower case without dots; None for an alias, and for what is written like a name but is none."""
+    plain = name.lower().replace(".", "").strip(" ")
+    if plain in catalog.GENERIC_NAMES or _name_rules()[1].search(name) or _finder(tuple(map(tuple, lexicons.ENTITIES))).all(name.lower()):
+        return None
+    return plain
+
+
 def named_entities(text: Column, low: Column | None = None) -> Column:
-    """Aliased entities, then other capitalised names of one to three words, in the order they occur."""
-    text = F.coalesce(text, F.lit(""))
-    aliases = "|".join(pattern(p).removeprefix("(?iu)") for _, p in lexicons.ENTITIES)
-    names = F.regexp_extract_all(text, F.lit(catalog.NAME.replace(r"\b", _BOUNDARY)), F.lit(1))
-    plain = lambda v: F.trim(F.replace(F.lower(v), F.lit("."), F.lit("")))
-    verbs, terms = (pattern(p) for p in (catalog.NAME_VERBS, catalog.GENERIC_NAME_TERMS))
-    kept = F.filter(F.array_distinct(names), lambda v: ~v.rlike("(?iu)" + aliases) & ~v.rlike(verbs) & ~v.rlike(terms) & ~plain(v).isin(*catalog.GENERIC_NAMES))
-    return F.array_union(hits(text, lexicons.ENTITIES, low), F.transform(kept, plain))
+    """Aliased entities, then other capitalised names of one to three words, in the order they occur.
+
+    Texts go through in batches, like those of hits(): each name is judged once a worker, not once for every text that has it.
+    """
+    own = tuple(map(tuple, lexicons.ENTITIES))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def names(texts: pd.Series, lows: pd.Series) -> pd.Series:
+        def of(value: str, folds: str | None) -> list[str]:
+            found = (_plain_name(n) for n in dict.fromkeys(_name_rules()[0].findall(value)))
+            return list(dict.fromkeys([*_finder(own).all(folds), *(n for n in found if n is not None)]))
+
+        return pd.Series([of(x, y) for x, y in zip(texts, lows, strict=True)], dtype=object)
+
+    return names(F.coalesce(text, F.lit("")), folded(text) if low is None else low)
 
 
 def actions_of(text: Column, objects: Column, low: Column | None = None) -> Column:
