@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidewire.functions import lexicons
 from tidewire.functions.checks import wire_key
 from tidewire.functions.text import normal_title, text_tokens, title_tokens
-from tidewire.operators.setjoin import similar_sets
 from tidewire.operators.tables import durable
 
 
@@ -31,48 +30,72 @@ def _short(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"content:{kind}:"), F.substring(F.sha1(value.cast("binary")), 1, 12))
 
 
+def _prefix(words: str, least: float) -> Column:
+    """Of a set of words those of which sets that agree to `least` share one: the longest, which are the rarest in most texts."""
+    ordered = F.array_sort(F.transform(words, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
+    return F.transform(F.slice(ordered, 1, F.greatest(F.size(words) - F.ceil(F.size(words) * F.lit(least)).cast("int") + 1, F.lit(0))), lambda x: x["v"])
+
+
+def _near_classes(classes: DataFrame, group: str) -> DataFrame:
+    """(class, by_likeness): the first agency of another source's class with nearly the same title and description.
+
+    classes: class, group, tokens, words, w, s0, s1. Classes meet by a word of the title's prefix and one of the description's,
+    both as numbers, so that what is shuffled is narrow; their sets come together only for pairs whose sizes fit. The limits
+    here leave room for rounding; the exact ones follow. Descriptions without words are alike: those meet by titles alone.
+    """
+    title = F.explode(_prefix("tokens", 0.8999)).alias("t")
+    word = F.explode(F.when(F.size("words") == 0, F.array(F.lit(""))).otherwise(_prefix("words", 0.8199))).alias("d")
+    sized = classes.where(F.size("tokens") > 0).select(group, "class", "w", F.size("words").alias("n"), title, "words").select(group, "class", "w", "n", "t", word)
+    keyed = sized.select(F.xxhash64(group, "t", "d").alias("key"), "class", "n", "w")
+    a = keyed.select("key", F.col("class").alias("a"), F.col("n").alias("na"))
+    b = keyed.where("w is not null").select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, "key").where("a <> b").where((F.col("na") >= F.col("nb") * 0.8199) & (F.col("nb") >= F.col("na") * 0.8199)).select("a", "b").distinct()
+    side = lambda p: classes.select(F.col("class").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in (group, "tokens", "words", "w", "s0", "s1")))
+    pairs = met.join(side("a"), "a").join(side("b"), "b").where(F.col(f"{group}_a") == F.col(f"{group}_b"))
+    heads = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    alike = (heads / (F.size("tokens_a") + F.size("tokens_b") - heads) >= 0.9) & (both >= 0.82 * (F.size("words_a") + F.size("words_b") - both))
+    return pairs.where(alike).where("not (s0_a = s1_b and s1_a = s0_b)").groupBy(F.col("a").alias("class")).agg(F.min("w_b").alias("by_likeness"))
+
+
 def effective_keys(reports: DataFrame, group: str = "event_id") -> DataFrame:
     """(group, id, wire, effective_key, via) for reports (group, id, source_id, url, title, description).
 
     A report counts as the agency that it names. Naming none, it counts as the first agency named by another source's
     report with the same URL, title or description, or with a title that agrees to 0.9 and a description to 0.82. Without
     an agency, sources that share a URL, or both title and description, count as that content; others as their publisher.
-    via says which of these applied. Reports meet in groups of equal keys and as minima; pairs are made only of title sets
-    that nearly agree, one for each class of equal titles and descriptions.
+    via says which of these applied. Reports meet in groups of equal keys and as minima; pairs are made only of classes of
+    equal titles and descriptions, and only of those that share a rare word of both.
     """
     description = F.coalesce("description", F.lit(""))
-    rows = reports.select(group, "id", "source_id", "url", "title", description.alias("description")).withColumn("wire", wire_key(F.col("title"), description, F.col("source_id")))
-    rows = rows.withColumn("title_key", normal_title(F.col("title"))).withColumn("text_key", F.nullif(normal_title(F.col("description")), F.lit("")))
-    rows = rows.withColumn("both_key", F.concat_ws(":", "title_key", F.coalesce("text_key", F.lit(""))))
-    rows = base = durable(rows)  # every step below starts from these rows, once
+    full = reports.select(group, "id", "source_id", "url", "title", description.alias("description"))
+    full = full.withColumn("title_key", normal_title(F.col("title"))).withColumn("text_key", F.nullif(normal_title(F.col("description")), F.lit("")))
+    full = full.withColumn("both_key", F.concat_ws(":", "title_key", F.coalesce("text_key", F.lit(""))))
+    # From here on texts are known by their digests: rows are joined several times, and would take their texts with them.
+    digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256)).alias(c)
+    rows = base = durable(full.select(
+        group, "id", "source_id", "url", wire_key(F.col("title"), F.col("description"), F.col("source_id")).alias("wire"), digest("title_key"), digest("text_key"), digest("both_key"),
+        F.when(F.col("text_key").isNotNull(), _short("fingerprint", F.col("both_key"))).alias("fingerprint"),
+    ))
     for key, name in (("url", "by_url"), ("title_key", "by_title"), ("text_key", "by_text")):
         named = _of_others(base, group, key).withColumnRenamed("first", f"_{name}")
         other = F.filter(f"_{name}", lambda x: x["source_id"] != F.col("source_id"))
-        rows = rows.join(named, [group, key], "left").withColumn(name, F.try_element_at(other, F.lit(1))["w"])
+        rows = rows.join(named, [group, key], "left").withColumn(name, F.try_element_at(other, F.lit(1))["w"]).drop(f"_{name}")
     for key, name in (("url", "same_url"), ("both_key", "same_both")):
         rows = rows.join(_shared(base, group, key).withColumn(name, F.lit(True)), [group, key], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
     # Classes of equal titles and descriptions; those that name an agency, against all.
-    classes = base.groupBy(group, "both_key").agg(
-        F.first("title").alias("title"), F.first("description").alias("description"), F.min("wire").alias("w"), F.min("source_id").alias("s0"), F.max("source_id").alias("s1")
-    )
-    classes = classes.withColumn("tokens", F.array_sort(title_tokens(F.col("title")))).withColumn("words", text_tokens(F.col("description"), lexicons.STOP_WORDS))
-    classes = durable(classes)
-    near = similar_sets(
-        classes.select(group, F.col("both_key").alias("id"), "tokens"), classes.where("w is not null").select(group, F.col("both_key").alias("id"), "tokens"), 0.9, group
-    )
-    left = classes.select(group, F.col("both_key").alias("a"), F.col("words").alias("wa"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = classes.select(group, F.col("both_key").alias("b"), F.col("words").alias("wb"), "w", "s0", "s1")
-    both = F.size(F.array_intersect("wa", "wb"))
-    near = near.where("a <> b").join(left, [group, "a"]).join(right, [group, "b"])
-    near = near.where(both >= 0.82 * (F.size("wa") + F.size("wb") - both)).where("not (a0 = s1 and a1 = s0)")
-    near = near.groupBy(group, F.col("a").alias("both_key")).agg(F.min("w").alias("by_likeness"))
+    texts = full.select(group, digest("both_key"), "title", "description").dropDuplicates([group, "both_key"])
+    texts = texts.select(group, "both_key", F.array_sort(title_tokens(F.col("title"))).alias("tokens"), text_tokens(F.col("description"), lexicons.STOP_WORDS).alias("words"))
+    sides = base.groupBy(group, "both_key").agg(F.min("wire").alias("w"), F.min("source_id").alias("s0"), F.max("source_id").alias("s1"))
+    classes = durable(sides.join(texts, [group, "both_key"]).withColumn("class", F.monotonically_increasing_id()))
+    near = _near_classes(classes, group).join(classes.select("class", group, "both_key"), "class").select(group, "both_key", "by_likeness")
     rows = rows.join(near, [group, "both_key"], "left")
 
     ways = [
         ("attribution", F.col("wire")), ("canonical-url", F.col("by_url")), ("exact-title", F.col("by_title")), ("exact-description", F.col("by_text")),
         ("likeness", F.col("by_likeness")), ("shared-url", F.when(F.col("same_url"), _short("url", F.col("url")))),
-        ("shared-text", F.when(F.col("same_both") & F.col("text_key").isNotNull(), _short("fingerprint", F.col("both_key")))),
+        ("shared-text", F.when(F.col("same_both"), F.col("fingerprint"))),
         ("publisher", F.concat(F.lit("publisher:"), "source_id")),
     ]
     return rows.select(
