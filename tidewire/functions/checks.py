@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import _BOUNDARY, bound, folded, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
+from tidewire.functions.text import _BOUNDARY, bound, han_share, hits, hostname, nfkc, of_host, pattern, strip_html
 
 # The patterns of what no published text may hold.
 HTML_ARTIFACT = r"</?[a-z][^>]*>|&(?:#\d+|#x[\da-f]+|[a-z][a-z0-9]+);|(?:^|\s)#{2,}\s|\b(?:javascript:void|document\.cookie)\b"
@@ -51,7 +51,9 @@ NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "
 
 def has_html_artifact(text: Column) -> Column:
     """Whether tags, character references, heading marks or script names are left in the text."""
-    return text.rlike(pattern(HTML_ARTIFACT))
+    parts = functools.reduce(operator.or_, (F.contains(text, F.lit(x)) for x in ("<", "&", "##")))
+    names = bound(F.lower(text), lambda low: F.contains(low, F.lit(":vo")) | F.contains(low, F.lit("document.coo")))
+    return (parts | names) & text.rlike(pattern(HTML_ARTIFACT))  # one of these is in whatever the pattern matches
 
 
 def has_english_fragment(text: Column) -> Column:
@@ -74,7 +76,8 @@ def is_placeholder_title(text: Column) -> Column:
 
 def enough_chinese(text: Column, least: float = 0.35) -> Column:
     """Whether Han characters are at least this share of the letters."""
-    return han_share(text) >= least
+    some = text.rlike(r"\p{IsHan}")  # few texts have any: only theirs are counted
+    return some & (han_share(text) >= least) if least > 0 else han_share(text) >= least
 
 
 def han_ratio(text: Column) -> Column:
@@ -85,7 +88,8 @@ def han_ratio(text: Column) -> Column:
 
 def _without_notes(plain: Column) -> Column:
     """The text without legal notes; only texts that hold a note's words, which few do, are searched for whole notes."""
-    noted = bound(folded(plain), lambda low: functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in LEGAL_WORDS)))
+    noted = bound(F.lower(plain), lambda low: functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in LEGAL_WORDS)))
+    noted = functools.reduce(operator.or_, (F.contains(plain, F.lit(c)) for c in "ſİı"), noted)  # letters that the patterns take for others
     rest = plain
     for p in LEGAL:
         rest = F.regexp_replace(rest, pattern(p), " ")
@@ -95,8 +99,10 @@ def _without_notes(plain: Column) -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of an HTML text, without legal notes, bullets, navigation and what has under 12 characters."""
     plain = bound(strip_html(text), _without_notes)
-    cut = F.split(plain, r"(?<=[。！？!?])\s+|(?<=\.)\s+(?=[A-Z\p{IsHan}])")
-    bare = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^[\s|>\-–—•·]+|[\s|>\-–—•·]+$", ""), r"\s+", " ")))
+    # The space comes first: it is rarer than what stands before it is looked at. All white space is a space by now.
+    cut = F.split(plain, r"\s(?<=[。！？!?]\s)\s*|\s(?<=\.\s)\s*(?=[A-Z\p{IsHan}])")
+    single = lambda s: F.when(F.contains(s, F.lit("  ")), F.regexp_replace(s, " +", " ")).otherwise(s)
+    bare = F.transform(cut, lambda s: single(F.btrim(s, F.lit(" \t\n\x0b\f\r|>-–—•·"))))
     return F.filter(bare, lambda s: (F.length(s) >= 12) & ~s.rlike(pattern(NAVIGATION)))
 
 

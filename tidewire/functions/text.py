@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import json
+import operator
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -66,6 +67,90 @@ def needed(source: str) -> tuple[str, ...] | None:
     return tuple(dict.fromkeys(found))
 
 
+#: At most so many strings are spelled out for a stretch of a pattern.
+_SPELLINGS = 64
+
+
+def _spelled(source: str) -> tuple[set[str] | None, set[str] | None]:
+    """(all, some) of a pattern's text: every string that it matches where those are few, and strings one of which every match
+    contains; None where that cannot be told."""
+    branches, depth, start = [], 0, 0
+    for i, c in enumerate(source):
+        escaped = (len(source[:i]) - len(source[:i].rstrip("\\"))) % 2
+        if c == "|" and depth == 0:
+            branches.append(source[start:i])
+            start = i + 1
+        elif c in "()" and not escaped:
+            depth += 1 if c == "(" else -1
+    found = [_spelled_branch(b) for b in [*branches, source[start:]]]
+    whole = None if any(w is None for w, _ in found) else set().union(*(w for w, _ in found))
+    some = None if any(x is None for _, x in found) else set().union(*(x for _, x in found))
+    return (whole if whole is None or len(whole) <= _SPELLINGS else None), some
+
+
+def _spelled_branch(branch: str) -> tuple[set[str] | None, set[str] | None]:
+    some: list[set[str]] = []
+    run, finite, i = {""}, True, 0
+    while i < len(branch):
+        c, inner = branch[i], None
+        if c == "(":
+            depth, j = 0, i
+            while True:
+                depth += (branch[j] == "(") - (branch[j] == ")") if branch[j - 1] != "\\" else 0
+                if depth == 0:
+                    break
+                j += 1
+            body = branch[i + 1 : j]
+            own, inner = ({""}, None) if body.startswith(("?=", "?!", "?<")) else _spelled(body.removeprefix("?:"))
+            i = j + 1
+        elif c == "[":
+            own, i = None, branch.index("]", i + 1) + 1
+        elif c == "\\":
+            own = {""} if branch[i + 1] == "b" else None if branch[i + 1].isalnum() else {branch[i + 1]}
+            i += 2
+        else:
+            own, i = None if c in ".^$" else {c}, i + 1
+        optional = False
+        if i < len(branch) and branch[i] in "?*+{":
+            least = re.match(r"\{(\d+)", branch[i:])
+            optional = branch[i] in "?*" or (least is not None and least[1] == "0")
+            own = own | {""} if own is not None and branch[i] == "?" else None
+            i = branch.index("}", i) + 1 if branch[i] == "{" else i + 1
+        if inner is not None and not optional:
+            some.append(inner)
+        if own is None or len(run) * len(own) > _SPELLINGS:
+            some.append(run)
+            run, finite = (set(own), False) if own is not None else ({""}, False)
+        else:
+            run = {a + b for a in run for b in own}
+    some.append(run)
+    least = lambda strings: min((len(x) * (1 if x.isascii() else 2) for x in strings), default=0)
+    best = max(some, key=least)
+    return (run if finite else None), (best if least(best) >= 2 else None)
+
+
+@functools.cache
+def required(source: str) -> tuple[str, ...] | None:
+    """needed(), and where that cannot be told, what the alternatives in brackets and optional letters of the pattern spell out."""
+    found = needed(source)
+    if found is None and (some := _spelled(source)[1]) is not None:
+        low = {x.lower() for x in some}
+        found = tuple(sorted(x for x in low if not any(y != x and y in x for y in low)))
+    return found
+
+
+#: Letters that patterns in any case take for s, i and k.
+_ALIKE = (("ſ", "s"), ("İ", "i"), ("ı", "i"), ("\u212a", "k"))
+
+
+def _fold(text: str) -> str:
+    """folded(), in a worker."""
+    if not text.isascii():
+        for a, b in _ALIKE:
+            text = text.replace(a, b)
+    return text.lower()
+
+
 def folded(text: Column) -> Column:
     """Lower case, with the letters that patterns in any case take for s, i and k."""
     return F.lower(F.translate(text, "ſİıK", "siik"))
@@ -87,6 +172,10 @@ def folded_pattern(source: str) -> str:
             before, after = source[i - 1 : i] if i else "", source[i + 2 : i + 3]
             behind = before != "" and (word(before) or before in ")]?")
             ahead = after != "" and (word(after) or after in "([")
+            if ahead and not behind and word(after) and source[i + 3 : i + 4] not in ("?", "*", "{"):
+                out += f"{after.lower()}(?<![a-z0-9_]{after.lower()})"  # the letter first: it is what texts are searched for
+                i += 3
+                continue
             out += r"(?![a-z0-9_])" if behind and not (after and word(after)) else r"(?<![a-z0-9_])" if ahead and not behind else _BOUNDARY
         else:
             out += source[i : i + 2]
@@ -95,15 +184,16 @@ def folded_pattern(source: str) -> str:
 
 
 class _Finder:
-    """A lexicon's patterns for folded() texts. One pass finds the strings that patterns need; only those that got theirs are tried."""
+    """Lexicons' patterns for folded texts. One pass finds the strings that patterns need; only those that got theirs are tried."""
 
-    def __init__(self, lexicon: tuple[tuple[str, str], ...]):
-        self.labels = [label for label, _ in lexicon]
-        self.patterns = [re.compile(folded_pattern(p), re.ASCII) for _, p in lexicon]
-        self.always = {i for i, (_, p) in enumerate(lexicon) if needed(p) is None}
+    def __init__(self, *lexicons_: tuple[tuple[str, str], ...]):
+        both = [(k, label, p) for k, lexicon in enumerate(lexicons_) for label, p in lexicon]
+        self.size, self.of, self.labels = len(lexicons_), [k for k, _, _ in both], [label for _, label, _ in both]
+        self.patterns = [re.compile(folded_pattern(p), re.ASCII) for _, _, p in both]
+        self.always = {i for i, (_, _, p) in enumerate(both) if required(p) is None}
         owners: dict[str, set[int]] = {}
-        for i, (_, p) in enumerate(lexicon):
-            for s in needed(p) or ():
+        for i, (_, _, p) in enumerate(both):
+            for s in required(p) or ():
                 owners.setdefault(s, set()).add(i)
         self.strings = ahocorasick.Automaton()
         for s, own in owners.items():
@@ -117,33 +207,56 @@ class _Finder:
             found.update(*(own for _, own in self.strings.iter(text)))
         return sorted(found)
 
+    def matches(self, text: str) -> list[tuple[int, re.Match]]:
+        """The patterns that match, in order, by number over all lexicons."""
+        return [(i, m) for i in self.tried(text) if (m := self.patterns[i].search(text))] if text else []
+
     def all(self, text: str | None) -> list[str]:
-        return [self.labels[i] for i in self.tried(text) if self.patterns[i].search(text)] if text else []
+        return [self.labels[i] for i, _ in self.matches(text or "")]
 
     def first(self, text: str | None) -> str | None:
-        places = [(m.start(), i) for i in self.tried(text) if (m := self.patterns[i].search(text))] if text else []
+        places = [(m.start(), i) for i, m in self.matches(text or "")]
         return self.labels[min(places)[1]] if places else None
 
 
 @functools.cache
-def _finder(lexicon: tuple[tuple[str, str], ...]) -> _Finder:
-    """A lexicon's finder: built once in each worker process."""
-    return _Finder(lexicon)
+def _finder(*lexicons_: tuple[tuple[str, str], ...]) -> _Finder:
+    """The finder of lexicons: built once in each worker process."""
+    return _Finder(*lexicons_)
 
 
-def hits(text: Column, lexicon: list[tuple[str, str]], low: Column | None = None) -> Column:
+def hits(text: Column, lexicon: list[tuple[str, str]]) -> Column:
     """Labels of the lexicon that occur in the text, in the lexicon's order; none for null.
 
-    low is folded(text), where the caller has it. Texts go through in batches: some 160 patterns as columns would make plans
-    that take longer to compile than to run, and each of them would pass over the text on its own.
+    Texts go through in batches: some 160 patterns as columns would make plans that take longer to compile than to run, and each
+    of them would pass over the text on its own.
     """
     own = tuple(map(tuple, lexicon))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def labels(texts: pd.Series) -> pd.Series:
-        return texts.map(_finder(own).all)
+        return texts.map(lambda x: _finder(own).all(_fold(x)) if x else [])
+
+    return labels(text)
+
 
-    return labels(folded(text) if low is None else low)
+def occurring(text: Column, terms: tuple[str, ...]) -> Column:
+    """How many of these terms, which are in lower case, the text has in any case; none for null."""
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: len({t for _, t in _terms(terms).iter(x.lower())}) if x else 0).astype("int32")
+
+    return count(text) if terms else F.lit(0)
+
+
+@functools.cache
+def _terms(terms: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for t in terms:
+        found.add_word(t, t)
+    found.make_automaton()
+    return found
 
 
 #: Named character references and what they stand for; others become a space.
@@ -169,19 +282,35 @@ def _referred(text: Column, digits: str, base: int) -> Column:
 
 
 def strip_html(html: Column) -> Column:
-    """The text of HTML: without comments, navigation, styles, scripts and tags; null is empty."""
-    text = F.coalesce(html, F.lit(""))
+    """The text of HTML: without comments, navigation, styles, scripts and tags; null is empty.
+
+    What begins with < or & is looked for only in texts that have one.
+    """
     blocks = "nav|header|footer|aside|form|svg|noscript"
     removed = [r"<!--[\s\S]*?-->", rf"(?i)<(?:{blocks})\b[\s\S]*?</(?:{blocks})>", r"(?i)<style[\s\S]*?</style>", r"(?i)<script[\s\S]*?</script>", r"<[^>]+>"]
-    for p in removed:
-        text = F.regexp_replace(text, p, " ")
-    for digits, base in ((r"&#[xX]([0-9a-fA-F]{1,6});", 16), (r"&#([0-9]{1,7});", 10)):
-        text = bound(text, lambda t: _referred(t, digits, base))  # noqa: B023
-    for p, value in _NAMED:
-        text = F.regexp_replace(text, "(?i)" + p, value)
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|�+", " ")
-    text = F.regexp_replace(text, "([\"'“”‘’])\\1+", "$1")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+    def untagged(text: Column) -> Column:
+        out = text
+        for p in removed:
+            out = F.regexp_replace(out, p, " ")
+        return F.when(F.contains(text, F.lit("<")), out).otherwise(text)
+
+    def named(text: Column) -> Column:
+        out = text
+        for digits, base in ((r"&#[xX]([0-9a-fA-F]{1,6});", 16), (r"&#([0-9]{1,7});", 10)):
+            out = bound(out, lambda t: _referred(t, digits, base))  # noqa: B023
+        for p, value in _NAMED:
+            out = F.regexp_replace(out, "(?i)" + p, value)
+        return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+    text = bound(bound(F.coalesce(html, F.lit("")), untagged), named)
+    # Runs of white space, control and replacement characters become a space; most texts have line ends and no more of them.
+    gap = r"\x00-\x1F\x7F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFFFD"  # white space is as in (?U)\s
+    lines = F.replace(text, F.lit("\n"), F.lit(" "))
+    text = bound(lines, lambda t: F.when(t.rlike(f"[{gap}]|  "), F.regexp_replace(t, f"[{gap} ]+", " ")).otherwise(t))
+    doubled = lambda t: functools.reduce(operator.or_, (F.contains(t, F.lit(c + c)) for c in "\"'“”‘’"))
+    text = bound(text, lambda t: F.when(doubled(t), F.regexp_replace(t, "([\"'“”‘’])\\1+", "$1")).otherwise(t))
+    return F.trim(text)
 
 
 def clean_url(url: Column) -> Column:
@@ -242,9 +371,19 @@ def title_tokens(title: Column) -> Column:
 
 def text_tokens(text: Column, stop_words: list[str]) -> Column:
     """Like title_tokens, with dots and dashes inside, two characters at least, and no stop words."""
-    normal = nfkc(F.coalesce(text, F.lit("")))
-    latin = F.filter(F.regexp_extract_all(normal, F.lit("([a-z0-9][a-z0-9.-]*)"), F.lit(1)), lambda t: F.length(t) > 1)
-    return F.array_distinct(F.concat(F.array_except(latin, F.array(*map(F.lit, stop_words))), _han_bigrams(normal)))
+    stops = frozenset(stop_words)
+
+    @F.pandas_udf("words array<string>, han string")
+    def words(texts: pd.Series) -> pd.DataFrame:
+        """Words in their order; and the normal text where it may have Han characters, all of which lie behind the alphabets."""
+        normal = [unicodedata.normalize("NFKC", x.lower()) if x else "" for x in texts]
+        found = [[w for w in dict.fromkeys(_WORD.findall(x)) if w not in stops] for x in normal]
+        return pd.DataFrame({"words": pd.Series(found, dtype=object), "han": pd.Series([x if not x.isascii() and max(x) >= "\u2e80" else None for x in normal], dtype=object)})
+
+    return bound(words(text), lambda w: F.when(w["han"].isNull(), w["words"]).otherwise(F.array_distinct(F.concat(w["words"], _han_bigrams(w["han"])))))
+
+
+_WORD = re.compile("[a-z0-9][a-z0-9.-]+")
 
 
 def shorten(text: Column, most: int = 180) -> Column:
@@ -337,7 +476,13 @@ def _plain_name(name: str) -> str | None:
     return plain
 
 
-def named_entities(text: Column, low: Column | None = None) -> Column:
+def _names_in(text: str, aliased: list[str]) -> list[str]:
+    """Aliased entities and the other names of a text, each once."""
+    found = (_plain_name(n) for n in dict.fromkeys(_name_rules()[0].findall(text)))
+    return list(dict.fromkeys([*aliased, *(n for n in found if n is not None)]))
+
+
+def named_entities(text: Column) -> Column:
     """Aliased entities, then other capitalised names of one to three words, in the order they occur.
 
     Texts go through in batches, like those of hits(): each name is judged once a worker, not once for every text that has it.
@@ -345,27 +490,52 @@ def named_entities(text: Column, low: Column | None = None) -> Column:
     own = tuple(map(tuple, lexicons.ENTITIES))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def names(texts: pd.Series, lows: pd.Series) -> pd.Series:
-        def of(value: str, folds: str | None) -> list[str]:
-            found = (_plain_name(n) for n in dict.fromkeys(_name_rules()[0].findall(value)))
-            return list(dict.fromkeys([*_finder(own).all(folds), *(n for n in found if n is not None)]))
+    def names(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: _names_in(x, _finder(own).all(_fold(x))) if x else [])
 
-        return pd.Series([of(x, y) for x, y in zip(texts, lows, strict=True)], dtype=object)
+    return names(text)
 
-    return names(F.coalesce(text, F.lit("")), folded(text) if low is None else low)
 
+_LISTS = {"objects": "OBJECTS", "aliased": "ENTITIES", "locations": "LOCATIONS", "named": "ACTIONS"}
+_FOUND = T.StructType([*(T.StructField(c, T.ArrayType(T.StringType())) for c in (*_LISTS, "entities")), T.StructField("first", T.StringType())])
 
-def actions_of(text: Column, objects: Column, low: Column | None = None) -> Column:
-    """Actions that the text names; where it names none, those that its objects imply."""
-    text = F.coalesce(text, F.lit(""))
-    named = hits(text, lexicons.ACTIONS, low)
+
+@F.pandas_udf(_FOUND)
+def found_in(texts: pd.Series) -> pd.DataFrame:
+    """What the lexicons find in a text, in one pass: objects, aliased entities, locations, actions named in so many words, entities
+    (named_entities()) and first (first_entity()); nothing for null."""
+    finder = _finder(*(tuple(map(tuple, getattr(lexicons, v))) for v in _LISTS.values()))
+    entity, rows = list(_LISTS).index("aliased"), []
+    for text in texts:
+        lists: list[list[str]] = [[] for _ in _LISTS]
+        first = None
+        for i, m in finder.matches(_fold(text)) if text else ():
+            k = finder.of[i]
+            lists[k].append(finder.labels[i])
+            if k == entity:
+                first = min(first or (m.start(), i), (m.start(), i))
+        rows.append((*lists, _names_in(text, lists[entity]) if text else [], finder.labels[first[1]] if first else None))
+    return pd.DataFrame(rows, columns=_FOUND.names, dtype=object)
+
+
+def implied_or(named: Column, objects: Column) -> Column:
+    """Named actions; where there are none, those that objects imply."""
     implied = F.array_distinct(F.filter(F.array(*(F.when(F.array_contains(objects, o), F.lit(a)) for o, a in catalog.INFERRED.items())), lambda x: x.isNotNull()))
     return F.when(F.size(named) > 0, named).otherwise(implied)
 
 
+def actions_of(text: Column, objects: Column) -> Column:
+    """Actions that the text names; where it names none, those that its objects imply."""
+    return implied_or(hits(text, lexicons.ACTIONS), objects)
+
+
 def dates_in(text: Column) -> Column:
     """Dates as they are written, in lower case: ISO, then English, then Chinese ones."""
-    found = [F.regexp_extract_all(text, F.lit(p.replace(r"\b", _BOUNDARY)), F.lit(1)) for p in catalog.DATES]
+    # What a date begins with comes before the look behind it, and only texts with a month's sign are searched for Chinese dates.
+    heads = (r"(?=2)(?<![A-Za-z0-9_])", r"(?=[JFMASONDjfmasond])(?<![A-Za-z0-9_])", "")
+    forms = [p.replace(r"\b", head, 1).replace(r"\b", _BOUNDARY) if head else p for p, head in zip(catalog.DATES, heads, strict=True)]
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in forms]
+    found[2] = F.when(F.contains(text, F.lit("月")), found[2]).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(F.concat(*found), lambda v: F.trim(F.lower(v))))
 
 
@@ -395,9 +565,9 @@ def first_entity(text: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def label(texts: pd.Series) -> pd.Series:
-        return texts.map(_finder(own).first)
+        return texts.map(lambda x: _finder(own).first(_fold(x)) if x else None)
 
-    return label(folded(text))
+    return label(text)
 
 
 def fingerprint(text: Column) -> Column:

@@ -9,7 +9,7 @@ from tidewire.functions import lexicons
 from tidewire.functions.quantities import comparable
 from tidewire.functions.catalog import Domain
 from tidewire.functions.checks import is_non_article
-from tidewire.functions.text import actions_of, dates_in, folded, hits, key_numbers, named_entities, normal_title, tags_of, text_tokens, title_tokens
+from tidewire.functions.text import bound, dates_in, found_in, hits, implied_or, key_numbers, normal_title, tags_of, text_tokens, title_tokens
 from tidewire.operators.relevance import learning_relevance
 from tidewire.operators.tables import durable
 
@@ -19,16 +19,16 @@ def with_features(df: DataFrame) -> DataFrame:
 
     entities are aliased and other names, title_entities aliased ones alone; actions may follow from objects.
     """
-    text, title, low, title_low = F.concat_ws(" ", "title", "description"), F.coalesce("title", F.lit("")), F.col("_low"), F.col("_title_low")
-    first = df.select("*", folded(text).alias("_low"), folded(title).alias("_title_low"))
-    second = first.select(
+    text, title = F.concat_ws(" ", "title", "description"), F.coalesce("title", F.lit(""))
+    said, titled = (lambda c: F.col("_said")[c]), (lambda c: F.col("_titled")[c])
+    second = df.select("*", found_in(text).alias("_said"), found_in(title).alias("_titled")).select(
         "*",
-        hits(text, lexicons.OBJECTS, low).alias("objects"),
-        hits(title, lexicons.OBJECTS, title_low).alias("title_objects"),
-        named_entities(text, low).alias("entities"),
-        hits(text, lexicons.LOCATIONS, low).alias("locations"),
-        hits(title, lexicons.ENTITIES, title_low).alias("title_entities"),
-        hits(title, lexicons.LOCATIONS, title_low).alias("title_locations"),
+        said("objects").alias("objects"),
+        titled("objects").alias("title_objects"),
+        said("entities").alias("entities"),
+        said("locations").alias("locations"),
+        titled("aliased").alias("title_entities"),
+        titled("locations").alias("title_locations"),
         dates_in(text).alias("dates"),
         key_numbers(text).alias("numbers"),
         normal_title(F.col("title")).alias("title_key"),
@@ -38,10 +38,10 @@ def with_features(df: DataFrame) -> DataFrame:
     )
     return second.select(
         "*",
-        actions_of(text, F.col("objects"), low).alias("actions"),
-        actions_of(title, F.col("title_objects"), title_low).alias("title_actions"),
+        implied_or(said("named"), F.col("objects")).alias("actions"),
+        implied_or(titled("named"), F.col("title_objects")).alias("title_actions"),
         F.transform("numbers", comparable).alias("quantities"),
-    ).drop("_low", "_title_low")
+    ).drop("_said", "_titled")
 
 
 def specific() -> Column:
@@ -82,7 +82,7 @@ def with_score(df: DataFrame, now: str | Column, impact_terms: list[str] | tuple
     text = F.concat_ws(" ", "title", "description")
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("published_at")) / 3600.0)
     fresh = F.coalesce(F.greatest(F.lit(0.0), F.lit(36.0) - age / 4), F.lit(0.0))
-    impact = sum((F.contains(F.lower(text), F.lit(t)).cast("double") * 2.5 for t in impact_terms), F.lit(0.0))
+    impact = bound(F.lower(text), lambda low: sum((F.contains(low, F.lit(t)).cast("double") * 2.5 for t in impact_terms), F.lit(0.0)))
     detail = F.least(F.lit(8.0), F.length(text) / 220)
     unknown = F.when(F.col("published_at").isNull(), 20.0).otherwise(0.0)
     return df.withColumn("score", F.col("weight") + fresh + F.least(impact, F.lit(18.0)) + detail - unknown + (learning_relevance(text) if learning else F.lit(0)))

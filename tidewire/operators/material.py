@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import lexicons
 from tidewire.functions.checks import sentences
 from tidewire.functions.similarity import disjoint
-from tidewire.functions.text import actions_of, first_entity, folded, hits, named_entities, strip_html, text_tokens
+from tidewire.functions.text import found_in, implied_or, strip_html, text_tokens
 from tidewire.operators.claims import indicators, matches
 
 #: Fixed value: titles that name no event.
@@ -19,17 +19,17 @@ _KINDS = ("entities", "actions", "objects", "locations")
 def prints(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """df with what the column `text` says, each name after the prefix: entities, actions (named or implied), objects, locations,
     tokens, named (actions in so many words) and first (the aliased entity that comes first)."""
-    value, low = F.coalesce(F.col(text), F.lit("")), F.col("_folded")
-    first = df.withColumn("_folded", folded(value)).withColumn(f"{prefix}objects", hits(value, lexicons.OBJECTS, low))
+    value, found = F.coalesce(F.col(text), F.lit("")), (lambda c: F.col("_found")[c])
+    first = df.withColumn("_found", found_in(value)).withColumn(f"{prefix}objects", found("objects"))
     return first.select(
         "*",
-        named_entities(value, low).alias(f"{prefix}entities"),
-        actions_of(value, F.col(f"{prefix}objects"), low).alias(f"{prefix}actions"),
-        hits(value, lexicons.LOCATIONS, low).alias(f"{prefix}locations"),
+        found("entities").alias(f"{prefix}entities"),
+        implied_or(found("named"), F.col(f"{prefix}objects")).alias(f"{prefix}actions"),
+        found("locations").alias(f"{prefix}locations"),
         text_tokens(value, lexicons.STOP_WORDS).alias(f"{prefix}tokens"),
-        hits(value, lexicons.ACTIONS, low).alias(f"{prefix}named"),
-        first_entity(value).alias(f"{prefix}first"),
-    ).drop("_folded")
+        found("named").alias(f"{prefix}named"),
+        found("first").alias(f"{prefix}first"),
+    ).drop("_found")
 
 
 def _fits(title: str) -> Column:

@@ -10,7 +10,7 @@ from tidewire.functions.checks import fact_sentences, number_words
 from tidewire.functions.numerals import has_numbers, mended, number_sentences, numeric_expressions, says_enough, without_expressions
 from tidewire.functions.quantities import comparable
 from tidewire.functions.similarity import disjoint
-from tidewire.functions.text import composed, dates_in, folded, hits, key_numbers, named_entities, number_tokens
+from tidewire.functions.text import composed, dates_in, found_in, key_numbers, number_tokens
 from tidewire.operators.claims import indicators, numbers_borne_out
 from tidewire.operators.material import cleaned_material, with_material
 from tidewire.operators.tables import durable, spread_join
@@ -20,24 +20,24 @@ _PRINT = ("entities", "actions", "objects", "dates")
 
 def _told(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """df with what the column `text` names itself: entities, actions, objects and dates; nothing is inferred."""
-    value, low = F.coalesce(F.col(text), F.lit("")), F.col("_folded")
-    return df.withColumn("_folded", folded(value)).select(
+    value, found = F.coalesce(F.col(text), F.lit("")), (lambda c: F.col("_found")[c])
+    return df.withColumn("_found", found_in(value)).select(
         "*",
-        named_entities(value, low).alias(f"{prefix}entities"), hits(value, lexicons.ACTIONS, low).alias(f"{prefix}actions"),
-        hits(value, lexicons.OBJECTS, low).alias(f"{prefix}objects"), dates_in(value).alias(f"{prefix}dates"),
-    ).drop("_folded")
+        found("entities").alias(f"{prefix}entities"), found("named").alias(f"{prefix}actions"), found("objects").alias(f"{prefix}objects"), dates_in(value).alias(f"{prefix}dates"),
+    ).drop("_found")
 
 
 def supporting_reports(reports: DataFrame, event: str = "event_id") -> DataFrame:
     """What reports can support numbers with: (event, id, url and columns m_*, r_*, quantities, plain).
 
-    reports: event, id, url, title, description, source_name, published_at, and full_text if there is one. m_* is of the
+    reports: event, id, url, title, description, source_name, published_at, full_text if there is one, and material if they are
+    with_material() rows already. m_* is of the
     cleaned material with the publisher's name, r_* of all that the report says; quantities and plain, its text in lower
     case without thousands separators and number words, are of all that it says too: cleaning may cut a source's numbers.
     """
     body = [F.coalesce("full_text", F.lit(""))] if "full_text" in reports.columns else []
     day = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit(""))
-    rows = with_material(reports).withColumn("_material", F.concat_ws(" ", "material", "source_name"))
+    rows = (reports if "material" in reports.columns else with_material(reports)).withColumn("_material", F.concat_ws(" ", "material", "source_name"))
     rows = rows.withColumn("_raw", F.concat_ws(" ", "title", "description", *body)).withColumn("_dated", F.concat_ws(" ", "_raw", day))
     told = _told(_told(rows, "_material", "m_"), "_raw", "r_")
     plain = F.lower(F.replace(number_words(F.col("_dated")), F.lit(","), F.lit("")))

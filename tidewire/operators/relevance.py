@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.catalog import LOW_VALUE, MARKET_CORE, MARKET_OBJECTS, Domain
-from tidewire.functions.text import of_host, pattern
+from tidewire.functions.text import _finder, _fold, folded_pattern, hits, occurring, of_host
 from tidewire.operators.selection import FIT, by_level
 
 # Patterns of personal relevance for the learning domain.
@@ -20,31 +25,41 @@ LEARNING_LOCAL = (
 LEARNING_NATIONAL = r"national|nationwide|federal|ministry|department of education|supreme court|constitutional|全国|国家级|联邦|教育部|最高法院|违宪"
 
 
-def learning_relevance(text: Column) -> Column:
-    """Eight for each mention of a priority, 24 at most; 24 less for what is of local interest only."""
-    n = F.size(F.regexp_extract_all(text, F.lit(pattern(LEARNING_PRIORITY)), F.lit(0)))
-    local = text.rlike(pattern(LEARNING_LOCAL)) & ~text.rlike(pattern(LEARNING_NATIONAL))
-    return F.least(F.lit(24), n * 8) - F.when(local, 24).otherwise(0)
+@F.pandas_udf(T.IntegerType())
+def learning_relevance(texts: pd.Series) -> pd.Series:
+    """Eight for each mention of a priority, 24 at most; 24 less for what is of local interest only; 0 for null."""
+    return texts.map(_learning).astype("int32")
+
+
+def _learning(text: str | None) -> int:
+    low = _fold(text or "")
+    kinds = {i for i, _ in _finder(*((("", p),) for p in (LEARNING_PRIORITY, LEARNING_LOCAL, LEARNING_NATIONAL))).matches(low)}
+    n = sum(1 for _ in _priorities().finditer(low)) if 0 in kinds else 0
+    return min(24, n * 8) - (24 if 1 in kinds and 2 not in kinds else 0)
+
+
+@functools.cache
+def _priorities() -> re.Pattern:
+    return re.compile(folded_pattern(LEARNING_PRIORITY), re.ASCII)
 
 
 def with_signals(df: DataFrame, domain: Domain, query_tokens: list[str] | Column | None = None) -> DataFrame:
     """match (a score) and relevant for rows with title, description, source_id, reliability and the features."""
     text = F.concat_ws(" ", "title", "description")
-    lower = F.lower(text)
-    count = lambda terms: sum((F.contains(lower, F.lit(t)).cast("int") for t in terms), F.lit(0))
-    tags = sum((text.rlike(pattern(p)).cast("int") for _, p in domain.tags), F.lit(0))
+    counts = {"_topics": occurring(text, domain.topics), "_impacts": occurring(text, domain.impacts), "_tags": F.size(hits(text, list(domain.tags)))}
     asked = query_tokens if isinstance(query_tokens, Column) else F.array(*map(F.lit, query_tokens or [])).cast("array<string>")
-    in_query = F.size(F.array_intersect(F.col("text_tokens"), asked))
+    in_query = F.lit(0) if query_tokens is None else F.size(F.array_intersect(F.col("text_tokens"), asked))  # words are made only where they are asked for
+    topics, impacts, tags = (F.col(c) for c in counts)
     own = F.arrays_overlap("objects", F.array(*map(F.lit, domain.objects))) if domain.objects else F.lit(False)
     official = (F.col("reliability") == "primary") & (of_host(F.col("source_id"), list(domain.hosts)) if domain.hosts else F.lit(False))
     acts = (F.size("entities") > 0) | (F.size("actions") > 0)
     match = (
-        count(domain.topics) * 4 + count(domain.impacts) * 1.5 + tags * 2.5 + F.least(in_query, F.lit(5)) * 1.25 + F.least(F.size("entities"), F.lit(3))
+        topics * 4 + impacts * 1.5 + tags * 2.5 + F.least(in_query, F.lit(5)) * 1.25 + F.least(F.size("entities"), F.lit(3))
         + F.least(F.size("actions"), F.lit(2)) * 1.5 + own.cast("int") * 5 + official.cast("int") * 8
         + (learning_relevance(text) if domain.name == "learning" else F.lit(0))
     )
-    relevant = (count(domain.topics) > 0) | official | (own & acts) | ((tags > 0) & (acts | (in_query > 0))) | ((in_query >= 2) & acts)
-    return df.withColumn("match", match.cast("double")).withColumn("relevant", relevant)
+    relevant = (topics > 0) | official | (own & acts) | ((tags > 0) & (acts | (in_query > 0))) | ((in_query >= 2) & acts)
+    return df.withColumns(counts).withColumn("match", match.cast("double")).withColumn("relevant", relevant).drop(*counts)
 
 
 def event_fit(reports: DataFrame, levels: DataFrame) -> DataFrame:
@@ -53,14 +68,15 @@ def event_fit(reports: DataFrame, levels: DataFrame) -> DataFrame:
     reports are with_signals() and event_id, and listing where some may be no articles; levels are (event_id, level).
     """
     found = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
-    per = reports.groupBy("event_id").agg(
+    worded = hits(F.concat_ws(" ", "title", "description"), [("low-value", LOW_VALUE), ("market", MARKET_CORE)])
+    per = reports.withColumn("_worded", worded).groupBy("event_id").agg(
         F.greatest(F.lit(0.0), F.max("match")).alias("best"),
         F.bool_or(F.col("relevant") & (F.col("match") >= 4)).alias("relevant"),
         found("entities").alias("e"), found("actions").alias("a"), found("objects").alias("o"), found("numbers").alias("n"),
         F.count("published_at").alias("dated"),
-        F.bool_or(F.concat_ws(" ", "title", "description").rlike(pattern(LOW_VALUE))).alias("low_value"),
+        F.bool_or(F.array_contains("_worded", "low-value")).alias("low_value"),
         F.bool_or((F.size("entities") > 0) & (F.size("actions") > 0)).alias("concrete"),
-        F.bool_or(F.concat_ws(" ", "title", "description").rlike(pattern(MARKET_CORE)) | F.arrays_overlap("objects", F.array(*map(F.lit, MARKET_OBJECTS)))).alias("market_core"),
+        F.bool_or(F.array_contains("_worded", "market") | F.arrays_overlap("objects", F.array(*map(F.lit, MARKET_OBJECTS)))).alias("market_core"),
         F.bool_and(F.col("listing") if "listing" in reports.columns else F.lit(False)).alias("listing"),
     )
     depth = F.least("e", F.lit(3)) + F.least("a", F.lit(2)) + F.least("o", F.lit(2)) + F.least("n", F.lit(2)) * 0.5 + (F.col("dated") > 0).cast("int")

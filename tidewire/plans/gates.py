@@ -15,11 +15,17 @@ from tidewire.plans.base import _listed, _wires_sql
 from tidewire.plans.news import _LISTING, FEATURES_SQL, _match_sql, _q, _reports
 
 
+_GATED = (
+    "event_id", "domain", "title", "description", "source_id", "reliability", "independence_key", "published_at", "listing", "entities", "actions", "objects", "numbers",
+)
+
+
 def event_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Events of one domain's reports: how well they fit it, what their evidence adds to a score, and the first reason against them."""
     rows = C.with_features(_reports(spark, folder)).withColumn("event_id", F.concat_ws(":", "domain", "event_id"))
     rows = rows.withColumn("listing", checks.is_non_article(F.col("title"), F.col("url"), C.specific()))
-    rows = durable(rows.withColumn("independence_key", checks.independence_key(F.col("title"), F.col("description"), F.col("source_id"))))
+    rows = rows.withColumn("independence_key", checks.independence_key(F.col("title"), F.col("description"), F.col("source_id")))
+    rows = durable(rows.select(*_GATED))  # the words of texts are not among them
     levels, out = E.evidence(rows).select("event_id", "level"), None
     for d in catalog.DOMAINS:
         fits = relevance.event_fit(relevance.with_signals(rows.where(F.col("domain") == d.name), d), levels)
