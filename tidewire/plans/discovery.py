@@ -9,6 +9,7 @@ from tidewire.functions import catalog, lexicons
 from tidewire.operators import candidates as C
 from tidewire.operators import discovery as D
 from tidewire.operators.followups import discovery_query
+from tidewire.operators.tables import durable
 from tidewire.plans.base import NOW, _listed
 from tidewire.plans.news import REPORTS_SQL, _reports
 
@@ -43,17 +44,20 @@ def discovery(spark: SparkSession, folder: str) -> DataFrame:
 
     A question's answers are its reports by id. What earlier digests said are the titles of the reports themselves.
     """
-    rows = _runs(C.with_features(_reports(spark, folder)))
+    reports = _runs(_reports(spark, folder))
+    rows = C.with_features(reports)
     base = F.create_map(*(F.lit(x) for d, queries in D.TEMPLATES.items() for x in (d, F.array(*map(F.lit, queries)))))
     fixed = F.element_at(base[F.col("domain")], (F.floor(F.col("id").cast("long") / 4) % 4 + 1).cast("int"))
     asked = rows.withColumn("query", F.explode(F.array(fixed, discovery_query(F.col("published_at")))))
     size = F.length("description")
     kind = F.when(fixed == F.col("query"), "fetched").otherwise(_kind(size % 2))
     order = Window.partitionBy("run", "request").orderBy(F.col("id").cast("long"))
-    landed = asked.select("run", D.normal_query(F.col("query")).alias("request"), kind.alias("kind"), "id", "title", "description", "url", "published_at", "source_id", "reliability", "weight", "provider_score")
-    answers = landed.withColumn("position", F.row_number().over(order)).where(F.col("position") <= D.ANSWERS)  # a search gives no more answers than that
-    said = rows.select(F.lit("earlier").alias("id"), "domain", "title", F.col("id").cast("long").alias("position")).where(F.col("position") < D.SIGNALS * len(catalog.DOMAINS))
-    _, hits = D.discover(rows.select("run", "at").distinct(), answers, said.select("domain", "position", F.col("title").alias("signal")))
+    # Which report answers what is settled without texts; those of what a run is let ask join it.
+    landed = asked.select("run", D.normal_query(F.col("query")).alias("request"), kind.alias("kind"), "id")
+    answers = durable(landed.withColumn("position", F.row_number().over(order)).where(F.col("position") <= D.ANSWERS))  # a search gives no more answers than that
+    texts = reports.select("id", "title", "description", "url", "published_at", "source_id", "reliability", "weight", "provider_score")
+    said = reports.select(F.lit("earlier").alias("id"), "domain", "title", F.col("id").cast("long").alias("position")).where(F.col("position") < D.SIGNALS * len(catalog.DOMAINS))
+    _, hits = D.discover(reports.select("run", "at").distinct(), answers, said.select("domain", "position", F.col("title").alias("signal")), texts)
     return hits.select("run", "domain", "phase", F.col("place").cast("long").alias("place"), F.col("position").cast("long").alias("position"), "id", "reason", F.round("score", 6).alias("score"), "candidate_id", "kept")
 
 
