@@ -10,7 +10,7 @@ from tidewire.functions.checks import enough_chinese, has_english_fragment, has_
 from tidewire.functions.details import specific_details
 from tidewire.functions.numerals import raw_number_labels
 from tidewire.functions.quantities import comparable
-from tidewire.functions.text import dates_in, first_entity, hits, key_numbers, named_entities, normal_title, shorten, strip_html
+from tidewire.functions.text import dates_in, first_entity, found_in, hits, key_numbers, named_entities, normal_title, shorten, strip_html
 from tidewire.operators.claims import adds_detail, matches, supports
 from tidewire.operators.material import GENERIC_TITLE, prints, with_material
 from tidewire.operators.tables import durable
@@ -37,8 +37,8 @@ def _print_of(df: DataFrame, text: str, prefix: str) -> DataFrame:
 
 
 def report_prints(reports: DataFrame) -> DataFrame:
-    """with_material() reports with p_*: what a report, its publisher's name included, can support claims with."""
-    rows = with_material(reports).withColumn("_all", F.concat_ws(" ", "material", "source_name"))
+    """with_material() reports, made so if they are not, with p_*: what a report, its publisher's name included, can support claims with."""
+    rows = (reports if "material" in reports.columns else with_material(reports)).withColumn("_all", F.concat_ws(" ", "material", "source_name"))
     return _print_of(rows, "_all", "p_").drop("_all")
 
 
@@ -106,11 +106,11 @@ def best_reports(reports: DataFrame, event: str = "event_id") -> DataFrame:
     """Each event's report that says most: names, acts, things, numbers and words of the title; ties by score, then URL."""
     text, title = F.concat_ws(" ", "title", "description"), F.col("title")
     specificity = (
-        F.when(F.trim(title).rlike(GENERIC_HEADLINE), -100).otherwise(0) + F.size(named_entities(text)) * 12 + F.size(hits(text, lexicons.ACTIONS)) * 10
-        + F.size(hits(text, lexicons.OBJECTS)) * 8 + F.size(key_numbers(text)) * 4 + F.least(F.lit(20), F.size(F.split(title, r"\s+")))
+        F.when(F.trim(title).rlike(GENERIC_HEADLINE), -100).otherwise(0) + F.size(F.col("_found.entities")) * 12 + F.size(F.col("_found.named")) * 10
+        + F.size(F.col("_found.objects")) * 8 + F.size(key_numbers(text)) * 4 + F.least(F.lit(20), F.size(F.split(title, r"\s+")))
     )
     score = F.col("score") if "score" in reports.columns else F.lit(0.0)
-    ranked = reports.select(event, "id", F.struct(-specificity, -score, F.col("url"), F.col("id")).alias("order"))
+    ranked = reports.withColumn("_found", found_in(text)).select(event, "id", F.struct(-specificity, -score, F.col("url"), F.col("id")).alias("order"))
     return ranked.groupBy(event).agg(F.min_by("id", "order").alias("id"))
 
 
@@ -171,8 +171,8 @@ def specific_content(reports: DataFrame, context: DataFrame, event: str = "event
     made = durable(made.select(event, "url", "_headline", _structured(F.col("_headline")).alias("_made")))
 
     # Chinese sentences that their own report supports; each meets the one title of its event.
-    told = reports.select(event, "place", "url", *(f"p_{c}" for c in ("entities", "actions", "objects", "quantities", "all_tokens")), F.posexplode(sentences(F.concat_ws(" ", "description", *body))).alias("at", "sentence"))
-    told = told.where(enough_chinese(F.col("sentence")) & ~is_placeholder_summary(F.col("sentence")))
+    chinese = F.filter(sentences(F.concat_ws(" ", "description", *body)), lambda s: enough_chinese(s) & ~is_placeholder_summary(s))
+    told = reports.select(event, "place", "url", *(f"p_{c}" for c in ("entities", "actions", "objects", "quantities", "all_tokens")), F.posexplode(chinese).alias("at", "sentence"))
     told = _print_of(told, "sentence", "s_").join(context.drop("tags"), event).join(made.select(event, "_headline"), event)
     told = _print_of(told, "_headline", "h_")
     fits = matches(lambda c: F.col(f"e_{c}"), lambda c: F.col(f"s_{c}"))

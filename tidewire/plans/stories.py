@@ -65,10 +65,11 @@ def sanitized(spark: SparkSession, folder: str) -> DataFrame:
     return N.sanitized(claims_of(reports), N.supporting_reports(reports)).select("event_id", "text", "cut")
 
 
-def _layers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Reports with their prints, the context of their events, what supports numbers, and events with their grades."""
-    reports = told_reports(spark, folder)
-    support = durable(N.supporting_reports(reports))
+def _layers(spark: SparkSession, folder: str, numbers: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """Reports with their prints, the context of their events, what supports numbers if that is asked for, and events with their grades."""
+    reports = M.with_material(told_reports(spark, folder))
+    reports = durable(reports) if numbers else reports  # cleaned once for both
+    support = durable(N.supporting_reports(reports)) if numbers else None
     prints = durable(R.report_prints(reports))
     context = durable(R.event_context(prints))
     grades = E.evidence(prints.withColumn("independence_key", F.concat(F.lit("publisher:"), "source_id")))
@@ -78,7 +79,7 @@ def _layers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
 
 def rule_stories(spark: SparkSession, folder: str) -> DataFrame:
     """The title, summary and first source that rules give each event."""
-    prints, context, _, events = _layers(spark, folder)
+    prints, context, _, events = _layers(spark, folder, numbers=False)
     content = R.specific_content(prints, context)
     return R.rule_stories(events, content).select("event_id", F.element_at("title", 1).alias("title"), F.element_at("summary", 1).alias("summary"), F.element_at(F.element_at("fact_urls", 1), 1).alias("url"))
 
