@@ -64,3 +64,17 @@ def test_signals_make_no_words_that_nothing_asks_for(spark):
     rows = C.with_features(plans._candidates(spark, "/root/testdata/sf0.001"))
     plan = relevance.with_signals(rows, catalog.AI_TECH).select("id", "match", "relevant")._jdf.queryExecution().optimizedPlan().toString()
     assert "text_tokens" not in plan and "words(" not in plan
+
+
+def test_texts_that_stay_as_they_are_do_not_leave_spark(spark):
+    odd = [*TEXTS, "ÀÉß é ½ ﬁ", "Σίσυφος ΣΑΣ", "“quoted” – 中国。", " x", "ÅÄÖ × ÷", None]
+    assert column(spark, T.nfkc, odd) == column(spark, T._nfkc, odd)
+    assert column(spark, lambda v: T._nfkc(F.when(v.rlike(T._UNSETTLED), v)), ["Plain", "Élan “x”", "中国"]) == [None] * 3
+
+
+def test_duplicates_meet_without_words_of_texts(spark):
+    from tidewire.operators import events
+
+    assert "text_tokens" in events._PAIR
+    rows = spark.createDataFrame([("1", "d", "u1", 1, "t", ["a"]), ("2", "d", "u1", 2, "s", ["b"]), ("3", "d", "u3", 3, "q", ["c"])], "id string, domain string, url string, rank int, title_key string, title_tokens array<string>")
+    assert [tuple(r) for r in events.duplicate_pairs(rows).collect()] == [("d", "1", "2")]  # needs no other column

@@ -232,6 +232,11 @@ def hits(text: Column, lexicon: list[tuple[str, str]]) -> Column:
     of them would pass over the text on its own.
     """
     own = tuple(map(tuple, lexicon))
+    strings = {s for _, p in own for s in required(p) or ("",)}
+    if "" not in strings and len(strings) <= 16:  # few strings tell which texts have to leave Spark at all
+        spelled = lambda low: functools.reduce(operator.or_, (F.contains(low, F.lit(s)) for s in strings))
+        odd = functools.reduce(operator.or_, (F.contains(text, F.lit(a)) for a, _ in _ALIKE))
+        text = F.when(odd | bound(F.lower(text), spelled), text)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def labels(texts: pd.Series) -> pd.Series:
@@ -338,9 +343,17 @@ def of_host(host: Column, known: list[str]) -> Column:
     return F.arrays_overlap(suffixes, F.array(*map(F.lit, known)))
 
 
+#: Anything but characters that stay as they are in compatibility normal form, and that nothing here composes with.
+_UNSETTLED = r"[^\x00-\x7F\u00C0-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u3001\u3002\u4E00-\u9FFF]"
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form, in lower case; Spark has no function for it, so texts that it may change go through Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_UNSETTLED), text)), F.lower(text))
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility normal form, in lower case; Spark has no function for it."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x.lower()))
 
 
