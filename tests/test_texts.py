@@ -72,6 +72,13 @@ def test_texts_that_stay_as_they_are_do_not_leave_spark(spark):
     assert column(spark, lambda v: T._nfkc(F.when(v.rlike(T._UNSETTLED), v)), ["Plain", "Élan “x”", "中国"]) == [None] * 3
 
 
+def test_tokens_of_titles_need_no_python(spark):
+    titles = [*TEXTS, "Cafe\u0301 o\u0323\u0302 b\u0346\u0301 e\u0346\u0301", "ＡＩ ㎏\u0301 ½ ① ﬁne ǆ", "㈱株式 ⼈口 \uf900\u2f81a", "\U0001d400\U0001d7d9 İx K ſt", "人\u0334\U00016ff0\u0301口", "a\u0344 e\u0340", "ガ\u3099 한글", None]
+    old = lambda v: F.array_distinct(F.concat(F.regexp_extract_all(v, F.lit("([a-z0-9]+)"), F.lit(1)), T._han_bigrams(v)))
+    assert column(spark, T.title_tokens, titles) == column(spark, lambda v: old(T._nfkc(F.coalesce(v, F.lit("")))), titles)
+    assert "Python" not in spark.range(1).select(T.title_tokens(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duplicates_meet_without_words_of_texts(spark):
     from tidewire.operators import events
 

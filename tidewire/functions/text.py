@@ -376,10 +376,65 @@ def _han_bigrams(text: Column) -> Column:
     return F.flatten(F.transform(runs, pairs))
 
 
+#: The marks that count as Han characters, and their class, by which they go before or behind other marks.
+_HAN_MARKS, _HAN_CLASS = "\U00016ff0\U00016ff1", 6
+
+
+@functools.cache
+def _token_tables() -> tuple[str, str, dict[str, str], list[tuple[str, str]], dict[str, int]]:
+    """What normal form has to do with tokens: characters that become another one and those, characters that become several,
+    for letters and the marks that they compose with, patterns of what makes the letter another one, and the class of each mark.
+
+    Of the marks behind a letter, the first of each class composes with it or bars the others of its class.
+    """
+    marks = {c: k for c in map(chr, range(0x300, 0x20000)) if (k := unicodedata.combining(c))}
+    plain = lambda c: c in marks or "a" <= c <= "z" or "0" <= c <= "9" or unicodedata.name(c, "").startswith(("CJK", "IDEOGRAPHIC"))
+    forms = {c: n for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]) if (n := unicodedata.normalize("NFKC", c)) != c and any(map(plain, n))}
+    one = {c: n for c, n in forms.items() if len(n) == 1}
+    composed_ = []
+    for k in sorted(set(marks.values())):
+        others, own = "".join(c for c in marks if marks[c] != k), [c for c in marks if marks[c] == k]
+        for x in "abcdefghijklmnopqrstuvwxyz0123456789":
+            if fit := "".join(c for c in own if len(unicodedata.normalize("NFC", x + c)) == 1):
+                composed_.append((x, f"[{_ranges(others)}]*[{_ranges(fit)}]"))
+    return "".join(one), "".join(one.values()), {c: n for c, n in forms.items() if len(n) > 1}, composed_, marks
+
+
+def _ranges(characters: str) -> str:
+    """The inside of a pattern's brackets for these characters."""
+    codes = sorted(map(ord, characters))
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+
+
+def _plain_letters(text: Column) -> Column:
+    """A text that has the tokens of nfkc(), and other characters between them, without Python."""
+    before, after, several, marked, marks = _token_tables()
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{n}" for c, n in several.items())), F.lit("\x01"), F.lit("\x02"))
+    kind = f"[{_ranges(''.join(several))}]"
+    letters = lambda t: F.transform(F.split(t, ""), lambda c: F.when(c.rlike(kind), F.try_element_at(table, c)).otherwise(c))
+    spelled = lambda t: F.when(t.rlike(kind), F.array_join(letters(t), "")).otherwise(t)
+    early, late = (_ranges("".join(c for c in marks if f(marks[c]))) for f in (lambda k: k < _HAN_CLASS, lambda k: k > _HAN_CLASS))
+
+    def in_order(run: Column) -> Column:
+        return F.concat(F.regexp_replace(run, f"[^{early}]", ""), F.regexp_replace(run, f"[{early}{late}]", ""), F.regexp_replace(run, f"[^{late}]", ""))
+
+    def sorted_(t: Column) -> Column:
+        runs = f"([{_ranges(''.join(marks))}]+)"
+        return F.array_join(F.zip_with(F.split(t, runs, -1), F.regexp_extract_all(t, F.lit(runs), F.lit(1)), lambda x, run: F.concat(x, F.coalesce(in_order(run), F.lit("")))), "")
+
+    ordered = lambda t: F.when(t.rlike(f"[{_HAN_MARKS}]"), sorted_(t)).otherwise(t)
+    others = "|".join(f"{x}(?={behind})" for x, behind in marked)
+    unmarked = lambda t: F.when(t.rlike(r"[a-z0-9][^\x00-\x7F]"), F.regexp_replace(t, others, "\u00E9")).otherwise(t)
+    normal = lambda low: bound(bound(bound(F.translate(low, before, after), spelled), ordered), unmarked)
+    return bound(F.lower(text), lambda low: F.when(low.rlike(_UNSETTLED), normal(low)).otherwise(low))
+
+
 def title_tokens(title: Column) -> Column:
-    """Distinct runs of a-z and digits, and pairs of Han characters."""
-    text = nfkc(F.coalesce(title, F.lit("")))
-    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1)), _han_bigrams(text)))
+    """Distinct runs of a-z and digits, and pairs of Han characters, of the compatibility normal form in lower case."""
+    tokens = lambda text: F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1)), _han_bigrams(text)))
+    return bound(_plain_letters(F.coalesce(title, F.lit(""))), tokens)
 
 
 def text_tokens(text: Column, stop_words: list[str]) -> Column:

@@ -27,7 +27,8 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def pool(spark: SparkSession, folder: str) -> DataFrame:
     rows = _scored(spark, folder).withColumn("score", F.round("score", 6)).withColumn("title_tokens", title_tokens(F.col("title")))
-    old = spark.createDataFrame([(h, d) for h in HEADLINES[:3] for d in news.DOMAINS], "id string, domain string")
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    old = spark.range(1).select(each(HEADLINES[:3]).alias("id")).select("id", each(news.DOMAINS).alias("domain"))  # no Python workers, as lists need them
     chosen = selection.candidate_pool(rows, old.withColumn("tokens", title_tokens(F.col("id"))))
     return chosen.select("domain", "id", F.round("pool_score", 6).alias("pool_score"), F.col("place").cast("long"))
 
