@@ -79,6 +79,13 @@ def test_tokens_of_titles_need_no_python(spark):
     assert "Python" not in spark.range(1).select(T.title_tokens(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_few_patterns_need_no_python(spark):
+    texts = [*TEXTS, None, "Reportedly a rumour; people familiar with it", "ſources ſay", "AFP - AP News", "rafp xinhuas 路透社 据悉", "sources\nsay", "Busıness Wire, PR NEWSWİRE, AFP\u00e9 _afp"]
+    for lexicon in ([(k, p) for k, p, _ in checks.WIRES], [("rumor", lexicons.RUMOR)]):
+        assert column(spark, lambda v: T.hits(v, lexicon), texts) == [T._finder(tuple(lexicon)).all(T._fold(x)) if x else [] for x in texts]  # noqa: B023
+        assert "Python" not in spark.range(1).select(T.hits(F.col("id").cast("string"), lexicon))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duplicates_meet_without_words_of_texts(spark):
     from tidewire.operators import events
 

@@ -229,14 +229,12 @@ def hits(text: Column, lexicon: list[tuple[str, str]]) -> Column:
     """Labels of the lexicon that occur in the text, in the lexicon's order; none for null.
 
     Texts go through in batches: some 160 patterns as columns would make plans that take longer to compile than to run, and each
-    of them would pass over the text on its own.
+    of them would pass over the text on its own. Few patterns are columns, so that no Python worker has to run for them.
     """
     own = tuple(map(tuple, lexicon))
     strings = {s for _, p in own for s in required(p) or ("",)}
-    if "" not in strings and len(strings) <= 16:  # few strings tell which texts have to leave Spark at all
-        spelled = lambda low: functools.reduce(operator.or_, (F.contains(low, F.lit(s)) for s in strings))
-        odd = functools.reduce(operator.or_, (F.contains(text, F.lit(a)) for a, _ in _ALIKE))
-        text = F.when(odd | bound(F.lower(text), spelled), text)
+    if "" not in strings and len(strings) <= _FEW:
+        return _few_hits(text, own)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def labels(texts: pd.Series) -> pd.Series:
@@ -245,6 +243,19 @@ def hits(text: Column, lexicon: list[tuple[str, str]]) -> Column:
     return labels(text)
 
 
+#: Lexicons with so many strings at most are few patterns, which Spark tries itself.
+_FEW = 16
+
+
+def _few_hits(text: Column, lexicon: tuple[tuple[str, str], ...]) -> Column:
+    """hits() without Python: few strings tell which texts a pattern is tried on at all. (?d): lines end at line feeds only, as in Python."""
+    spelled = lambda low, p: functools.reduce(operator.or_, (F.contains(low, F.lit(s)) for s in required(p)))
+    found = lambda low: [F.when(spelled(low, p) & low.rlike("(?d)" + folded_pattern(p)), label) for label, p in lexicon]
+    odd = lambda x: functools.reduce(operator.or_, (F.contains(x, F.lit(a)) for a, _ in _ALIKE))
+    low = bound(text, lambda x: F.when(odd(x), folded(x)).otherwise(F.lower(x)))  # few texts need the slower way
+    return bound(low, lambda low: F.filter(F.array(*found(low)), lambda x: x.isNotNull()))
+
+
 def occurring(text: Column, terms: tuple[str, ...]) -> Column:
     """How many of these terms, which are in lower case, the text has in any case; none for null."""
 
