@@ -392,9 +392,10 @@ _HAN_MARKS, _HAN_CLASS = "\U00016ff0\U00016ff1", 6
 
 
 @functools.cache
-def _token_tables() -> tuple[str, str, dict[str, str], list[tuple[str, str]], dict[str, int]]:
+def _token_tables() -> tuple[str, str, dict[str, str], list[tuple[str, str, str]], dict[str, int]]:
     """What normal form has to do with tokens: characters that become another one and those, characters that become several,
-    for letters and the marks that they compose with, patterns of what makes the letter another one, and the class of each mark.
+    for each class of marks with which letters compose, patterns of the other marks, of those marks, and of a letter with one
+    that it composes with, and the class of each mark.
 
     Of the marks behind a letter, the first of each class composes with it or bars the others of its class.
     """
@@ -404,10 +405,11 @@ def _token_tables() -> tuple[str, str, dict[str, str], list[tuple[str, str]], di
     one = {c: n for c, n in forms.items() if len(n) == 1}
     composed_ = []
     for k in sorted(set(marks.values())):
-        others, own = "".join(c for c in marks if marks[c] != k), [c for c in marks if marks[c] == k]
-        for x in "abcdefghijklmnopqrstuvwxyz0123456789":
-            if fit := "".join(c for c in own if len(unicodedata.normalize("NFC", x + c)) == 1):
-                composed_.append((x, f"[{_ranges(others)}]*[{_ranges(fit)}]"))
+        own = [c for c in marks if marks[c] == k]
+        fits = {x: fit for x in "abcdefghijklmnopqrstuvwxyz0123456789" if (fit := "".join(c for c in own if len(unicodedata.normalize("NFC", x + c)) == 1))}
+        if fits:
+            both = "|".join(f"{x}[{_ranges(fit)}]" for x, fit in fits.items())
+            composed_.append((f"[{_ranges(''.join(c for c in marks if marks[c] != k))}]", f"[{_ranges(''.join(own))}]", both))
     return "".join(one), "".join(one.values()), {c: n for c, n in forms.items() if len(n) > 1}, composed_, marks
 
 
@@ -416,7 +418,7 @@ def _ranges(characters: str) -> str:
     codes = sorted(map(ord, characters))
     starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
     ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
 
 
 def _plain_letters(text: Column) -> Column:
@@ -436,8 +438,13 @@ def _plain_letters(text: Column) -> Column:
         return F.array_join(F.zip_with(F.split(t, runs, -1), F.regexp_extract_all(t, F.lit(runs), F.lit(1)), lambda x, run: F.concat(x, F.coalesce(in_order(run), F.lit("")))), "")
 
     ordered = lambda t: F.when(t.rlike(f"[{_HAN_MARKS}]"), sorted_(t)).otherwise(t)
-    others = "|".join(f"{x}(?={behind})" for x, behind in marked)
-    unmarked = lambda t: F.when(t.rlike(r"[a-z0-9][^\x00-\x7F]"), F.regexp_replace(t, others, "\u00E9")).otherwise(t)
+
+    def composed_letters(t: Column) -> Column:
+        for others, own, both in marked:  # the first mark of the class goes to its letter, where there are others before it
+            t = F.regexp_replace(F.regexp_replace(t, f"([a-z0-9])(?={others}+({own}))", "$1$2"), both, "\u00E9")
+        return t
+
+    unmarked = lambda t: F.when(t.rlike(r"[a-z0-9][^\x00-\x7F]"), composed_letters(t)).otherwise(t)
     normal = lambda low: bound(bound(bound(F.translate(low, before, after), spelled), ordered), unmarked)
     return bound(F.lower(text), lambda low: F.when(low.rlike(_UNSETTLED), normal(low)).otherwise(low))
 
