@@ -297,3 +297,18 @@ def test_copies_that_differ_a_little_meet_by_their_words(spark):
         tokens = [set(r[4].lower().split()) for r in given]
         near = len(tokens[0] & tokens[1]) >= 0.9 * len(tokens[0] | tokens[1])
         assert ({r.id: r.via for r in syndication.effective_keys(df).collect()}["1"] == "likeness") == near
+
+
+def test_texts_are_compared_only_where_titles_agree(spark, monkeypatch):
+    from tidewire.operators import syndication
+
+    head = "One two three four five six seven eight nine ten"
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [("e", "n", "a.org", "https://a.org/n", f"{head} eleven", f"{text} Reuters")] + [("e", "q", "b.org", "https://b.org/q", head, text)]
+    rows += [("e", str(i), "c.org", f"https://c.org/{i}", f"Title {i} of its own", f"{text} and {i}") for i in range(20)]
+    rows += [("e", str(i), "d.org", f"https://d.org/{i}", f"{head} eleven", f"Text of {i}") for i in (20, 21)]  # settled by their title
+    seen, near = [], syndication._near_classes
+    monkeypatch.setattr(syndication, "_near_classes", lambda classes, *rest: seen.append({r.id for r in classes.collect()} if "id" in classes.columns else classes.count()) or near(classes, *rest))
+    found = {r.id: r.via for r in syndication.effective_keys(spark.createDataFrame(rows, "event_id string, id string, source_id string, url string, title string, description string")).collect()}
+    assert found == {"n": "attribution", "q": "likeness", "20": "exact-title", "21": "exact-title"} | {str(i): "publisher" for i in range(20)}
+    assert seen == [{"n", "q"}]

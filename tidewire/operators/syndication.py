@@ -36,25 +36,42 @@ def _prefix(words: str, least: float) -> Column:
     return F.transform(F.slice(ordered, 1, F.greatest(F.size(words) - F.ceil(F.size(words) * F.lit(least)).cast("int") + 1, F.lit(0))), lambda x: x["v"])
 
 
-def _near_classes(classes: DataFrame, group: str) -> DataFrame:
+def _near_titles(titles: DataFrame, asked: DataFrame, named: DataFrame, group: str) -> DataFrame:
+    """(group, title_key, other): titles of asked and of named reports that agree to 0.9 in their words, each with itself too.
+
+    titles: group, title_key, tokens, a row a title; asked and named: group and title_key. Equal titles agree if they have words.
+    """
+    sets = titles.where(F.size("tokens") > 0).select(group, "title_key", "tokens", F.size("tokens").alias("n"))
+    keyed = sets.select(group, "title_key", "n", F.explode(_prefix("tokens", 0.8999)).alias("t"))
+    a = keyed.join(asked.distinct(), [group, "title_key"], "left_semi")
+    b = keyed.join(named.distinct(), [group, "title_key"], "left_semi").select(group, "t", F.col("title_key").alias("other"), F.col("n").alias("m"))
+    met = a.join(b, [group, "t"]).where((F.col("n") >= F.col("m") * 0.8999) & (F.col("m") >= F.col("n") * 0.8999)).select(group, "title_key", "other").distinct()
+    full = met.join(sets.drop("n"), [group, "title_key"]).join(sets.select(group, F.col("title_key").alias("other"), F.col("tokens").alias("_tokens")), [group, "other"])
+    heads = F.size(F.array_intersect("tokens", "_tokens"))
+    return full.where(heads / (F.size("tokens") + F.size("_tokens") - heads) >= 0.9).select(group, "title_key", "other")
+
+
+def _near_classes(classes: DataFrame, titles: DataFrame, group: str) -> DataFrame:
     """(class, by_likeness): the first agency of another source's class with nearly the same title and description.
 
-    classes: class, group, tokens, words, w, s0, s1. Classes meet by a word of the title's prefix and one of the description's,
-    both as numbers, so that what is shuffled is narrow; their sets come together only for pairs whose sizes fit. The limits
-    here leave room for rounding; the exact ones follow. Descriptions without words are alike: those meet by titles alone.
+    classes: class, group, title_key, words, asked, w, s0, s1; titles: (group, title_key, other) that agree. Classes of such
+    titles meet by a word of the description's prefix, as a number, so that what is shuffled is narrow; their sets come
+    together only for pairs whose sizes fit. The limits here leave room for rounding; the exact ones follow. Descriptions
+    without words are alike: those meet by titles alone.
     """
-    title = F.explode(_prefix("tokens", 0.8999)).alias("t")
     word = F.explode(F.when(F.size("words") == 0, F.array(F.lit(""))).otherwise(_prefix("words", 0.8199))).alias("d")
-    sized = classes.where(F.size("tokens") > 0).select(group, "class", "w", F.size("words").alias("n"), title, "words").select(group, "class", "w", "n", "t", word)
-    keyed = sized.select(F.xxhash64(group, "t", "d").alias("key"), "class", "n", "w")
-    a = keyed.select("key", F.col("class").alias("a"), F.col("n").alias("na"))
-    b = keyed.where("w is not null").select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
+    n = F.size("words").alias("n")
+    a = classes.where("asked").select(group, "title_key", F.col("class").alias("a"), n, word).join(titles, [group, "title_key"])
+    a = a.select(F.xxhash64(group, "other", "d").alias("key"), "a", F.col("n").alias("na"))
+    b = classes.where("w is not null").select(group, "title_key", F.col("class").alias("b"), n, word)
+    b = b.select(F.xxhash64(group, "title_key", "d").alias("key"), "b", F.col("n").alias("nb"))
     met = a.join(b, "key").where("a <> b").where((F.col("na") >= F.col("nb") * 0.8199) & (F.col("nb") >= F.col("na") * 0.8199)).select("a", "b").distinct()
-    side = lambda p: classes.select(F.col("class").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in (group, "tokens", "words", "w", "s0", "s1")))
+    side = lambda p: classes.select(F.col("class").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in (group, "title_key", "words", "w", "s0", "s1")))
     pairs = met.join(side("a"), "a").join(side("b"), "b").where(F.col(f"{group}_a") == F.col(f"{group}_b"))
-    heads = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    agreed = titles.select(F.col(group).alias(f"{group}_a"), F.col("title_key").alias("title_key_a"), F.col("other").alias("title_key_b"))
+    pairs = pairs.join(agreed, [f"{group}_a", "title_key_a", "title_key_b"], "left_semi")  # numbers that clash by chance end here
     both = F.size(F.array_intersect("words_a", "words_b"))
-    alike = (heads / (F.size("tokens_a") + F.size("tokens_b") - heads) >= 0.9) & (both >= 0.82 * (F.size("words_a") + F.size("words_b") - both))
+    alike = both >= 0.82 * (F.size("words_a") + F.size("words_b") - both)
     return pairs.where(alike).where("not (s0_a = s1_b and s1_a = s0_b)").groupBy(F.col("a").alias("class")).agg(F.min("w_b").alias("by_likeness"))
 
 
@@ -84,12 +101,27 @@ def effective_keys(reports: DataFrame, group: str = "event_id") -> DataFrame:
     for key, name in (("url", "same_url"), ("both_key", "same_both")):
         rows = rows.join(_shared(base, group, key).withColumn(name, F.lit(True)), [group, key], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
-    # Classes of equal titles and descriptions; those that name an agency, against all.
-    texts = full.select(group, digest("both_key"), "title", "description").dropDuplicates([group, "both_key"])
-    texts = texts.select(group, "both_key", F.array_sort(title_tokens(F.col("title"))).alias("tokens"), text_tokens(F.col("description"), lexicons.STOP_WORDS).alias("words"))
-    sides = base.groupBy(group, "both_key").agg(F.min("wire").alias("w"), F.min("source_id").alias("s0"), F.max("source_id").alias("s1"))
-    classes = durable(sides.join(texts, [group, "both_key"]).withColumn("class", F.monotonically_increasing_id()))
-    near = _near_classes(classes, group).join(classes.select("class", group, "both_key"), "class").select(group, "both_key", "by_likeness")
+    # Likeness counts only where nothing before it does. Those reports' classes of equal titles and descriptions meet classes that
+    # name an agency, titles first: texts are taken into words only for classes whose titles agree with one of the other side.
+    rows = durable(rows)
+    open_ = F.coalesce("wire", "by_url", "by_title", "by_text").isNull()
+    sides = rows.groupBy(group, "both_key").agg(
+        F.first("title_key").alias("title_key"), F.bool_or(open_).alias("asked"), F.min("wire").alias("w"), F.min("source_id").alias("s0"), F.max("source_id").alias("s1"), F.min("id").alias("id")
+    )
+    sides = durable(sides.where("asked or w is not null"))
+    asked, named = (sides.where(which).select(group, "title_key") for which in ("asked", "w is not null"))
+    titles = full.select(group, "title", digest("title_key")).distinct().select(group, "title_key", F.array_sort(title_tokens(F.col("title"))).alias("tokens"))
+    titles = durable(titles.groupBy(group, "title_key").agg(F.min("tokens").alias("tokens")))
+    near = durable(_near_titles(titles, asked, named, group))
+    mine, theirs = near.select(group, "title_key").distinct(), near.select(group, F.col("other").alias("title_key")).distinct()
+    met = sides.where("asked").join(mine, [group, "title_key"], "left_semi").unionByName(sides.where("w is not null").join(theirs, [group, "title_key"], "left_semi"))
+    met = durable(met.dropDuplicates([group, "both_key"]))
+    few = F.broadcast(met) if met.count() <= 100_000 else met  # most texts meet none: they are not dealt out for that
+    texts = full.select(F.col(group).alias("_group"), F.col("id").alias("_id"), F.col("both_key").alias("_text"), "description").withColumn("_both", digest("_text")).drop("_text")
+    same = (F.col("_group") == F.col(group)) & (F.col("_both") == F.col("both_key")) & F.col("_id").eqNullSafe(F.col("id"))
+    texts = texts.join(few, same).select(*met.columns, text_tokens(F.col("description"), lexicons.STOP_WORDS).alias("words"))
+    classes = durable(texts.dropDuplicates([group, "both_key"]).withColumn("class", F.monotonically_increasing_id()))
+    near = _near_classes(classes, near, group).join(classes.select("class", group, "both_key"), "class").select(group, "both_key", "by_likeness")
     rows = rows.join(near, [group, "both_key"], "left")
 
     ways = [
