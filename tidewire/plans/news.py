@@ -100,7 +100,8 @@ def syndicated(spark: SparkSession, folder: str) -> DataFrame:
 def independent_grades(spark: SparkSession, folder: str) -> DataFrame:
     rows = _reports(spark, folder)
     keys = syndication.effective_keys(rows).select("id", F.col("effective_key").alias("independence_key"))
-    return E.evidence(rows.join(keys, "id")).select("event_id", "level", "source_count", "independent_count")
+    graded = E.with_rumor(rows).select("id", "event_id", "source_id", "reliability", "rumor")
+    return E.evidence(graded.join(keys, "id")).select("event_id", "level", "source_count", "independent_count")
 
 
 def event_dates(spark: SparkSession, folder: str) -> DataFrame:
