@@ -9,6 +9,7 @@ from tidewire.functions import lexicons
 from tidewire.operators import benchmarks as B
 from tidewire.operators import events as E
 from tidewire.operators import syndication
+from tidewire.operators.tables import durable
 from tidewire.plans import discovery
 from tidewire.plans.base import _listed
 from tidewire.plans.news import REPORTS_SQL, SYNDICATION_SQL, _reports
@@ -18,8 +19,11 @@ PHASES = ["rss", "base", "dynamic", "verification"]
 
 
 def _keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports with what they count as, and size, the length of their texts, in place of those."""
     rows = _reports(spark, folder)
-    return rows.join(syndication.effective_keys(rows).select("id", F.col("effective_key").alias("independence_key")), "id")
+    keys = syndication.effective_keys(rows).select("id", F.col("effective_key").alias("independence_key"))
+    narrow = E.with_rumor(rows.withColumn("size", F.length("description"))).select("id", "domain", "event_id", "title", "url", "published_at", "source_id", "reliability", "size", "rumor")
+    return durable(narrow.join(keys, "id"))
 
 
 def stage_contributions(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +55,7 @@ def benchmark(spark: SparkSession, folder: str) -> DataFrame:
     label = F.concat_ws(":", "event_id", F.col("published_at").isNull().cast("string"))
     labelled = rows.withColumn("gold_id", label).withColumn("cluster", F.split_part("event_id", F.lit(":"), F.lit(2)))
     gold = labelled.groupBy("gold_id").agg(F.min_by("domain", "place").alias("domain")).withColumn("expected", F.array(*map(F.lit, (B.OFFICIAL, B.INDEPENDENT, B.COPIES))))
-    found = rows.where("published_at is not null and length(description) % 4 <> 0")
+    found = rows.where("published_at is not null and size % 4 <> 0")
     shared = found.groupBy("event_id", "independence_key").agg((F.count_distinct("source_id") > 1).alias("shared")).groupBy("event_id").agg(F.bool_or("shared").alias("copies"))
     events = found.groupBy("event_id").agg(F.min("place").alias("place"), F.min_by("title", "place").alias("title"), F.min_by("domain", "place").alias("domain"))
     events = events.join(E.evidence(found).select("event_id", "primary_present", "independent_count"), "event_id").join(shared, "event_id")
