@@ -102,15 +102,24 @@ def says_more(title: str, summary: str, title_prefix: str, prefix: str, fits: Co
     return whole & fits & supported & (rest >= 10) & (new >= 2) & (detail | s.rlike(SUMMARY_CUES))
 
 
-def best_reports(reports: DataFrame, event: str = "event_id") -> DataFrame:
-    """Each event's report that says most: names, acts, things, numbers and words of the title; ties by score, then URL."""
+def with_specificity(reports: DataFrame) -> DataFrame:
+    """reports with how much each says, from what numeric.with_said() found if they have it: names, acts, things, numbers and words of the title."""
     text, title = F.concat_ws(" ", "title", "description"), F.col("title")
+    said = {"entities": "r_entities", "named": "r_actions", "objects": "r_objects"} if "r_entities" in reports.columns else {}
+    of = lambda c: F.size(F.col(said.get(c, f"_found.{c}")))
     specificity = (
-        F.when(F.trim(title).rlike(GENERIC_HEADLINE), -100).otherwise(0) + F.size(F.col("_found.entities")) * 12 + F.size(F.col("_found.named")) * 10
-        + F.size(F.col("_found.objects")) * 8 + F.size(key_numbers(text)) * 4 + F.least(F.lit(20), F.size(F.split(title, r"\s+")))
+        F.when(F.trim(title).rlike(GENERIC_HEADLINE), -100).otherwise(0) + of("entities") * 12 + of("named") * 10
+        + of("objects") * 8 + F.size(key_numbers(text)) * 4 + F.least(F.lit(20), F.size(F.split(title, r"\s+")))
     )
+    rows = reports if said else reports.withColumn("_found", found_in(text))
+    return rows.withColumn("specificity", specificity).drop("_found")
+
+
+def best_reports(reports: DataFrame, event: str = "event_id") -> DataFrame:
+    """Each event's report that says most; ties by score, then URL."""
+    specificity = F.col("specificity")
     score = F.col("score") if "score" in reports.columns else F.lit(0.0)
-    ranked = reports.withColumn("_found", found_in(text)).select(event, "id", F.struct(-specificity, -score, F.col("url"), F.col("id")).alias("order"))
+    ranked = (reports if "specificity" in reports.columns else with_specificity(reports)).select(event, "id", F.struct(-specificity, -score, F.col("url"), F.col("id")).alias("order"))
     return ranked.groupBy(event).agg(F.min_by("id", "order").alias("id"))
 
 
@@ -172,7 +181,9 @@ def specific_content(reports: DataFrame, context: DataFrame, event: str = "event
 
     # Chinese sentences that their own report supports; each meets the one title of its event.
     chinese = F.filter(sentences(F.concat_ws(" ", "description", *body)), lambda s: enough_chinese(s) & ~is_placeholder_summary(s))
-    told = reports.select(event, "place", "url", *(f"p_{c}" for c in ("entities", "actions", "objects", "quantities", "all_tokens")), F.posexplode(chinese).alias("at", "sentence"))
+    # Texts without a Han character, or a reference to one, have no such sentence: they are not cut up.
+    signed = reports.where(F.concat_ws(" ", "description", *body).rlike(r"\p{IsHan}|&#"))
+    told = signed.select(event, "place", "url", *(f"p_{c}" for c in ("entities", "actions", "objects", "quantities", "all_tokens")), F.posexplode(chinese).alias("at", "sentence"))
     told = _print_of(told, "sentence", "s_").join(context.drop("tags"), event).join(made.select(event, "_headline"), event)
     told = _print_of(told, "_headline", "h_")
     fits = matches(lambda c: F.col(f"e_{c}"), lambda c: F.col(f"s_{c}"))

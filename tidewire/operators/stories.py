@@ -17,7 +17,7 @@ from tidewire.functions.similarity import disjoint
 from tidewire.functions.text import composed, normal_title, strip_html
 from tidewire.operators.claims import conflicts, matches, supports
 from tidewire.operators.narration import _print_of, concrete, says_more
-from tidewire.operators.numeric import number_support, sanitized
+from tidewire.operators.numeric import CLAIMS, number_support, sanitized
 from tidewire.operators.tables import durable, spread_join
 
 FIELDS = ("title", "summary", "key_facts", "why", "background", "chain", "parties", "uncertainties", "terms", "definitions", "near", "medium", "signals", "tags")
@@ -80,7 +80,7 @@ def judged(texts: DataFrame, context: DataFrame, reports: DataFrame, support: Da
     claims = asked.where(F.col("fits") & ~is_placeholder_summary(F.col("clean")))
     claims = claims.select(event, "text", *(f"c_{k}" for k in ("entities", "actions", "objects", "numbers", "quantities", "all_tokens")))
     sources = reports.select(event, "id", "url", *(f"p_{k}" for k in ("entities", "actions", "objects", "quantities", "all_tokens")))
-    links = durable(spread_join(sources, claims, event, F.col("id")).where(supports(c, lambda k: F.col(f"p_{k}"))).select(event, "text", "url").distinct())
+    links = durable(spread_join(sources, claims, event, F.col("id"), copied=CLAIMS).where(supports(c, lambda k: F.col(f"p_{k}"))).select(event, "text", "url").distinct())
     number_links = durable(number_support(asked.select(event, "text"), support, event).select(event, "text", "url").distinct())
     any_link = links.select(event, "text").distinct().withColumn("supported", F.lit(True))
     any_number = number_links.select(event, "text").distinct().withColumn("_numbers", F.lit(True))
@@ -255,7 +255,7 @@ def _sourced_facts(rows: DataFrame, context: DataFrame, reports: DataFrame, supp
     of = lambda links: counted.join(links.withColumnRenamed("text", "fact"), [event, "fact"]).select(event, "at", "url")
     by_number = of(found.number_links)
     by_claim = of(found.links).join(by_number.select(event, "at").distinct(), [event, "at"], "left_anti")
-    placed = spread_join(known.select(event, "url", "place"), by_number.unionByName(by_claim).withColumnRenamed("url", "_url"), event, F.col("url")).where("url = _url").drop("_url")
+    placed = spread_join(known.select(event, "url", "place"), by_number.unionByName(by_claim).withColumnRenamed("url", "_url"), event, F.col("url"), copied=CLAIMS).where("url = _url").drop("_url")
     early = known.withColumn("_n", F.row_number().over(Window.partitionBy(event).orderBy("place", "url"))).where("_n <= 2").select(event, "url", "place")
     plain = clean.where(~has_numbers(F.col("fact"))).select(event, "at")
     free = plain.join(early, event).unionByName(plain.join(named, [event, "at"]).withColumn("place", F.lit(None).cast(reports.schema["place"].dataType)), allowMissingColumns=True)

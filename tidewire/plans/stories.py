@@ -68,9 +68,9 @@ def sanitized(spark: SparkSession, folder: str) -> DataFrame:
 def _layers(spark: SparkSession, folder: str, numbers: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
     """Reports with their prints, the context of their events, what supports numbers if that is asked for, and events with their grades."""
     reports = M.with_material(told_reports(spark, folder))
-    reports = durable(reports) if numbers else reports  # cleaned once for both
+    reports = durable(R.with_specificity(N.with_said(reports))) if numbers else reports  # cleaned and searched once for both
     support = durable(N.supporting_reports(reports)) if numbers else None
-    prints = durable(R.report_prints(reports))
+    prints = durable(R.report_prints(reports.drop(*(c for c in reports.columns if c.startswith("r_")))))
     context = durable(R.event_context(prints))
     grades = E.evidence(prints.withColumn("independence_key", F.concat(F.lit("publisher:"), "source_id")))
     events = grades.select("event_id", "level", "source_count").join(context.select("event_id", "domain"), "event_id")
