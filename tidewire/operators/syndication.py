@@ -75,6 +75,12 @@ def _near_classes(classes: DataFrame, titles: DataFrame, group: str) -> DataFram
     return pairs.where(alike).where("not (s0_a = s1_b and s1_a = s0_b)").groupBy(F.col("a").alias("class")).agg(F.min("w_b").alias("by_likeness"))
 
 
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """rows (title, description and more) with their normal titles and texts, and both as one; empty texts have none."""
+    full = rows.withColumn("title_key", normal_title(F.col("title"))).withColumn("text_key", F.nullif(normal_title(F.col("description")), F.lit("")))
+    return full.withColumn("both_key", F.concat_ws(":", "title_key", F.coalesce("text_key", F.lit(""))))
+
+
 def effective_keys(reports: DataFrame, group: str = "event_id") -> DataFrame:
     """(group, id, wire, effective_key, via) for reports (group, id, source_id, url, title, description).
 
@@ -84,10 +90,8 @@ def effective_keys(reports: DataFrame, group: str = "event_id") -> DataFrame:
     via says which of these applied. Reports meet in groups of equal keys and as minima; pairs are made only of classes of
     equal titles and descriptions, and only of those that share a rare word of both.
     """
-    description = F.coalesce("description", F.lit(""))
-    full = reports.select(group, "id", "source_id", "url", "title", description.alias("description"))
-    full = full.withColumn("title_key", normal_title(F.col("title"))).withColumn("text_key", F.nullif(normal_title(F.col("description")), F.lit("")))
-    full = full.withColumn("both_key", F.concat_ws(":", "title_key", F.coalesce("text_key", F.lit(""))))
+    reports = reports.select(group, "id", "source_id", "url", "title", F.coalesce("description", F.lit("")).alias("description"))
+    full = _with_keys(reports)
     # From here on texts are known by their digests: rows are joined several times, and would take their texts with them.
     digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256)).alias(c)
     rows = base = durable(full.select(
@@ -117,7 +121,9 @@ def effective_keys(reports: DataFrame, group: str = "event_id") -> DataFrame:
     met = sides.where("asked").join(mine, [group, "title_key"], "left_semi").unionByName(sides.where("w is not null").join(theirs, [group, "title_key"], "left_semi"))
     met = durable(met.dropDuplicates([group, "both_key"]))
     few = F.broadcast(met) if met.count() <= 100_000 else met  # most texts meet none: they are not dealt out for that
-    texts = full.select(F.col(group).alias("_group"), F.col("id").alias("_id"), F.col("both_key").alias("_text"), "description").withColumn("_both", digest("_text")).drop("_text")
+    # Whose texts are wanted is told by ids before keys are made of them again.
+    wanted = reports.join(F.broadcast(met.select("id")), "id", "left_semi") if few is not met and met.where("id is null").isEmpty() else reports
+    texts = _with_keys(wanted).select(F.col(group).alias("_group"), F.col("id").alias("_id"), F.col("both_key").alias("_text"), "description").withColumn("_both", digest("_text")).drop("_text")
     same = (F.col("_group") == F.col(group)) & (F.col("_both") == F.col("both_key")) & F.col("_id").eqNullSafe(F.col("id"))
     texts = texts.join(few, same).select(*met.columns, text_tokens(F.col("description"), lexicons.STOP_WORDS).alias("words"))
     classes = durable(texts.dropDuplicates([group, "both_key"]).withColumn("class", F.monotonically_increasing_id()))
